@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, mixing, sharding
+from . import chatfmt, fingerprint, langid, mixing, packing, secrets, sharding
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -62,6 +62,23 @@ def _op1_sql() -> str:
         SELECT *, CASE WHEN epoch < whole THEN n_tokens WHEN epoch = whole THEN greatest(least(rest - ahead, n_tokens), 0) ELSE 0 END AS take_tokens FROM taken) WHERE take_tokens > 0"""
 
 
+# ------------------------------------------------------------- 2: language ID
+
+
+def op2_bitmask_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
+    held = docs.select("doc_id", "text", (langid.remainder("doc_id", 4) == 2).alias("held_out"))
+    return langid.identify(held, model, keep=("doc_id", "held_out"))
+
+
+# ------------------------------------------------------------ 3: fingerprints
+
+
+def op3_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 5: sharding
 
 
@@ -98,9 +115,32 @@ def _op7_sql() -> str:
     FROM u GROUP BY conv_id"""
 
 
+# ------------------------------------------------------------ 9: secret scans
+
+
+def op9_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(said(of(*secrets.KINDS[:3])), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+# ---------------------------------------------------------------- 10: packing
+
+
+def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
+    "op2_bitmask_ngrams": op2_bitmask_ngrams,
+    "op3_improbable_features": op3_improbable_features,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op7_relational_chat": op7_relational_chat,
+    "op9_zstd_novelty": op9_zstd_novelty,
+    "op10_variable_best_fit": op10_variable_best_fit,
 }
 ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op7_relational_chat": _op7_sql()}
