@@ -8,10 +8,10 @@ of the shorter one takes its best partner, and the likeness is the mean of these
 
 Entropies of all windows come from counts of equal bytes at each distance up to 63, so no window is counted by itself.
 
-Texts under 512 code points have too few windows to rank: all their 8-byte windows are features.
+Texts under 512 code points have too few windows to rank: all their 6-byte windows are features.
 
-Defined results: a text without any feature (under 8 bytes, or long but with next to no entropy) has one, its whole
-contents; null counts as empty, and two empty texts are alike; equal texts have equal fingerprints.
+Defined results: a long text without a selected window (next to no entropy) has its distinct 6-byte windows as features,
+a text under 6 bytes its whole contents; null counts as empty, and two empty texts are alike; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .common import MAX_SPLITS, PIECE_BYTES, bucket_of, index_in, item_of, piece
 
 WINDOW, POINTS, FILTER_BITS, PER_FILTER, HASHES = 64, 16, 2048, 160, 5
 #: Texts of fewer code points have too few windows to choose among; all their windows of SHORT_WINDOW bytes are features.
-SHORT, SHORT_WINDOW = 512, 8
+SHORT, SHORT_WINDOW = 512, 6
 BINS = 1024
 #: Windows of less entropy (bits a byte) are no features.
 LEAST_ENTROPY = 1.0
@@ -146,8 +146,8 @@ def filters_of(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> list[np
     doc, hashes = np.concatenate([doc[ranked], few_doc]), np.concatenate([hashes[ranked], few])
     count = np.bincount(doc, minlength=len(ends) - 1)
     if (bare := np.flatnonzero(count == 0)).size:
-        whole = np.array([_whole(data[ends[i] : ends[i + 1]]) for i in bare], np.uint64)
-        doc, hashes = np.concatenate([doc, bare]), np.concatenate([hashes, whole])
+        plain = [_plain(data[ends[i] : ends[i + 1]]) for i in bare]
+        doc, hashes = np.concatenate([doc, np.repeat(bare, [len(p) for p in plain])]), np.concatenate([hashes, *plain])
     order = np.lexsort((np.arange(len(doc)), hashes, doc))  # repeated features count once, where they stand first
     first = np.ones(len(order), bool)
     first[1:] = (doc[order][1:] != doc[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
@@ -175,13 +175,15 @@ def _all_windows(data: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[
     return docs[group[start]], span_hash(prefix_hash(part.astype(np.uint64)), start, start + SHORT_WINDOW)
 
 
-def _whole(text: np.ndarray) -> int:
-    """A hash of a whole text, taken piece by piece."""
-    h = 0
-    for a in range(0, max(len(text), 1), PIECE_BYTES):
-        part = text[a : a + PIECE_BYTES]
-        h = (h * 0x100000001B3 + int(span_hash(prefix_hash(part.astype(np.uint64)), np.array([0]), np.array([len(part)]))[0]) + 1) % (1 << 64)
-    return h
+def _plain(text: np.ndarray) -> np.ndarray:
+    """Features of a text without selected windows: its distinct short windows, found piece by piece, or all of it."""
+    if len(text) < SHORT_WINDOW:
+        return span_hash(prefix_hash(text.astype(np.uint64)), np.array([0]), np.array([len(text)]))
+    found = np.zeros(0, np.uint64)
+    for a in range(0, len(text), PIECE_BYTES):
+        part = text[a : a + PIECE_BYTES + SHORT_WINDOW - 1]
+        found = np.union1d(found, _all_windows(part, np.array([0, len(part)]), np.array([0]))[1])
+    return found
 
 
 def to_string(chain: np.ndarray) -> str:

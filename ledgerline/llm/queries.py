@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, langid, mixing, packing, secrets, sharding
+from . import chatfmt, fingerprint, langid, mixing, neardup, packing, secrets, sharding
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -115,6 +115,13 @@ def _op7_sql() -> str:
     FROM u GROUP BY conv_id"""
 
 
+# ------------------------------------------------------------ 8: near-dedup
+
+
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 # ------------------------------------------------------------ 9: secret scans
 
 
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_improbable_features": op3_improbable_features,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op7_relational_chat": op7_relational_chat,
+    "op8_chosen_path": op8_chosen_path,
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
 }
