@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, langid, mixing, neardup, packing, secrets, sharding
+from . import chatfmt, fingerprint, knn, langid, mixing, neardup, packing, secrets, sharding
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -79,6 +79,20 @@ def op3_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ 4: top-k
+
+
+def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_OP4_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 # ---------------------------------------------------------------- 5: sharding
 
 
@@ -145,10 +159,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_bitmask_ngrams": op2_bitmask_ngrams,
     "op3_improbable_features": op3_improbable_features,
+    "op4_voronoi_knn": op4_voronoi_knn,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op7_relational_chat": op7_relational_chat,
     "op8_chosen_path": op8_chosen_path,
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op7_relational_chat": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql()}
