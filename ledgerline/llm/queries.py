@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, knn, langid, mixing, neardup, packing, secrets, sharding
+from . import chatfmt, fingerprint, knn, langid, mixing, neardup, packing, pitman_yor, secrets, sharding
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -101,6 +101,13 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+# -------------------------------------------------------------- 6: LM scoring
+
+
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(read_table(spark, sf_dir, "documents"), langid.remainder("doc_id", 7) != 2)
+
+
 # --------------------------------------------------------- 7: chat formatting
 
 #: Both rows of conversation -1 say this.
@@ -161,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_improbable_features": op3_improbable_features,
     "op4_voronoi_knn": op4_voronoi_knn,
     "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_relational_chat": op7_relational_chat,
     "op8_chosen_path": op8_chosen_path,
     "op9_zstd_novelty": op9_zstd_novelty,
