@@ -129,15 +129,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return Model.build({k: kept.gram[kept.lang == k].to_numpy(np.int64) for k in by_size}, slot_bits, hashes)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row. The model goes out as one broadcast of a fixed size."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), text_out: str | None = None) -> DataFrame:
+    """The columns `keep`, lang_pred and score of every row, and the text as text_out if that is a name. The model goes
+    out as one broadcast of a fixed size."""
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*keep, *([text_out] if text_out else []), "lang_pred", "score"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             langs, scores = shared.value.predict(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + bool(text_out)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(predict, f"{kept}, lang_pred string, score double")
+    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + (f"`{text_out}` string, " if text_out else "")
+    return rows.mapInArrow(predict, f"{kept}lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, settled
 
 #: Documents of one slice of a leaf's order, about.
-SLICE = 2000
+SLICE = 250
 #: Up to so many leaves, the table of budgets may be broadcast: under 200 bytes each.
 FEW_LEAVES = 20_000
 

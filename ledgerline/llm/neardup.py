@@ -54,10 +54,10 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int = 2) -> tuple[np
             own = np.sort(joined[a : b - width + 1])
             own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif b > a:  # the whole sequence as one
-            whole = hashes[a]
-            for h in hashes[a + 1 : b]:
-                whole = mix(np.array([whole * _SECOND + h]))[0]
-            own = mix(np.array([whole ^ _SECOND]))
+            whole = hashes[a : a + 1]
+            for i in range(a + 1, b):
+                whole = mix(whole * _SECOND + hashes[i : i + 1])
+            own = mix(whole ^ _SECOND)
         else:
             continue
         sizes[d] = len(own)
