@@ -15,7 +15,7 @@ from ..session import q
 # Three-letter months in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_TIME = r"(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:z|[+-]\d{2}:?\d{2})?)?$"
 _SEP = r"[-/. ]"
 
 

@@ -251,18 +251,18 @@ OPERATORS = ("==", "!=", ">", "<", ">=", "<=", "contains", "startsWith", "endsWi
 
 
 def dynamic(df: DataFrame, column: str, operator: str, value) -> Column:
-    """One dynamic condition; never null. Ordering compares numbers (commas aside) if both sides are any, else text."""
+    """One dynamic condition; never null. Ordering compares numbers (commas aside) if both sides are any, else text; null is in no order."""
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator {operator!r}; known: {', '.join(OPERATORS)}")
-    text, given = F.coalesce(text_of(df, column), F.lit("nan")), str(value)
+    text, given, has = F.coalesce(text_of(df, column), F.lit("nan")), str(value), F.col(q(column)).isNotNull()
     if operator in (">", "<", ">=", "<="):
         f = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}[operator]
         number = number_of(df, column) if is_number(type_of(df, column)) else text_number(F.regexp_replace(text, ",", ""))
         try:
             limit = float(given.replace(",", ""))
         except ValueError:
-            return f(text, F.lit(given))
-        return F.coalesce(F.when(number.isNotNull(), f(number, F.lit(limit))).otherwise(f(text, F.lit(given))), F.lit(False))
+            return has & f(text, F.lit(given))
+        return has & F.coalesce(F.when(number.isNotNull(), f(number, F.lit(limit))).otherwise(f(text, F.lit(given))), F.lit(False))
     if operator in ("==", "!="):
         return text == given if operator == "==" else text != given
     return {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}[operator](text, F.lit(given))

@@ -211,7 +211,7 @@ def same_text(a: Column, b: Column) -> Column:
 
 def within_percent(a: Column, b: Column, a_null: Column, b_null: Column, percent: float) -> Column:
     """|a - b| is at most `percent` per cent of |b|. Zero only fits zero; null only fits null; text that is no number fits nothing."""
-    share = F.when(b != 0, F.abs(a - b) / F.when(b != 0, F.abs(b)) * 100 <= F.lit(float(percent))).otherwise(a == 0)
+    share = F.when(b != 0, F.abs(a - b) / F.when(b != 0, F.abs(b)) * 100 <= F.lit(float(percent))).when(b == 0, a == 0)
     return F.when(a_null & b_null, True).otherwise(F.coalesce(share, F.lit(False)))
 
 

@@ -66,6 +66,8 @@ def open_tables(tables: Sequence[DataFrame] | Mapping[str, DataFrame]) -> Tables
 def wrapped(query: str) -> str:
     """The query as a derived table. Spark's grammar allows nothing but a query there, so commands don't parse."""
     text = query.strip().rstrip(";").strip()
+    if not re.match(r"(select|with|values|table|from)\b|\(", text, re.IGNORECASE):
+        raise ValueError("only queries that read are allowed")
     if re.search(r"\b(reflect|try_reflect|java_method)\s*\(", text, re.IGNORECASE):
         raise ValueError("functions that call Java methods are not allowed")
     return f"SELECT * FROM (\n{text}\n)"
@@ -144,7 +146,7 @@ def estimate(df: DataFrame) -> dict[str, Any]:
     """What the optimizer expects of a query: bytes and, if known, rows; nothing runs."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     rows = stats.rowCount()
-    return {"bytes": int(stats.sizeInBytes().toString()), "rows": int(rows.get().toString()) if rows.isDefined() else None}
+    return {"bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else None}
 
 
 def explain_error(error: Exception, tables: Tables) -> dict[str, Any]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import delta
 from ..operators.delta import Compare, Key
-from .base import ALTERED_ORDERS, altered_orders, query, table
+from .base import ALTERED_CENTS, altered_orders, query, table
 
 KEYS = [Key("o_orderkey", "o_orderkey")]
 COMPARES = [Compare("o_orderstatus", "o_orderstatus", "case_insensitive"), Compare("o_totalprice", "o_totalprice", "numeric_tolerance", 0.01), Compare("o_orderpriority", "o_orderpriority"), Compare("o_orderdate", "o_orderdate", "date_equals")]
@@ -16,14 +16,14 @@ _CHANGES = f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_orderkey AS
     CASE WHEN abs(a.o_totalprice - b.o_totalprice) / abs(b.o_totalprice) * 100 > 0.01 THEN 'o_totalprice: ''' || {_NUM.format(x='a.o_totalprice')} || ''' -> ''' || {_NUM.format(x='b.o_totalprice')} || '''' END,
     CASE WHEN a.o_orderpriority <> b.o_orderpriority THEN 'o_orderpriority: ''' || a.o_orderpriority || ''' -> ''' || b.o_orderpriority || '''' END,
     CASE WHEN CAST(a.o_orderdate AS DATE) <> CAST(b.o_orderdate AS DATE) THEN 'o_orderdate: ''' || strftime(a.o_orderdate, '%Y-%m-%d') || ''' -> ''' || strftime(b.o_orderdate, '%Y-%m-%d') || '''' END], lambda x: x IS NOT NULL) AS changes
-    FROM orders a FULL OUTER JOIN (SELECT * FROM {ALTERED_ORDERS} UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 50 = 0) b ON a.o_orderkey = b.o_orderkey"""
+    FROM orders a FULL OUTER JOIN (SELECT * FROM {ALTERED_CENTS} UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 50 = 0) b ON a.o_orderkey = b.o_orderkey"""
 _TYPE = "CASE WHEN bk IS NULL THEN 'DELETED' WHEN ak IS NULL THEN 'NEWLY_ADDED' WHEN len(changes) = 0 THEN 'UNCHANGED' ELSE 'AMENDED' END"
 
 
 def _classified(spark, d, **how):
     orders = table(spark, d, "orders")
     added = orders.filter("o_orderkey % 50 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 10000000)
-    newer = altered_orders(orders).unionByName(added)
+    newer = altered_orders(orders, cents=True).unionByName(added)
     return delta.classified(orders, newer, KEYS, COMPARES, **how)
 
 
