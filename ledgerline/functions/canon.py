@@ -89,6 +89,10 @@ def day_of(text: Column) -> Column:
     )
 
 
+def is_date(text: Column) -> Column:
+    return day_of(text).isNotNull()
+
+
 def date_of(df: DataFrame, name: str) -> Column:
     """The column as text yyyy-MM-dd; null where it is no date. Numbers are never dates; times of day are dropped."""
     kind = type_of(df, name)

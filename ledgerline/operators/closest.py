@@ -98,6 +98,14 @@ def closest(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str,
         F.when(F.col("best").isNotNull(), F.when(details == "", "All columns match exactly").otherwise(details)).alias("closest_match_details"))
 
 
+def closest_with_fallback(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str, str]], source_pos: str, target_pos: str, exact: Sequence[tuple[str, str]], **how) -> DataFrame:
+    """As `closest` among the targets that match exactly; rows that have none with a score are compared with all targets."""
+    first = closest(source, targets, columns, source_pos, target_pos, exact, **how)
+    found = first.filter(F.col("closest_match_record").isNotNull())
+    left = source.join(found.select(F.col(q(source_pos)).alias("_found")), F.col(q(source_pos)) == F.col("_found"), "left_anti")
+    return found.unionByName(closest(left, targets, columns, source_pos, target_pos, **how))
+
+
 def changed_columns(a: DataFrame, a_columns: Sequence[str], b_texts: Sequence) -> list:
     """Columns of a shorter report, `column: a->b`, with (empty) for null or blank."""
     show = lambda t: F.when(F.coalesce(F.trim(t), F.lit("")) == "", "(empty)").otherwise(t)

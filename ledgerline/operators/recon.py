@@ -101,8 +101,12 @@ def log_bucket(x: Column, is_null: Column, percent: float) -> Column:
     return F.when(is_null, F.lit(far)).when(x.isNull() | F.isnan(x), F.lit(far + 4)).when(x == 0, F.lit(far + 8)).otherwise(size * 2 + (x < 0).cast("bigint"))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_loop: bool = False) -> DataFrame:
-    """All pairs (a_pos, b_pos and the values compared) for which every rule holds. a, b: from _prepared."""
+def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_loop: bool = False, hot_keys: bool = False) -> DataFrame:
+    """All pairs (a_pos, b_pos and the values compared) for which every rule holds. a, b: from _prepared.
+
+    hot_keys: join on a tolerance rule's buckets besides the keys, so that the rows of a frequent key only meet rows of
+    about the same amount; each row of B then moves three times.
+    """
     keys = [i for i, r in enumerate(rules) if r.kind in ("equals", "date_equals")]
     rest = [i for i in range(len(rules)) if i not in keys]
     on = [F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in keys]
@@ -113,12 +117,12 @@ def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_lo
             on = [F.col(f"a{exact}").eqNullSafe(F.col(f"b{exact}"))]
         elif not nested_loop:
             raise ValueError("no rule gives a join key; add an equals, date_equals or narrow tolerance rule, or allow nested_loop")
-    elif not keys:
+    elif bucketed is not None and (hot_keys or not keys):
         i = bucketed
         a = a.withColumn("bucket", log_bucket(F.col(f"a{i}"), F.col(f"a{i}_null"), rules[i].tolerance))
         own = log_bucket(F.col(f"b{i}"), F.col(f"b{i}_null"), rules[i].tolerance)
         b = b.withColumn("bucket_b", F.explode(F.transform(F.array(F.lit(-2), F.lit(0), F.lit(2)), lambda d: own + d)))
-        on = [F.col("bucket") == F.col("bucket_b")]
+        on = [*on, F.col("bucket") == F.col("bucket_b")]
     held = [_holds(i, rules[i]) for i in rest]
     joined = a.join(b, every(on + held), "inner") if on else a.crossJoin(b).filter(every(held))
     return joined.drop("bucket", "bucket_b")
@@ -170,10 +174,11 @@ def _greedy(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ordered.mapInArrow(take, f"a_pos {kind('a_pos')}, b_pos {kind('b_pos')}")
 
 
-def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_pos: str, mode: str = "one_to_many", positional: bool = False, nested_loop: bool = False) -> DataFrame:
+def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_pos: str, mode: str = "one_to_many", positional: bool = False, nested_loop: bool = False, hot_keys: bool = False) -> DataFrame:
     """The chosen pairs as a_pos, b_pos. Positions have to be unique.
 
     positional: if no rule is `equals`, row n of A only meets row n of B. nested_loop: allow a join without any key.
+    hot_keys: see candidate_pairs.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
@@ -197,7 +202,7 @@ def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b
         right = ranked(right, [f"b{i}" for i in n], "b_pos").withColumnRenamed("rank", "b_rank")
         on = every([F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in n] + [F.col("a_rank") == F.col("b_rank")])
         return left.join(right, on).select("a_pos", "b_pos")
-    pairs = candidate_pairs(left, right, rules, nested_loop)
+    pairs = candidate_pairs(left, right, rules, nested_loop, hot_keys)
     if mode == "many_to_many":
         return pairs.select("a_pos", "b_pos")
     if mode == "one_to_many":
@@ -221,9 +226,10 @@ def mandatory_columns(rules: Sequence[Rule], left: bool, extracts: Sequence = ()
     return list(dict.fromkeys(names))
 
 
-def reconcile(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_pos: str, mode: str = "one_to_many", selected_a: Sequence[str] | None = None, selected_b: Sequence[str] | None = None, **how) -> Reconciled:
-    """Matched rows side by side, and what is left of A and of B."""
+def reconcile(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_pos: str, mode: str = "one_to_many", selected_a: Sequence[str] | None = None, selected_b: Sequence[str] | None = None, persist: bool = False, **how) -> Reconciled:
+    """Matched rows side by side, and what is left of A and of B. persist: keep the pairs, to read several of these."""
     pairs = match_pairs(a, b, rules, a_pos, b_pos, mode, **how)
+    pairs = pairs.persist() if persist else pairs
     keep_a, keep_b = selection(a, selected_a, mandatory_columns(rules, True)), selection(b, selected_b, mandatory_columns(rules, False))
     left = a.select(F.col(q(a_pos)).alias("_a"), *[F.col(q(c)).alias(f"FileA_{c}") for c in keep_a])
     right = b.select(F.col(q(b_pos)).alias("_b"), *[F.col(q(c)).alias(f"FileB_{c}") for c in keep_b])

@@ -50,6 +50,14 @@ def excel_sheets(path: str) -> list[str]:
     return list(pd.ExcelFile(path).sheet_names)
 
 
+def excel_info(path: str) -> list[dict]:
+    """Of each sheet its name, columns and number of rows."""
+    import pandas as pd
+
+    sheets = pd.read_excel(path, sheet_name=None, dtype=str)
+    return [{"sheet": name, "columns": list(map(str, t.columns)), "rows": len(t)} for name, t in sheets.items()]
+
+
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A sheet (the first by default) as text columns. Excel files are small by their format; pandas reads them."""
     import pandas as pd

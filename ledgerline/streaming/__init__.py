@@ -1,0 +1 @@
+"""Empty: none of the operators in scope works on a stream. All of them are batch plans over whole tables."""

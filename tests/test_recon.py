@@ -69,10 +69,17 @@ def test_modes_match_plain_python(spark, rules, mode):
     assert sorted(map(tuple, got.collect())) == by_hand(a, b, rules, mode)
 
 
+@pytest.mark.parametrize("mode", recon.MODES)
+def test_hot_keys_meet_by_amount(spark, mode):
+    a, b = rows(1, 60), rows(2, 50)
+    got = recon.match_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), RULES["key and amount"], "pos", "pos", mode, hot_keys=True)
+    assert sorted(map(tuple, got.collect())) == by_hand(a, b, RULES["key and amount"], mode)
+
+
 def test_reconciled_sides_add_up(spark):
     a, b = rows(3, 80), rows(4, 70)
     left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
-    out = recon.reconcile(left, right, RULES["key and amount"], "pos", "pos", selected_a=["pos"], selected_b=["name"])
+    out = recon.reconcile(left, right, RULES["key and amount"], "pos", "pos", persist=True, selected_a=["pos"], selected_b=["name"])
     assert out.matched.columns == ["FileA_pos", "FileA_ref", "FileA_amount", "FileB_ref", "FileB_amount", "FileB_name"]
     assert out.matched.count() + out.unmatched_a.count() == 80
     s = recon.summary(left, right, out.pairs).first()

@@ -100,6 +100,9 @@ def test_closest_match_against_plain_python(spark):
     assert closest.closest(da, db.limit(0), [("amount", "amount")], "pos", "pos").filter("closest_match_score > 0").count() == 0
     assert closest.compared([Rule("a", "b"), Rule("c", "d")], [("a", "b")], from_a=False) == ([("b", "a")], [("d", "c")])
     assert closest.closest(da, db, [("amount", "amount")], "pos", "pos", sample=True).count() == 15
+    both = closest.closest_with_fallback(da, db, [("amount", "amount")], "pos", "pos", [("k", "k")], kinds={"amount": "numeric"}, native=True)
+    alone = {r.pos: r.closest_match_score for r in closest.closest(da, db, [("amount", "amount")], "pos", "pos", kinds={"amount": "numeric"}, native=True).collect()}
+    assert both.count() == 15 and all(alone[r.pos] >= r.closest_match_score and (r.closest_match_score > 0 or alone[r.pos] == 0) for r in both.collect())
 
 
 # --------------------------------------------------------------------- cleaning
@@ -187,6 +190,7 @@ def test_identifiers(spark):
     assert (got[1][1], got[1][2], got[1][3]) == (3.5, "USD", "2024-1-2") and got[2][6] == "594918104" and tuple(got[3]) == (None,) * 7
     checked = notes.select(v.validate_field("Isin", t, known, True).alias("i"), v.validate_field("other", t).alias("o"), v.validate_field("currency", t).alias("c")).first()
     assert checked.i.suggested_correction == "GB0002162385" and checked.o.message == "Field type not validated" and checked.c.is_valid
+    assert v.try_pattern(r"(\d)(x)?", "1 2x") == [{"match": "1", "groups": ["1", None], "start": 0, "end": 1, "length": 1}, {"match": "2x", "groups": ["2", "x"], "start": 2, "end": 4, "length": 2}]
     assert [v.suggested_pattern(x) for x in ("Find the e-mail or email", "card number", "nothing")] == ["email", "credit_card", None]
 
 
