@@ -40,7 +40,8 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX ---------------- ================ ________________"
 )
 BEHIND, AROUND = 48, 256
-LEAST_NOVELTY, LEAST_BYTES = 0.4, 9
+#: Bytes a candidate has to add for each of its own: random strings add 1.02 and more, known words and paths less.
+LEAST_NOVELTY, LEAST_BYTES = 0.98, 9
 
 _primed: list = []
 
