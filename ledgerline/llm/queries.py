@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,18 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+# all pairs that share a shingle, and everything reachable: for tables of the size that the comparison uses
+_OP8_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.m = e.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(m) AS m FROM r GROUP BY id) ON id = doc_id"""
+
+
 # ------------------------------------------------------------ 9: secret scans
 
 
@@ -174,4 +187,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL}
