@@ -2,9 +2,10 @@
 
 The second kind is found in two steps. A candidate is a run of at least 16 characters of keys and digests with a letter
 and a digit, less than 48 characters behind a sensitive word. Its novelty is what it adds to the compressed size of the
-text around it, with a compressor primed by a dictionary of common identifiers: identifiers, paths and repeated values
-cost next to nothing, random keys about as many bytes as they carry. Candidates that cost enough are reported as `novel`
-unless a span of a fixed pattern already covers them.
+text around it, as a share of what random strings of the same length and alphabet add in the same place, with a
+compressor primed by a dictionary of common identifiers and by some prose: identifiers, paths and repeated values cost
+less, random keys as much, whatever their length and alphabet. Candidates that cost enough are reported as `novel` unless
+a span of a fixed pattern already covers them.
 
 Positions count code points; ends are exclusive. Defined results: null text counts as empty; texts of any length are
 scanned whole; every row gives a row, repeated ones too; an empty table gives an empty result.
@@ -12,7 +13,10 @@ scanned whole; every row gives a row, repeated ones too; an empty table gives an
 
 from __future__ import annotations
 
+import random
 import re
+import string
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,20 +43,49 @@ IDENTIFIERS = (
     "environment production staging development example default value name id key index count length size path file directory version release "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX ---------------- ================ ________________"
 )
+#: Stands before the surroundings, so that short ones don't leave a candidate's letters uncompressed.
+PROSE = (
+    "When the morning train finally reached the little harbour, nobody on the platform knew why it had been so late. A few people asked the driver, who only smiled and said that snow had covered the hills again. "
+    "By noon the shops were open, children played along the quay, and an old man explained how 12 boats were built here in 1907, before the Great Bridge joined both sides of the valley. "
+    "Later that week they walked up to the mill, where flour is still ground on Thursdays; from its roof one sees 3 churches, the long beach and, if the air is clear, even the lighthouse beyond. "
+)
 BEHIND, AROUND = 48, 256
-#: Bytes a candidate has to add for each of its own: random strings add 1.02 and more, known words and paths less.
-LEAST_NOVELTY, LEAST_BYTES = 0.98, 9
+#: A candidate of n characters has to cost 1 - MOST_LESS / sqrt(n) of what random strings cost, as costs of random ones vary by that.
+MOST_LESS, LEAST_BYTES, REFERENCES = 0.8, 9, 4
 
 _primed: list = []
 
 
-def marginal_bytes(before: str, candidate: str, after: str) -> int:
-    """Compressed bytes of the surroundings with the candidate, less those without it."""
+def _compressed(text: str) -> int:
     if not _primed:
         _primed.append(zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
-    around = (before + after).encode()
-    compress = _primed[0].compress
-    return len(compress(around + candidate.encode())) - len(compress(around))
+    return len(_primed[0].compress(text.encode()))
+
+
+def alphabet_of(said: str) -> str:
+    """The alphabet of keys that a string belongs to: hexadecimal, base32, or all characters of each kind that occurs."""
+    low, up = any(c.islower() for c in said), any(c.isupper() for c in said)
+    letters = string.ascii_lowercase * low + string.ascii_uppercase * up
+    digits = string.digits if any(c.isdigit() for c in said) else ""
+    if not low or not up:
+        if all(c in string.hexdigits for c in said):
+            return digits + letters[:6]
+        if not set(said) - set(letters + "234567"):
+            return "234567" + letters
+    return digits + letters + "".join(pair for pair in ("+/", "_-") if set(pair) & set(said))
+
+
+def novelty(before: str, candidate: str, after: str) -> tuple[int, float]:
+    """Compressed bytes of the surroundings with the candidate less those without it, and these bytes as a share of what
+    random strings of its length and alphabet cost; these follow from the candidate, so equal texts give equal results."""
+    around = PROSE + before + after
+    without = _compressed(around)
+    cost = _compressed(around + candidate) - without
+    body = candidate.rstrip("=")
+    kinds, rng = alphabet_of(body), random.Random(zlib.crc32(candidate.encode()))
+    table = bytes(ord(kinds[i * len(kinds) // 256]) for i in range(256))
+    drawn = sum(_compressed(around + rng.randbytes(len(body)).translate(table).decode() + candidate[len(body) :]) - without for _ in range(REFERENCES))
+    return cost, cost * REFERENCES / max(drawn, 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,9 +110,9 @@ def spans_of(text: str) -> list[tuple[str, int, int, float | None]]:
         a, b = m.span()
         if any(s <= a and b <= e for s, _, e, _ in fixed) or not CONTEXT.search(text, max(0, a - BEHIND), a):
             continue
-        cost = marginal_bytes(text[max(0, a - AROUND) : a], said, text[b : b + AROUND])
-        if cost >= LEAST_BYTES and cost / len(said) >= LEAST_NOVELTY:
-            out.append((a, 3, b, cost / len(said)))
+        cost, share = novelty(text[max(0, a - AROUND) : a], said, text[b : b + AROUND])
+        if cost >= LEAST_BYTES and share >= 1 - MOST_LESS / len(said) ** 0.5:
+            out.append((a, 3, b, share))
     return [(KINDS[k], a, b, x) for a, k, b, x in sorted(out, key=lambda s: s[:2])]
 
 

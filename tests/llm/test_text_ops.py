@@ -179,6 +179,27 @@ def test_redaction(spark):
     assert secrets.redact_secrets(df.limit(0)).count() == 0
 
 
+def key_surroundings():
+    prose = "The guide says that every operator should keep the following private key in a safe place and never share it with anybody else; the current value of the private key is "
+    return [(prose, " and it should be rotated every ninety days by the person on call."), ("host: db01.internal\nport: 5432\nregion: eu-west-1\nprivate_key\n", "\nlog_level: info\nworkers: 8\n"), ("secret ", "")]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_keys_of_any_length_and_alphabet_are_novel(alphabet):
+    rng = random.Random(21)
+    for size in (20, 40, 64, 128, 512):
+        for before, after in key_surroundings():
+            keys = ["".join(rng.choices(alphabet, k=size - 2)) + "A7" if alphabet[0] != "a" else "".join(rng.choices(alphabet, k=size - 2)) + "a7" for _ in range(40)]
+            found = sum(("novel", len(before), len(before) + size) in [s[:3] for s in secrets.spans_of(before + k + after)] for k in keys)
+            assert found >= 0.9 * len(keys), (size, before, found)
+
+
+def test_names_in_a_sensitive_context_stay():
+    names = ["default_private_config_account_password_1", "src/main/java/com/example/service/AccountService2", "production_database_replica_03", "north-harbour-bakery-order-7781", "https/docs/section/introduction/part1", "test_wrong_password_returns_403", "user_0123456789abcdefghij", "bibliotheque-nationale-3"]
+    for before, after in key_surroundings():
+        assert not [s for n in names for s in secrets.spans_of(before + n + after)]
+
+
 # ---------------------------------------------------------------------- packing
 
 
