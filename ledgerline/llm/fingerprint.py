@@ -6,12 +6,14 @@ points are selected. Selected features set bits in Bloom filters of 2048 bits, 1
 chained to the next. Two fingerprints compare by the bits that their filters share, less what chance gives: each filter
 of the shorter one takes its best partner, and the likeness is the mean of these.
 
-Entropies of all windows come from counts of equal bytes at each distance up to 63, so no window is counted by itself.
+All texts of 64 bytes and more have these features. Texts under 512 code points, and those with fewer than 8 selected
+windows, have too few for a fine comparison; they have all their 6-byte windows besides, in filters of their own. Filters
+compare with those of the same kind only, and by the kinds that both texts have, so texts on both sides of a limit
+compare by the kind that doesn't change there: selected windows at 512 code points and 8 windows, short ones at 64 bytes.
 
-Texts under 512 code points have too few windows to rank: all their 6-byte windows are features.
+Entropies of all windows come from counts of equal bytes at each distance up to 63, so no window is counted by itself.
 
-Defined results: a long text without a selected window (next to no entropy) has its distinct 6-byte windows as features,
-a text under 6 bytes its whole contents; null counts as empty, and two empty texts are alike; equal texts have equal fingerprints.
+Defined results: a text under 6 bytes has its whole contents as its only short window; null counts as empty, and two empty texts are alike; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import MAX_SPLITS, PIECE_BYTES, bucket_of, index_in, item_of, pieces, prefix_hash, span_hash, utf8
 
 WINDOW, POINTS, FILTER_BITS, PER_FILTER, HASHES = 64, 16, 2048, 160, 5
-#: Texts of fewer code points have too few windows to choose among; all their windows of SHORT_WINDOW bytes are features.
-SHORT, SHORT_WINDOW = 512, 6
+#: Texts of fewer code points, or with fewer selected windows, have all their windows of SHORT_WINDOW bytes as features besides.
+SHORT, FEW, SHORT_WINDOW = 512, 8, 6
+#: Kinds of filters, in the word behind each filter's bits.
+SELECTED, PLAIN = 0, 1
+#: Standard deviations that the bits shared by chance may be above their mean.
+CHANCE_SD = 3.5
 BINS = 1024
 #: Windows of less entropy (bits a byte) are no features.
 LEAST_ENTROPY = 1.0
@@ -136,38 +142,40 @@ def features(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.
 
 
 def filters_of(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
-    """Each text's chain of filters: uint64, filters x 32."""
+    """Each text's chain of filters: uint64, filters x 33, of which the last is the filter's kind."""
     at, hashes = features(data, ends, ranks)
     doc = np.searchsorted(ends, at, "right") - 1
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    short = points[ends[1:]] - points[ends[:-1]] < SHORT
-    ranked = ~short[doc]
-    few_doc, few = _all_windows(data, ends, np.flatnonzero(short))
-    doc, hashes = np.concatenate([doc[ranked], few_doc]), np.concatenate([hashes[ranked], few])
-    count = np.bincount(doc, minlength=len(ends) - 1)
-    if (bare := np.flatnonzero(count == 0)).size:
-        plain = [_plain(data[ends[i] : ends[i + 1]]) for i in bare]
-        doc, hashes = np.concatenate([doc, np.repeat(bare, [len(p) for p in plain])]), np.concatenate([hashes, *plain])
-    order = np.lexsort((np.arange(len(doc)), hashes, doc))  # repeated features count once, where they stand first
+    sizes = np.diff(ends)
+    few = (points[ends[1:]] - points[ends[:-1]] < SHORT) | (np.bincount(doc, minlength=len(sizes)) < FEW)
+    whole = few & (sizes >= SHORT_WINDOW) & (sizes <= PIECE_BYTES)
+    short_doc, short = _all_windows(data, ends, np.flatnonzero(whole))
+    rest = np.flatnonzero(few & ~whole)
+    plain = [_plain(data[ends[i] : ends[i + 1]]) for i in rest]
+    group = np.concatenate([doc * 2 + SELECTED, short_doc * 2 + PLAIN, np.repeat(rest, [len(p) for p in plain]).astype(np.int64) * 2 + PLAIN])
+    hashes = np.concatenate([hashes, short, *plain])
+    order = np.lexsort((np.arange(len(group)), hashes, group))  # repeated features count once, where they stand first
     first = np.ones(len(order), bool)
-    first[1:] = (doc[order][1:] != doc[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    first[1:] = (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
     keep = np.sort(order[first])
-    keep = keep[np.argsort(doc[keep], kind="stable")]
-    doc, hashes = doc[keep], hashes[keep]
-    count = np.bincount(doc, minlength=len(ends) - 1)
+    keep = keep[np.argsort(group[keep], kind="stable")]
+    group, hashes = group[keep], hashes[keep]
+    count = np.bincount(group, minlength=2 * len(sizes))
     nth = index_in(count)[1]
     chain = (count + PER_FILTER - 1) // PER_FILTER
-    base = np.cumsum(chain) - chain
-    row = base[doc] + nth // PER_FILTER
+    row = (np.cumsum(chain) - chain)[group] + nth // PER_FILTER
     bits = np.zeros((int(chain.sum()), FILTER_BITS), np.uint8)
     for i in range(HASHES):
         bits[row, ((hashes >> np.uint64(11 * i)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    return [packed[b : b + c] for b, c in zip(base, chain)]
+    kind = np.repeat(np.arange(len(chain)) % 2, chain).astype(np.uint64)
+    packed = np.concatenate([np.packbits(bits, axis=1).view(np.uint64), kind[:, None]], axis=1)
+    of_text = chain.reshape(-1, 2).sum(1)
+    base = np.cumsum(of_text) - of_text
+    return [packed[b : b + c] for b, c in zip(base, of_text)]
 
 
 def _all_windows(data: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All short windows of the given (short) texts: the text of each and its hash."""
+    """All short windows of the given texts: the text of each and its hash."""
     sizes = np.diff(ends)[docs]
     group, nth = index_in(sizes)
     part = data[ends[docs][group] + nth]
@@ -176,7 +184,7 @@ def _all_windows(data: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[
 
 
 def _plain(text: np.ndarray) -> np.ndarray:
-    """Features of a text without selected windows: its distinct short windows, found piece by piece, or all of it."""
+    """Features of a text of more than a piece: its distinct short windows, found piece by piece; or all of a tiny one."""
     if len(text) < SHORT_WINDOW:
         return span_hash(prefix_hash(text.astype(np.uint64)), np.array([0]), np.array([len(text)]))
     found = np.zeros(0, np.uint64)
@@ -191,24 +199,29 @@ def to_string(chain: np.ndarray) -> str:
 
 
 def from_string(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text.partition(":")[2]), np.uint64).reshape(-1, FILTER_BITS // 64)
+    return np.frombuffer(base64.b64decode(text.partition(":")[2]), np.uint64).reshape(-1, FILTER_BITS // 64 + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: the mean over the shorter chain's filters of the best partner's normalised overlap."""
-    if len(a) == len(b) and np.array_equal(a, b):
+    """0 to 1: the mean over the shorter chain's filters of the best partner's normalised overlap, kind by kind."""
+    if np.array_equal(a, b):
         return 1.0
-    if len(a) > len(b):
-        a, b = b, a
-    na, nb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
-    best = np.empty(len(a))
-    for i in range(len(a)):  # a filter against a chain: memory stays in proportion to the chain
-        common = np.bitwise_count(a[i] & b).sum(1, dtype=np.int64)
-        most = np.minimum(na[i], nb)
-        chance = na[i] * nb / FILTER_BITS
-        floor = chance + 0.3 * (most - chance)
-        best[i] = np.where(common > floor, (common - floor) / np.maximum(most - floor, 1e-9), 0).max()
-    return float(min(1.0, np.average(best, weights=na)))
+    weights, best = [], []
+    for kind in (SELECTED, PLAIN):
+        x, y = a[a[:, -1] == kind, :-1], b[b[:, -1] == kind, :-1]
+        if not len(x) or not len(y):
+            continue
+        if len(x) > len(y):
+            x, y = y, x
+        nx, ny = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
+        for i in range(len(x)):  # a filter against a chain: memory stays in proportion to the chain
+            common = np.bitwise_count(x[i] & y).sum(1, dtype=np.int64)
+            most = np.minimum(nx[i], ny)
+            chance = nx[i] * ny / FILTER_BITS
+            floor = chance + np.maximum(0.3 * (most - chance), CHANCE_SD * np.sqrt(chance * (1 - np.maximum(nx[i], ny) / FILTER_BITS)))
+            best.append(np.where(common > floor, (common - floor) / np.maximum(most - floor, 1e-9), 0).max())
+            weights.append(nx[i])
+    return float(min(1.0, np.average(best, weights=weights))) if best else 0.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: np.ndarray | None = None) -> DataFrame:

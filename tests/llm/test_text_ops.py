@@ -126,6 +126,41 @@ def test_fingerprints_of_nothing_and_of_one(spark, docs):
     assert twice.count() == 3
 
 
+def random_prose(rng, size):
+    text = ""
+    while len(text) < size:
+        text += "".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(2, 9))) + " "
+    return text[:size]
+
+
+def chains_of(texts):
+    data, ends = fingerprint.utf8(fingerprint.pa.array(texts))
+    counts = np.bincount(fingerprint.entropy_bins(data), minlength=fingerprint.BINS)
+    return fingerprint.filters_of(data, ends, fingerprint.ranks_of(counts))
+
+
+def test_near_copies_across_the_limits_are_alike():
+    rng = random.Random(12)
+    for long, short in ((515, 508), (513, 500), (70, 62), (130, 122)):
+        base = [random_prose(rng, long) for _ in range(40)]
+        chains = chains_of(base + [t[:short] for t in base])
+        near = [fingerprint.likeness(a, b) for a, b in zip(chains, chains[40:])]
+        far = [fingerprint.likeness(a, b) for a, b in zip(chains, chains[41:])]
+        assert np.mean(near) > 0.8 and min(near) > 0.4 and np.mean(far) < 0.1, (long, np.mean(near), min(near), np.mean(far))
+    flat = ["a" * 600, "a" * 560 + random_prose(rng, 40)]  # without and with a window to select
+    assert fingerprint.likeness(*chains_of(flat)) > 0.5
+    tiny = [random_prose(rng, 90) for _ in range(40)]  # one window against many filters
+    chains = chains_of([*tiny, random_prose(rng, 200_000)])
+    assert max(fingerprint.likeness(c, chains[-1]) for c in chains[:-1]) == 0
+
+
+def test_edited_text_that_gets_short(spark):
+    rng = random.Random(13)
+    rows = [(i, random_prose(rng, rng.randint(520, 670) if i % 2 == 0 else 10)) for i in range(60)]
+    got = fingerprint.compare_with_edits(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("doc_id % 2 = 0").collect()
+    assert all(len(r[1]) - len(r[1]) // 4 + 10 < 520 for r in rows[::2]) and np.mean([r.near_edited for r in got]) > 0.5
+
+
 # ---------------------------------------------------------------------- secrets
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
