@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 The second kind is found in two steps. A candidate is a run of at least 16 characters of keys and digests with a letter
-and a digit, less than 48 characters behind a sensitive word. Its novelty is what it adds to the compressed size of the
+and a digit, less than 48 characters behind a sensitive word, or behind another run in such a context with only dots,
+line breaks, quotes and the like between, as in PEM blocks and tokens of several parts. Its novelty is what it adds to the compressed size of the
 text around it, as a share of what random strings of the same length and alphabet add in the same place, with a
 compressor primed by a dictionary of common identifiers and by some prose: identifiers, paths and repeated values cost
 less, random keys as much, whatever their length and alphabet. Candidates that cost enough are reported as `novel` unless
@@ -35,6 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|signing|encryption|client|account)[\x20_-]?key|credential|authorization|bearer", re.ASCII | re.IGNORECASE)
+# What may stand between the pieces of one secret (it has a dot, a line break, a quote or a backslash), and a short last line.
+BETWEEN = r"""(?:[.\s"'`+,]|\\[nrt]?+){1,32}"""
+LINK = re.compile(rf"""(?=[^.\r\n"'`\\]*[.\r\n"'`\\]){BETWEEN}""")
+LAST_LINE = re.compile(rf"{BETWEEN}?((?=[+/=]*[A-Za-z0-9])[A-Za-z0-9+/=]{{1,15}}){BETWEEN}?-----END")
+#: A piece of a chain needs no digit if it is as long.
+LONG_PIECE, LINK_CHARS = 40, 64
 #: What identifiers and settings look like; the compressor starts from it.
 IDENTIFIERS = (
     "import from return class def function const let var public private static final void string int float bool true false null none self this "
@@ -103,16 +110,27 @@ def spans_of(text: str) -> list[tuple[str, int, int, float | None]]:
     """All spans of a text by start, then kind as listed."""
     out = [(*s, None) for s in base_spans(text)]
     fixed = list(out)
+    chain, token, found = -1, [], False  # where the last run in a sensitive context ended; its neighbours with only dots between
     for m in CANDIDATE.finditer(text):
-        said = m.group()
-        if not (any(c.isdigit() for c in said) and any(c.isalpha() for c in said)):
+        said, (a, b) = m.group(), m.span()
+        linked = 0 <= chain and a - chain <= LINK_CHARS and LINK.fullmatch(text, chain, a) is not None
+        covered = [k for s, k, e, _ in fixed if s <= a and b <= e]
+        if not (linked or 0 in covered or CONTEXT.search(text, max(0, a - BEHIND), a)):
             continue
-        a, b = m.span()
-        if any(s <= a and b <= e for s, _, e, _ in fixed) or not CONTEXT.search(text, max(0, a - BEHIND), a):
+        if not linked or text[chain:a] != ".":
+            token, found = [], False
+        chain = b
+        letter, digit = any(c.isalpha() for c in said), any(c.isdigit() for c in said)
+        if covered or not letter or not (digit or linked and len(said) >= LONG_PIECE):
             continue
         cost, share = novelty(text[max(0, a - AROUND) : a], said, text[b : b + AROUND])
-        if cost >= LEAST_BYTES and share >= 1 - MOST_LESS / len(said) ** 0.5:
-            out.append((a, 3, b, share))
+        token.append((a, 3, b, share))
+        found |= cost >= LEAST_BYTES and share >= 1 - MOST_LESS / len(said) ** 0.5
+        if found:  # a token's parts are reported together
+            out += token
+            token = []
+            if last := LAST_LINE.match(text, b):
+                out.append((last.start(1), 3, last.end(1), share))
     return [(KINDS[k], a, b, x) for a, k, b, x in sorted(out, key=lambda s: s[:2])]
 
 

@@ -1,5 +1,6 @@
 """Language ID, fingerprints, secret scans and packing against plain Python, their laws and held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import random
@@ -235,6 +236,28 @@ def test_names_in_a_sensitive_context_stay():
         assert not [s for n in names for s in secrets.spans_of(before + n + after)]
 
 
+@pytest.mark.parametrize("size,between", [(1218, "\n"), (1193, "\r\n"), (138, "\n    "), (1218, "\\n"), (121, '\\n" +\n    "')])
+def test_every_line_of_a_private_key_is_found(size, between):
+    rng = random.Random(3)
+    for _ in range(10):
+        key = base64.b64encode(rng.randbytes(size)).decode()
+        lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+        text = "Keep this file.\n" + between.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"]) + "\nThe end of the file is here."
+        left = secrets.redacted(text)
+        assert not [line for line in lines if line in left]
+        assert left.count("[SECRET]") == len(lines) and left.endswith("-----END PRIVATE KEY-----\nThe end of the file is here.")
+
+
+def test_every_part_of_a_bearer_token_is_found():
+    rng = random.Random(4)
+    part = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    for i in range(60):
+        said = '{"sub":"%d","name":"John Doe","iat":%d,"scope":"read write"}' % (rng.randrange(10**10), rng.randrange(10**10))
+        parts = [part(b'{"alg":"HS256","typ":"JWT"}'), part(said.encode()), part(rng.randbytes(32))]
+        left = secrets.redacted(f"curl -H 'Authorization: Bearer {'.'.join(parts)}' https://api.example.com/v1/items")
+        assert left == "curl -H 'Authorization: Bearer [SECRET].[SECRET].[SECRET]' https://api.example.com/v1/items"
+
+
 # ---------------------------------------------------------------------- packing
 
 
