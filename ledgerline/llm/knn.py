@@ -4,8 +4,8 @@ Vectors become integers. With one more coordinate that lifts every data vector t
 the largest inner products are the nearest neighbours, so distances, pivots and triangle inequalities apply:
 
 1. A bounded number of data vectors are pivots; queries and data are grouped by their nearest one.
-2. Summaries: how far a query cell reaches, and the k + 1 least distances to the pivot in each data cell. From them each
-   query cell gets a bound within which all its queries have k neighbours besides themselves.
+2. Summaries: how far a query cell reaches, and the k + 1 least distances of different ids to the pivot in each data
+   cell. From them each query cell gets a bound within which all its queries have k neighbours of other ids.
 3. Query cells are put together in groups of bounded size. A data vector goes to a group only if it lies within the
    reach and bound of one of the group's cells; so nothing that could matter is left out.
 4. Each group meets its data in parts of bounded size and keeps its queries' k best; these are merged by rank.
@@ -76,11 +76,15 @@ def _distances(x: np.ndarray, lifted: np.ndarray, pivots: np.ndarray, lift: np.n
     return np.sqrt(np.maximum(square, 0))
 
 
-def _bounds(reach: dict[int, float], nearest: dict[int, list[float]], between: np.ndarray, k: int) -> dict[int, float]:
-    """For each query cell: a distance within which each of its queries has k data vectors besides itself."""
+def _bounds(reach: dict[int, float], nearest: dict[int, list[tuple[int, float]]], between: np.ndarray, k: int) -> dict[int, float]:
+    """For each query cell: a distance within which each of its queries has k data vectors whose ids are not its own."""
     out = {}
     for i, u in reach.items():
-        upper = sorted(u + between[i, j] + d for j, near in nearest.items() for d in near)
+        least: dict[int, float] = {}
+        for j, near in nearest.items():
+            for own, d in near:
+                least[own] = min(least.get(own, math.inf), u + between[i, j] + d)
+        upper = sorted(least.values())
         out[i] = upper[k] if len(upper) > k else math.inf
     return out
 
@@ -142,10 +146,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     between = _distances(points, lift, points, lift)
     cells = queries.groupBy("cell").agg(F.max("dist").alias("reach"), F.count("*").alias("n")).collect()
     near = Window.partitionBy("cell").orderBy("dist")
-    close = data.select("cell", "dist").withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect()  # pivots * (k + 1)
-    nearest: dict[int, list[float]] = {}
+    close = data.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect()  # pivots * (k + 1)
+    nearest: dict[int, list[tuple[int, float]]] = {}
     for r in close:
-        nearest.setdefault(r["cell"], []).append(r["dist"])
+        nearest.setdefault(r["cell"], []).append((r["id"], r["dist"]))
     reach = {r["cell"]: r["reach"] for r in cells}
     bounds = _bounds(reach, nearest, between, k)
     groups = _groups({r["cell"]: r["n"] for r in cells}, between, queries_per_block)
@@ -195,8 +199,8 @@ def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
 
 def _without_vectors(rows: DataFrame, k: int, id_col: str) -> DataFrame:
     """No vector has a component: every score is 0, and the smallest other ids win."""
-    first = rows.select("id").orderBy("id").limit(k + 1)
+    first = rows.groupBy("id").count().orderBy("id").limit(k + 1)
     asked = rows.filter("is_query").select(F.col("id").alias("query_id")).distinct()
-    ids = [r["id"] for r in first.collect()]
+    ids = [r["id"] for r in first.collect() for _ in range(min(r["count"], k))]
     pairs = asked.withColumn("id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in ids]) if ids else F.array().cast("array<bigint>")))
     return _ranked(pairs.filter("id <> query_id").withColumn("score", F.lit(0).cast("bigint")), k, id_col)

@@ -135,6 +135,14 @@ def test_top_k_matches_brute_force(spark, seed, group):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == top_by_hand(rows, lambda i: i % 20 == 0)
 
 
+def test_top_k_with_repeated_ids(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    ask = lambda rows: sorted(map(tuple, knn.top_inner_products(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).collect()))
+    rows = [(0, [1000.0, 0.0])] * 3 + [(i, [float(x), 0.0]) for i, x in ((1, 999), (2, 998), (3, 997), (4, -1000))]
+    assert ask(rows) == [(0, r, i, 65536 * 1000 * x) for r, i, x in ((1, 1, 999), (2, 2, 998), (3, 3, 997), (4, 4, -1000))]
+    assert ask([(0, [])] * 9 + [(2, []), (1, []), (1, [])]) == [(0, 1, 1, 0), (0, 2, 1, 0), (0, 3, 2, 0)]
+
+
 def test_top_k_of_few(spark):
     schema = "vec_id bigint, embedding array<float>"
     ask = lambda rows: sorted(map(tuple, knn.top_inner_products(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()))
