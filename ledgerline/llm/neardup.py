@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, settled, utf8, words
+from .common import WORD, mix, pieces, settled, utf8, words
 
 COORDS, TREES, DEPTH, LEAF = 32, 14, 4, 32
 _MULTIPLY = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -234,6 +234,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, with their columns, that are the least of their component; rows with one id stay together."""
-    kept = near_duplicates(docs, id_col, text_col, **how).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The documents, with their columns: of each group one row, that of the least id (null comes last).
+
+    Ids may be null or repeat: rows are told apart by a hash of their text, and rows with equal texts are copies, whatever
+    their ids. Every row with an empty set (no words) stays.
+    """
+    text = F.col(text_col)
+    worded = F.coalesce(text.rlike(WORD), F.lit(False))
+    keyed = docs.filter(worded).select(F.xxhash64(text).alias("k"), F.struct("*").alias("row"))
+    own = F.col("row").getField(id_col)
+    first = F.row_number().over(Window.partitionBy("k").orderBy(own.asc_nulls_last()))
+    once = settled(keyed.withColumn("nth", first).filter("nth = 1").drop("nth"))
+    told = near_duplicates(once.select("k", F.col("row").getField(text_col).alias("text")), "k", "text", **how).select("k", "component_id")
+    placed = told.join(once.select("k", own.alias("id")), "k")
+    kept = placed.groupBy("component_id").agg(F.min_by("k", F.struct(F.col("id").isNull(), "id", "k")).alias("k")).select("k")
+    return once.join(kept, "k", "left_semi").select("row.*").unionByName(docs.filter(~worded))

@@ -101,6 +101,17 @@ def test_near_duplicates_odd_rows(spark):
     assert {r.doc_id for r in neardup.deduplicated(df).collect()} == {1, 3, 4, 5}
 
 
+def test_deduplicated_with_null_and_repeated_ids(spark):
+    near = prose(random.Random(6), 200, "abcdefg")
+    rows = [(None, "only this one has no id"), (None, None), (1, "a b c"), (1, "A  b c"), (1, "a b c"), (1, "another text of the same id"), (None, near), (9, near + " end"), (8, near + " stop"), (7, ""), (7, "")]
+    df = with_extra(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    out = neardup.deduplicated(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and len(got) == 7 and {t for d, t in got if d is None} == {"only this one has no id", None}
+    assert sorted((d, t.lower().split() if d == 1 else t) for d, t in got if d and d != 7) == [(1, ["a", "b", "c"]), (1, "another text of the same id".split()), (8, near + " stop")]
+    assert [t for d, t in got if d == 7] == ["", ""]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 11), (7, 7), *[(20 + i, 21 + i) for i in range(50)]]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
