@@ -27,31 +27,52 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests on one machine), a temporary one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: a temporary one, but only on a single machine."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         sc.setCheckpointDir(named)
     return named
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and it is computed once.
 
-    The files live in shared storage, so lost executors don't take them away; they go when the driver's JVM ends.
+    The files live in shared storage, so lost executors don't take them away. They go when `scratch` is cleared, or when
+    the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    if scratch is not None:
+        scratch.paths.append((files, where))
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Settled tables that nothing reads any more once the block ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return settled(df, self)
+
+    def __exit__(self, *_) -> None:
+        for files, where in self.paths:
+            files.delete(where, True)
+        self.paths.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -186,3 +207,54 @@ def index_in(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For `count` items of each group in a row: the group of each item, and its place in the group."""
     group = np.repeat(np.arange(len(count)), count)
     return group, np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches that come sorted by `key`, cut between groups: tables of at least `rows` rows (the last one of fewer) and
+    where their groups start and end. Only a single group can make a table much larger.
+    """
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        own = batch.column(key).to_numpy()
+        change = np.flatnonzero(own[1:] != own[:-1])
+        whole = int(change[-1]) + 1 if len(change) else 0
+        if not whole and (len(held) == 1 or held[-2].column(key)[-1].as_py() == own[0]):
+            continue  # one group so far at the end
+        ready = pa.Table.from_batches(held[:-1] + [batch.slice(0, whole)])
+        held, count = [batch.slice(whole)], batch.num_rows - whole
+        yield ready.combine_chunks(), _group_ends(ready.column(key).to_numpy())
+    if held:
+        last = pa.Table.from_batches(held)
+        yield last.combine_chunks(), _group_ends(last.column(key).to_numpy())
+
+
+def _group_ends(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n items with links a - b: the least item that each one reaches."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        apart = label[a] != label[b]
+        if not apart.any():
+            break
+        a, b, low = a[apart], b[apart], low[apart]
+        for side in (label[a], label[b]):  # hooks the root of each side, too
+            np.minimum.at(label, side, low)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
