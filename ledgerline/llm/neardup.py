@@ -161,7 +161,7 @@ def _grown(rows: DataFrame, levels: int, scratch: Scratch, leaf: int, of_compone
         is_large = f"docs > {leaf}"
         if of_components:
             counts = scratch.keep(rows.groupBy("node").agg(*sizes, (F.min("component") < F.max("component")).alias("mixed")).filter("mixed"))
-            rows = scratch.keep(rows.join(counts.select("node"), "node", "left_semi"))
+            rows = rows.join(counts.select("node"), "node", "left_semi")
             is_large += f" or docs > 1 and bytes > {LEAF_BYTES}"
         else:
             counts = rows.groupBy("node").agg(*sizes)
@@ -170,8 +170,9 @@ def _grown(rows: DataFrame, levels: int, scratch: Scratch, leaf: int, of_compone
             leaves.append(rows)
             return reduce(DataFrame.union, leaves), None
         leaves.append(rows.join(large, "node", "left_anti"))
-        big = scratch.keep(rows.join(large, "node", "left_semi"))
-        rows = _branch(big, level)
+        big = rows.join(large, "node", "left_semi")
+        if level < levels:
+            rows = scratch.keep(_branch(big, level))
     return reduce(DataFrame.union, leaves), big
 
 
