@@ -93,6 +93,47 @@ def test_chains_and_large_groups(spark):
     assert found(neardup.near_duplicates(df)) == duplicates_by_hand(rows, 2)
 
 
+def test_large_clusters(spark, monkeypatch):
+    """Clusters beyond what a task may hold go through salted blocks, deeper branching and the blocks of the last resort."""
+    monkeypatch.setattr(neardup, "LEAF", 32)
+    rng = random.Random(9)
+    rows, at = [], 0
+    for family in range(2):
+        base = prose(rng, 60, "abcdefg" if family else "hijklmn").split()
+        for edits in [0] * 3 + [1] * 40 + [3] * 60 + [6] * 40:
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            rows.append((at, " ".join(t)))
+            at += 1
+    want = duplicates_by_hand(rows, 2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = found(neardup.near_duplicates(df, leaf=32))
+    assert got == want and len({c for _, c, _ in want.values()}) > 10
+    monkeypatch.setattr(neardup, "DEEP", 1)  # nodes that stay large
+    assert found(neardup.near_duplicates(df, leaf=32)) == want
+
+
+def test_recall_at_a_real_size(spark):
+    """The links of sf0.01 by inverted lists in plain Python: all, and so all components, are found."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {d: frozenset(shingles(t, 2)) for d, t in rows}
+    holders = defaultdict(list)
+    for d in sorted(sets):
+        for g in sets[d]:
+            holders[g].append(d)
+    common = Counter()
+    for ds in holders.values():
+        if len(ds) < 60:  # a pair of alike texts shares rare shingles as well as frequent ones
+            common.update((a, b) for i, a in enumerate(ds) for b in ds[i + 1 :])
+    maybe = [(a, b) for (a, b), c in common.items() if 2 * c >= 0.5 * min(len(sets[a]), len(sets[b]))] + [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a]) < 30 and 100 * len(sets[a]) >= 80 * len(sets[b]) and 100 * len(sets[b]) >= 80 * len(sets[a])]
+    links = {(a, b) for a, b in maybe if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = found(queries.op8_chosen_path(spark, "/root/testdata/sf0.01"))
+    met = sum(got[a][1] == got[b][1] for a, b in links)
+    assert len(links) > 50 and met >= 0.99 * len(links)
+    assert all(n == len(sets[d]) for d, (n, _, _) in got.items())
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A  B\tC"), (3, None), (4, ""), (5, "one"), (6, "ONE")], "doc_id bigint, text string")
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
@@ -154,6 +195,30 @@ def test_top_k_with_repeated_ids(spark):
     assert ask([(0, [])] * 9 + [(2, []), (1, []), (1, [])]) == [(0, 1, 1, 0), (0, 2, 1, 0), (0, 3, 2, 0)]
 
 
+def test_top_k_of_huge_components(spark):
+    """Components beyond 2**20, and lengths whose squares leave 64 bits, are scored exactly; a best score beyond is an error."""
+    schema = "vec_id bigint, embedding array<double>"
+    ask = lambda rows: sorted(map(tuple, knn.top_inner_products(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()))
+    near = [(50, [2e6, 1.0]), (1, [2e6, 0.5]), (2, [2e6, -3.0]), (3, [-1.0, 7.0]), (4, [2e6 + 1 / 256, 0.5])]
+    by_hand = lambda rows: sorted((50, r, i, -s) for r, (s, i) in enumerate(sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(rows[0][1], v)), i) for i, v in rows[1:]), 1))
+    assert ask(near) == by_hand(near)
+    wide = [(50, [1e6] * 200 + [3.0]), (1, [1e-3 * i for i in range(200)] + [1.0]), (2, [-1e6] * 100 + [1e6] * 100 + [2.0]), (3, [1e6] * 99 + [-1e6] * 101 + [5.0]), (4, [1e6] * 100 + [-1e6] * 100 + [5.0])]
+    assert ask(wide) == by_hand(wide)
+    with pytest.raises(Exception, match="64 bits"):
+        ask([(50, [1e6] * 384), (1, [1e6] * 384)])
+
+
+def test_clustered_vectors_are_not_all_sent(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.05).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    plan = knn.Plan()
+    got = knn.top_inner_products(df, F.col("vec_id") % 50 == 0, queries_per_block=16, data_per_part=500, seen=plan)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == top_by_hand(rows, lambda i: i % 50 == 0)
+    assert len(plan.groups) >= 4 and sum(plan.sent) < 0.5 * len(plan.groups) * plan.n
+
+
 def test_top_k_of_few(spark):
     schema = "vec_id bigint, embedding array<float>"
     ask = lambda rows: sorted(map(tuple, knn.top_inner_products(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()))
