@@ -1,19 +1,23 @@
 """Fingerprints of documents from their improbable features.
 
-A feature is a window of 64 bytes. Its rank is how often windows of its entropy occur in the corpus: the rarer, the
-better. In every run of 64 neighbouring windows the rarest one (the first of equals) gets a point, and windows with 16
-points are selected. Selected features set bits in Bloom filters of 2048 bits, 160 features to a filter, one filter
-chained to the next. Two fingerprints compare by the bits that their filters share, less what chance gives: each filter
-of the shorter one takes its best partner, and the likeness is the mean of these.
-
-All texts of 64 bytes and more have these features. Texts under 512 code points, and those with fewer than 8 selected
-windows, have too few for a fine comparison; they have all their 6-byte windows besides, in filters of their own. Filters
-compare with those of the same kind only, and by the kinds that both texts have, so texts on both sides of a limit
-compare by the kind that doesn't change there: selected windows at 512 code points and 8 windows, short ones at 64 bytes.
-
-Entropies of all windows come from counts of equal bytes at each distance up to 63, so no window is counted by itself.
-
-Defined results: a text under 6 bytes has its whole contents as its only short window; null counts as empty, and two empty texts are alike; equal texts have equal fingerprints.
+A feature is a window of bytes. Its rank is how often windows of its entropy occur in the corpus: the rarer, the better. In
+every run of neighbouring windows the rarest one (the first of equals) gets a point, and windows with enough points are
+selected. Selected features set bits in Bloom filters of 2048 bits, 160 features to a filter, one filter chained to the
+next. Two fingerprints compare by the bits that their filters share, less what chance gives: each filter of the shorter
+one takes its best partner, and the likeness is the mean of these.
+
+The rule works at two scales, each with ranks of its own. All texts of 64 bytes and more are read at the coarse one:
+windows of 64 bytes, runs of 64, 16 points. Texts under 512 code points, and those with fewer than 8 windows selected there,
+have too few for a fine comparison; they are read at the fine scale besides: windows of 8 bytes, runs of 4, 1 point. Filters
+compare with those of the same scale only, and by the scales that both texts have, so texts on both sides of a limit compare
+by the scale that doesn't change there.
+
+Entropies of all windows come from counts of equal bytes at each distance in them, so no window is counted by itself.
+
+Defined results: a text shorter than a fine window has its whole contents as its only one; null counts as empty, and two
+empty texts are alike; very long texts are read whole, a piece at a time; equal texts have equal fingerprints; repeated
+rows get a row each, rows with equal ids follow each other by text; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,47 +34,56 @@ from pyspark.sql import functions as F
 
 from .common import MAX_SPLITS, PIECE_BYTES, bucket_of, index_in, item_of, pieces, prefix_hash, span_hash, utf8
 
-WINDOW, POINTS, FILTER_BITS, PER_FILTER, HASHES = 64, 16, 2048, 160, 5
-#: Texts of fewer code points, or with fewer selected windows, have all their windows of SHORT_WINDOW bytes as features besides.
-SHORT, FEW, SHORT_WINDOW = 512, 8, 6
-#: Kinds of filters, in the word behind each filter's bits.
-SELECTED, PLAIN = 0, 1
+
+@dataclass(frozen=True)
+class Scale:
+    """How windows are taken and selected. run: a power of two. least: entropy (bits a byte) of windows that count."""
+
+    window: int
+    run: int
+    points: int
+    least: float
+
+
+#: In the order of their numbers, which stand in the word behind each filter's bits.
+SCALES = COARSE, FINE = Scale(64, 64, 16, 1.0), Scale(8, 4, 1, 0.0)
+FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
+#: Texts of fewer code points, or with fewer selected coarse windows, are read at the fine scale besides.
+SHORT, FEW = 512, 8
 #: Standard deviations that the bits shared by chance may be above their mean.
 CHANCE_SD = 3.5
 BINS = 1024
-#: Windows of less entropy (bits a byte) are no features.
-LEAST_ENTROPY = 1.0
 HALO, CHUNK = 192, 1 << 16
 UNRANKED = np.int64(1 << 20)
-_SCALE = 1 << 16
-_TERM = np.array([0] + [round(c * math.log2(c) * _SCALE) for c in range(1, WINDOW + 1)], np.int64)
+_UNIT = 1 << 16
+_TERM = np.array([0] + [round(c * math.log2(c) * _UNIT) for c in range(1, COARSE.window + 1)], np.int64)
 _GAIN = _TERM[1:] - _TERM[:-1]
 _PLACE = np.int64(1 << 40)
 
 
-def entropy_bins(data: np.ndarray) -> np.ndarray:
-    """For each window start: its entropy, 0 to BINS - 1 for 0 to 6 bits; all windows of the array, whatever the text."""
+def entropy_bins(data: np.ndarray, window: int = COARSE.window) -> np.ndarray:
+    """For each window start: its entropy, 0 to BINS - 1 for 0 to log2(window) bits; of all windows, whatever the text."""
     n = len(data)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, np.int64)
-    past, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # how many of the 63 bytes before, after are the same
+    past, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # how many of the window - 1 bytes before, after are the same
     for a in range(0, n, CHUNK):
-        part = data[max(0, a - WINDOW + 1) : a + CHUNK]
-        skip = a - max(0, a - WINDOW + 1)
+        part = data[max(0, a - window + 1) : a + CHUNK]
+        skip = a - max(0, a - window + 1)
         p = np.zeros(len(part), np.uint8)
-        for d in range(1, min(WINDOW, len(part))):
+        for d in range(1, min(window, len(part))):
             p[d:] += (part[d:] == part[:-d]).view(np.uint8)
         past[a : a + CHUNK] = p[skip:]
     for a in range(0, n, CHUNK):
-        part = data[a : a + CHUNK + WINDOW - 1]
+        part = data[a : a + CHUNK + window - 1]
         p = np.zeros(len(part), np.uint8)
-        for d in range(1, min(WINDOW, len(part))):
+        for d in range(1, min(window, len(part))):
             p[:-d] += (part[d:] == part[:-d]).view(np.uint8)
         ahead[a : a + CHUNK] = p[:CHUNK]
     change = _GAIN[past]
-    change[WINDOW:] -= _GAIN[ahead[:-WINDOW]]
-    terms = np.cumsum(change)[WINDOW - 1 :]  # sum of c log2 c over the window's bytes
-    return (BINS - 1) - np.minimum(BINS - 1, terms * (BINS - 1) // int(_TERM[WINDOW]))
+    change[window:] -= _GAIN[ahead[:-window]]
+    terms = np.cumsum(change)[window - 1 :]  # sum of c log2 c over the window's bytes
+    return (BINS - 1) - np.minimum(BINS - 1, terms * (BINS - 1) // int(_TERM[window]))
 
 
 def _inside(ends: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -81,79 +95,98 @@ def _inside(ends: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
+def counts_of(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each entropy occurs among the windows of texts: scales x BINS."""
+    total = np.zeros((len(SCALES), BINS), np.int64)
+    for row, scale in zip(total, SCALES):
+        bins = entropy_bins(data, scale.window)
+        row += np.bincount(bins[_inside(ends, scale.window, len(bins))], minlength=BINS)
+    return total
+
+
 def histogram(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each entropy occurs among the windows of all texts."""
+    """counts_of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        total = np.zeros((len(SCALES), BINS), np.int64)
         for batch in pieces(batches):
-            data, ends = utf8(batch.column("text"))
-            bins = entropy_bins(data)
-            total += np.bincount(bins[_inside(ends, WINDOW, len(bins))], minlength=BINS)
+            total += counts_of(*utf8(batch.column("text")))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["bin", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BINS, np.int64)
+    out = np.zeros(len(SCALES) * BINS, np.int64)
     for r in rows:
         out[r["bin"]] = r["n"]
-    return out
+    return out.reshape(len(SCALES), BINS)
 
 
 def ranks_of(counts: np.ndarray) -> np.ndarray:
-    """Rank of each entropy, 0 for the rarest; entropies that never occurred are the rarest, by their number."""
-    ranks = np.empty(BINS, np.int64)
-    ranks[np.lexsort((np.arange(BINS), counts))] = np.arange(BINS)
-    ranks[: math.ceil(LEAST_ENTROPY / 6 * (BINS - 1))] = UNRANKED
+    """At each scale the rank of each entropy, 0 for the rarest; entropies that never occurred are the rarest, by their number."""
+    ranks = np.empty((len(SCALES), BINS), np.int64)
+    for row, own, scale in zip(ranks, counts, SCALES):
+        row[np.lexsort((np.arange(BINS), own))] = np.arange(BINS)
+        row[: math.ceil(scale.least / math.log2(scale.window) * (BINS - 1))] = UNRANKED
     return ranks
 
 
-def features(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the selected windows in the array, ascending, and their hashes."""
+def features(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray, scale: Scale = COARSE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the selected windows in the array, ascending, and their hashes. ranks: those of the scale."""
     places, hashes = [], []
-    sizes = np.diff(ends)
+    sizes, window = np.diff(ends), scale.window
+    span = window + scale.run - 1
     for a in range(0, len(data), PIECE_BYTES):
         lo, hi = max(0, a - HALO), min(len(data), a + PIECE_BYTES + HALO)
         part, cut = data[lo:hi], np.clip(ends, lo, hi) - lo
-        bins = entropy_bins(part)
+        bins = entropy_bins(part, window)
         n = len(bins)
         if not n:
             continue
-        rank = np.where(_inside(cut, WINDOW, n), ranks[bins], UNRANKED)
+        rank = np.where(_inside(cut, window, n), ranks[bins], UNRANKED)
         key = rank * _PLACE + np.arange(n)
-        least = key.copy()  # the best of 64 windows from each start on
-        for step in (1, 2, 4, 8, 16, 32):
+        least, step = key.copy(), 1  # the best of a run of windows from each start on
+        while step < scale.run:
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
-        won = least[_inside(cut, 2 * WINDOW - 1, len(least))] if len(least) else least
-        small = np.flatnonzero((sizes >= WINDOW) & (sizes < 2 * WINDOW - 1) & (ends[:-1] >= lo) & (ends[1:] <= hi))
+            step *= 2
+        won = least[_inside(cut, span, len(least))] if len(least) else least
+        small = np.flatnonzero((sizes >= window) & (sizes < span) & (ends[:-1] >= lo) & (ends[1:] <= hi))
         if len(small):  # too few windows for a run: all of them together are one
-            edges = np.stack([cut[small], cut[small + 1] - WINDOW + 1], 1).ravel()
+            edges = np.stack([cut[small], cut[small + 1] - window + 1], 1).ravel()
             won = np.concatenate([won, np.minimum.reduceat(np.append(key, UNRANKED * _PLACE), edges)[::2]])
         points = np.bincount((won[won < UNRANKED * _PLACE] % _PLACE), minlength=n)
         at = np.flatnonzero(points)
         doc = np.searchsorted(ends, at + lo, "right") - 1
-        need = np.clip(sizes[doc] - 2 * WINDOW + 2, 1, POINTS)
+        need = np.clip(sizes[doc] - span + 1, 1, scale.points)
         at = at[(points[at] >= need) & (at + lo >= a) & (at + lo < a + PIECE_BYTES)]
-        hashes.append(span_hash(prefix_hash(part.astype(np.uint64)), at, at + WINDOW))
+        hashes.append(span_hash(prefix_hash(part.astype(np.uint64)), at, at + window))
         places.append(at + lo)
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def _fine(data: np.ndarray, ends: np.ndarray, docs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fine features of the given texts: the text of each and its hash. A tiny text is its own feature."""
+    sizes = np.diff(ends)[docs]
+    group, nth = index_in(sizes)
+    part, cut = data[ends[docs][group] + nth], np.concatenate([[0], np.cumsum(sizes)])
+    at, hashes = features(part, cut, ranks, FINE)
+    tiny = np.flatnonzero(sizes < FINE.window)
+    whole = [span_hash(prefix_hash(part[cut[i] : cut[i + 1]].astype(np.uint64)), np.array([0]), np.array([sizes[i]])) for i in tiny]
+    own = docs[np.searchsorted(cut, at, "right") - 1] if len(at) else at
+    return np.concatenate([own, docs[tiny]]), np.concatenate([hashes, *whole])
+
+
 def filters_of(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
-    """Each text's chain of filters: uint64, filters x 33, of which the last is the filter's kind."""
-    at, hashes = features(data, ends, ranks)
+    """Each text's chain of filters: uint64, filters x 33, of which the last is the number of the filter's scale."""
+    at, hashes = features(data, ends, ranks[0], COARSE)
     doc = np.searchsorted(ends, at, "right") - 1
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     sizes = np.diff(ends)
-    few = (points[ends[1:]] - points[ends[:-1]] < SHORT) | (np.bincount(doc, minlength=len(sizes)) < FEW)
-    whole = few & (sizes >= SHORT_WINDOW) & (sizes <= PIECE_BYTES)
-    short_doc, short = _all_windows(data, ends, np.flatnonzero(whole))
-    rest = np.flatnonzero(few & ~whole)
-    plain = [_plain(data[ends[i] : ends[i + 1]]) for i in rest]
-    group = np.concatenate([doc * 2 + SELECTED, short_doc * 2 + PLAIN, np.repeat(rest, [len(p) for p in plain]).astype(np.int64) * 2 + PLAIN])
-    hashes = np.concatenate([hashes, short, *plain])
+    few = np.flatnonzero((points[ends[1:]] - points[ends[:-1]] < SHORT) | (np.bincount(doc, minlength=len(sizes)) < FEW))
+    fine_doc, fine = _fine(data, ends, few, ranks[1])
+    group = np.concatenate([doc * 2, fine_doc * 2 + 1])
+    hashes = np.concatenate([hashes, fine])
     order = np.lexsort((np.arange(len(group)), hashes, group))  # repeated features count once, where they stand first
     first = np.ones(len(order), bool)
     first[1:] = (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
@@ -174,26 +207,6 @@ def filters_of(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> list[np
     return [packed[b : b + c] for b, c in zip(base, of_text)]
 
 
-def _all_windows(data: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All short windows of the given texts: the text of each and its hash."""
-    sizes = np.diff(ends)[docs]
-    group, nth = index_in(sizes)
-    part = data[ends[docs][group] + nth]
-    start = np.flatnonzero(sizes[group] - nth >= SHORT_WINDOW)
-    return docs[group[start]], span_hash(prefix_hash(part.astype(np.uint64)), start, start + SHORT_WINDOW)
-
-
-def _plain(text: np.ndarray) -> np.ndarray:
-    """Features of a text of more than a piece: its distinct short windows, found piece by piece; or all of a tiny one."""
-    if len(text) < SHORT_WINDOW:
-        return span_hash(prefix_hash(text.astype(np.uint64)), np.array([0]), np.array([len(text)]))
-    found = np.zeros(0, np.uint64)
-    for a in range(0, len(text), PIECE_BYTES):
-        part = text[a : a + PIECE_BYTES + SHORT_WINDOW - 1]
-        found = np.union1d(found, _all_windows(part, np.array([0, len(part)]), np.array([0]))[1])
-    return found
-
-
 def to_string(chain: np.ndarray) -> str:
     return f"{len(chain)}:{base64.b64encode(chain.tobytes()).decode()}"
 
@@ -203,11 +216,11 @@ def from_string(text: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: the mean over the shorter chain's filters of the best partner's normalised overlap, kind by kind."""
+    """0 to 1: the mean over the shorter chain's filters of the best partner's normalised overlap, scale by scale."""
     if np.array_equal(a, b):
         return 1.0
     weights, best = [], []
-    for kind in (SELECTED, PLAIN):
+    for kind in range(len(SCALES)):
         x, y = a[a[:, -1] == kind, :-1], b[b[:, -1] == kind, :-1]
         if not len(x) or not len(y):
             continue

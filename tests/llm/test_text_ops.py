@@ -106,12 +106,76 @@ def test_entropy_of_windows_matches_counting():
         assert abs(bins[i] - h / 6 * (fingerprint.BINS - 1)) <= 1.5
 
 
+def selected_by_hand(text, counts, scale):
+    """Hashes of the selected windows of one text (bytes), window by window; counts: how often each entropy bin occurs."""
+    order = sorted(range(fingerprint.BINS), key=lambda b: (counts[b], b))
+    rank = {b: i for i, b in enumerate(order)}
+    least = math.ceil(scale.least / math.log2(scale.window) * (fingerprint.BINS - 1))
+    bins = []
+    for i in range(len(text) - scale.window + 1):
+        n = [text[i : i + scale.window].count(c) for c in set(text[i : i + scale.window])]
+        terms = sum(round(c * math.log2(c) * (1 << 16)) for c in n)
+        top = round(scale.window * math.log2(scale.window) * (1 << 16))
+        bins.append(fingerprint.BINS - 1 - min(fingerprint.BINS - 1, terms * (fingerprint.BINS - 1) // top))
+    runs = [range(i, i + scale.run) for i in range(len(bins) - scale.run + 1)] or [range(len(bins))]
+    points = defaultdict(int)
+    for run in runs:
+        ranked = [(rank[bins[i]], i) for i in run if bins[i] >= least]
+        if ranked:
+            points[min(ranked)[1]] += 1
+    need = min(max(len(text) - scale.window - scale.run + 2, 1), scale.points)
+    return sorted(i for i, n in points.items() if n >= need)
+
+
+def test_selection_filters_and_likeness_match_a_plain_version():
+    rng = random.Random(31)
+    texts = [random_prose(rng, n) for n in (9, 40, 70, 130, 300, 511, 512, 900, 3000)] + ["ab" * 20, "a" * 700, "tiny", ""]
+    texts += [t[: len(t) - len(t) // 4] + random_prose(rng, len(t) // 4) for t in texts]
+    data, ends = fingerprint.utf8(fingerprint.pa.array(texts))
+    counts = fingerprint.counts_of(data, ends)
+    for row, scale in zip(counts, fingerprint.SCALES):
+        places, _ = fingerprint.features(data, ends, fingerprint.ranks_of(counts)[fingerprint.SCALES.index(scale)], scale)
+        for i, t in enumerate(texts):
+            own = places[(places >= ends[i]) & (places < ends[i + 1])] - ends[i]
+            assert own.tolist() == selected_by_hand(t.encode(), row, scale), (scale, i)
+    ranks = fingerprint.ranks_of(counts)
+    coarse, fine = (fingerprint.features(data, ends, r, s) for r, s in zip(ranks, fingerprint.SCALES))
+    bits = []
+    for i, t in enumerate(texts):  # bit sets of the chains, from the features
+        of = lambda f: list(dict.fromkeys(int(h) for a, h in zip(*f) if ends[i] <= a < ends[i + 1]))
+        lists = [of(coarse), of(fine) if len(t) < 512 or len([a for a in coarse[0] if ends[i] <= a < ends[i + 1]]) < 8 else []]
+        if len(t) < 8:
+            lists[1] = [int(fingerprint.span_hash(fingerprint.prefix_hash(np.frombuffer(t.encode(), np.uint8).astype(np.uint64)), np.array([0]), np.array([len(t)]))[0])]
+        bits.append([[{h >> 11 * j & 2047 for h in own[a : a + 160] for j in range(5)} for a in range(0, len(own), 160)] for own in lists])
+
+    def likeness(x, y):
+        if x == y:
+            return 1.0
+        total = weight = 0
+        for a, b in zip(x, y):
+            if a and b:
+                a, b = (a, b) if len(a) <= len(b) else (b, a)
+                for f in a:
+                    best = 0
+                    for g in b:
+                        most, chance = min(len(f), len(g)), len(f) * len(g) / 2048
+                        floor = chance + max(0.3 * (most - chance), 3.5 * math.sqrt(chance * (1 - max(len(f), len(g)) / 2048)))
+                        if len(f & g) > floor:
+                            best = max(best, (len(f & g) - floor) / max(most - floor, 1e-9))
+                    total, weight = total + best * len(f), weight + len(f)
+        return min(1.0, total / weight) if weight else 0.0
+
+    chains = fingerprint.filters_of(data, ends, ranks)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert fingerprint.likeness(chains[i], chains[j]) == pytest.approx(likeness(bits[i], bits[j]))
+
+
 def test_features_don_t_depend_on_pieces():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 300_000).astype(np.uint8)
     ends = np.array([0, 1000, 1000, 150_000, 300_000])
-    counts = np.bincount(fingerprint.entropy_bins(data), minlength=fingerprint.BINS)
-    ranks = fingerprint.ranks_of(counts)
+    ranks = fingerprint.ranks_of(fingerprint.counts_of(data, ends))
     whole = fingerprint.filters_of(data, ends, ranks)
     for i, (a, b) in enumerate(zip(ends, ends[1:])):
         alone = fingerprint.filters_of(data[a:b], np.array([0, b - a]), ranks)[0]
@@ -136,8 +200,7 @@ def random_prose(rng, size):
 
 def chains_of(texts):
     data, ends = fingerprint.utf8(fingerprint.pa.array(texts))
-    counts = np.bincount(fingerprint.entropy_bins(data), minlength=fingerprint.BINS)
-    return fingerprint.filters_of(data, ends, fingerprint.ranks_of(counts))
+    return fingerprint.filters_of(data, ends, fingerprint.ranks_of(fingerprint.counts_of(data, ends)))
 
 
 def test_near_copies_across_the_limits_are_alike():
@@ -261,24 +324,69 @@ def test_every_part_of_a_bearer_token_is_found():
 # ---------------------------------------------------------------------- packing
 
 
-def test_pack_leaves_the_least_room():
+def packed_by_hand(lengths, capacities, menus):
+    """Bin and offset of each length and the bins' capacities, by looking through everything each time."""
+    best = None
+    for menu in menus:
+        left, bins, where, at = list(lengths), [], [], 0
+        for n in lengths:
+            left.remove(n)
+            fits = [b for b in bins if b["room"] >= n]
+            if fits:
+                bin_ = min(fits, key=lambda b: (b["room"], -b["since"]))
+            else:
+                prices = []
+                for c in sorted(c for c in menu if c >= n):
+                    room = c - n
+                    for x in sorted(left, reverse=True):
+                        room -= x if x <= room else 0
+                    prices.append((packing.cost(min(k for k in capacities if k >= c - room)) / (c - room), c))
+                bin_ = {"number": len(bins), "room": min(prices)[1], "filled": 0, "since": 0}
+                bins.append(bin_)
+            where.append((bin_["number"], bin_["filled"]))
+            at += 1
+            bin_.update(room=bin_["room"] - n, filled=bin_["filled"] + n, since=at)
+        sizes = [min(c for c in capacities if c >= b["filled"]) for b in bins]
+        total = sum(map(packing.cost, sizes))
+        if best is None or total < best[0]:
+            best = total, where, sizes
+    return best or (0, [], [])
+
+
+def test_pack_matches_a_plain_version_and_weighs_sizes():
     rng = random.Random(4)
-    for _ in range(30):
-        lengths = sorted((rng.randint(1, 100) for _ in range(60)), reverse=True)
+    opened = set()
+    for trial in range(25):
+        most = (100, 30, 60)[trial % 3]
+        lengths = sorted((rng.randint(1, most) for _ in range(60)), reverse=True)
         where, offset, capacity = packing.pack(lengths, (25, 50, 100))
-        filled = defaultdict(int)
-        opened = {}
-        for n, b, o in zip(lengths, where, offset):
-            room = {i: opened[i] - f for i, f in filled.items()}
-            if b not in filled:
-                assert all(r < n for r in room.values())  # nothing open could take it
-                opened[b] = min((c for c in (25, 50, 100) if c >= n), key=lambda c: (packing.cost(c) / c, -c))
-            else:
-                assert room[b] >= n and room[b] == min(r for r in room.values() if r >= n)
-            assert o == filled[b]
-            filled[b] += n
-        for b, f in filled.items():
-            assert capacity[b] == min(c for c in (25, 50, 100) if c >= f)  # downsized to its contents
+        total, by_hand, sizes = packed_by_hand(lengths, (25, 50, 100), packing.menus((25, 50, 100)))
+        assert list(zip(where, offset)) == by_hand and capacity == sizes
+        opened |= set(capacity)
+        for single in (25, 50, 100):  # never dearer than one size alone
+            if most <= single:
+                assert total <= packed_by_hand(lengths, (25, 50, 100), [(single,)])[0] + 1e-9
+    assert opened == {25, 50, 100}
+
+
+def test_packing_does_not_depend_on_partitions(spark, docs):
+    told = lambda df: sorted(map(tuple, packing.pack_documents(df, (64, 128, 256), group_docs=40).collect()), key=str)
+    assert told(docs.repartition(2)) == told(docs.repartition(7, "text"))
+
+
+def test_packing_query_against_the_plain_version(spark):
+    """Every group of the query's table, dealt by the same hash, packed by the plain version."""
+    rows = packing.dealt(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text", 5000).collect()
+    want = []
+    for g in {r.group for r in rows}:
+        parts = []
+        for r in sorted((r for r in rows if r.group == g), key=lambda r: (r.id, r.tokens)):
+            parts += [(min(4096, r.tokens - a), r.id, i, a) for i, a in enumerate(range(0, r.tokens, 4096))] * r.copies
+        parts.sort(key=lambda p: -p[0])
+        _, where, sizes = packed_by_hand([p[0] for p in parts], packing.CAPACITIES, packing.menus(packing.CAPACITIES))
+        want += [(d, i, a, n, f"{g}-{b}", sizes[b], o) for (n, d, i, a), (b, o) in zip(parts, where)]
+    got = [(r.doc_id, r.part, r.first_token, r.n_tokens, r.bin_id, r.bin_capacity, r.bin_offset) for r in queries.op10_variable_best_fit(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_packing_covers_every_token_once(docs):
@@ -305,4 +413,6 @@ def test_packing_covers_every_token_once(docs):
 def test_packing_repeated_rows_and_nothing(spark, docs):
     df = spark.createDataFrame([(1, "a b")] * 3 + [(None, None)], "doc_id bigint, text string")
     assert sum(r.n_tokens for r in packing.pack_documents(df).collect()) == 10
+    many = spark.createDataFrame([(1, "a b")] * 2500 + [(2, "a b")] * 30, "doc_id bigint, text string")
+    assert packing.pack_documents(many, group_docs=100).count() == 2530
     assert packing.pack_documents(docs.limit(0)).count() == 0
