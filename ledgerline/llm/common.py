@@ -67,6 +67,11 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return settled(df, self)
 
+    def also(self, spark: SparkSession, path: str) -> None:
+        """A path of the shared folder that goes with the rest."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.paths.append((where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where))
+
     def __exit__(self, *_) -> None:
         for files, where in self.paths:
             files.delete(where, True)

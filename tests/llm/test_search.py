@@ -269,6 +269,52 @@ def test_scores_are_probabilities_and_beat_the_base(spark):
     assert all(again[d] == pytest.approx(got[d].score) for d in got)  # seating depends on the seeds only
 
 
+def test_restaurants_match_plain_counts_and_formulas(spark):
+    """Counts of every context, and probabilities from the sampled tables, one dish at a time."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    rows = [(i, t, i % 4 > 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, text string, train boolean")
+    merged = pitman_yor._merged(pitman_yor._packed(df, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 2).filter("part >= 0").collect()
+    plain, contexts = Counter(), set()
+    for _, t, trains in rows:
+        own = [0, 0, *tokens(t)]
+        for two, before, word in zip(own, own[1:], own[2:]):
+            plain[two, before, word] += trains
+            contexts.add((two, before))
+    counts, restaurants = [], 0
+    for row in merged:
+        part = pitman_yor.Part(row.asDict())
+        counts += part.count.tolist()
+        restaurants += len(part.customers)
+        root = np.random.default_rng(1).dirichlet(np.ones(len(part.words)))
+        for tables, upper, d in part.states(root, 3, 5):
+            assert all((0 < t <= c) if c else t == 0 for c, t in zip(part.count, tables))
+            got = part.probability(tables, upper, d, root)
+            served = [sum(tables[j] for j in range(len(tables)) if part.pair[j] == q) for q in range(len(upper))]
+            assert all((0 < t <= c) if c else t == 0 for c, t in zip(served, upper))
+            for i in range(0, len(got), 7):
+                q, v, r = part.pair[i], part.context[part.pair[i]], part.below[i]
+                n = sum(x for x, o in zip(served, part.context) if o == v)
+                t = sum(x for x, o in zip(upper, part.context) if o == v)
+                p = (max(served[q] - d * upper[q], 0) + (1 + d * t) * root[part.word[q]]) / (1 + n)
+                n = sum(x for x, o in zip(part.count, part.below) if o == r)
+                t = sum(x for x, o in zip(tables, part.below) if o == r)
+                assert got[i] == pytest.approx((max(part.count[i] - part.discount * tables[i], 0) + (1 + part.discount * t) * p) / (1 + n))
+    assert sorted(counts) == sorted(plain.values()) and restaurants == len(contexts)
+
+
+def test_scores_tell_what_occurs_twice(spark):
+    """Held-out texts beat the base; texts that training has twice score above those it has once."""
+    got = queries.op6_pitman_yor(spark, "/root/testdata/sf0.01").filter("n_tokens > 30")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.xxhash64("text").alias("h"))
+    times = docs.filter(langid.remainder("doc_id", 7) != 2).groupBy("h").agg(F.count("*").alias("times"))
+    rows = got.join(docs, "doc_id").join(times, "h", "left").collect()
+    mean = lambda keep: np.mean([r.score / r.n_tokens for r in rows if keep(r)])
+    assert mean(lambda r: r.held_out and not r.times) > np.mean([r.base_score / r.n_tokens for r in rows if r.held_out and not r.times])
+    assert mean(lambda r: r.times == 2) > mean(lambda r: r.times == 1) + 0.2
+
+
 def test_scores_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, None), (None, "")], "doc_id bigint, text string")
     got = pitman_yor.score_texts(df, F.lit(False)).collect()

@@ -258,6 +258,48 @@ def test_base_spans_match_plain_regular_expressions(spark):
     assert {8, 9, 15} <= novel and not {10, 11, 12} & novel
 
 
+def test_novel_spans_match_a_plain_version(spark):
+    """Every candidate of whole texts, with its marginal compressed bytes measured one call at a time."""
+    import zlib
+
+    import zstandard
+
+    rng = random.Random(17)
+    key = lambda kinds, n: "".join(rng.choices(kinds, k=n)) + "a7"
+    mixed, low, up = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = []
+    for i in range(60):
+        said = [key(mixed, 30), key(low, 50), key(up, 20), "northHarbour_bakery_orders_2024", "harbour-mill-server-17", "a" * 30 + "1"][i % 6]
+        before = ["my secret is ", "the credential reads: ", "bearer ", "nothing to see, just "][i % 4]
+        texts.append(f"northHarbour_bakery and harbour-mill. {random_prose(rng, 40)} {before}{said} {random_prose(rng, 60)} northHarbour_bakery")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    learnt = secrets.identifier_words(df)
+    assert {"north", "harbour", "bakery", "mill"} <= set(learnt) and not any(re.search(r"\d", w) for w in learnt)
+    content = (" ".join(learnt) + " " + secrets.IDENTIFIERS).encode()
+    press = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    size = lambda t: len(press.compress(t.encode()))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "novel"] for r in secrets.find_secrets(df).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            a, b = m.span()
+            if not re.search(r"secret|credential|bearer", t[max(0, a - 48) : a], re.I) or not (re.search(r"[A-Za-z]", m.group()) and re.search(r"\d", m.group())):
+                continue
+            around = secrets.PROSE + t[max(0, a - 256) : a] + t[b : b + 256]
+            kinds, draw = secrets.alphabet_of(m.group().rstrip("=")), random.Random(zlib.crc32(m.group().encode()))
+            others = []
+            for _ in range(secrets.REFERENCES):
+                raw = draw.randbytes(len(m.group().rstrip("=")))
+                others.append(size(around + "".join(kinds[x * 0 + y * len(kinds) // 256] for x, y in zip(range(len(raw)), raw))) - size(around))
+            cost = size(around + m.group()) - size(around)
+            if cost >= 9 and cost * len(others) / max(sum(others), 1) >= 1 - 0.8 / len(m.group()) ** 0.5:
+                want.append((a, b))
+        assert got[i] == want, t
+        found += len(want)
+    assert 15 <= found <= 30
+
+
 def test_query_digest(spark):
     got = {r.doc_id: r for r in queries.op9_zstd_novelty(spark, SF).collect()}
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -275,7 +317,15 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
     assert out[0] is None and out[1] == "" and out[2] == '[SECRET]" and token:abc' and out[12] == rows[12][1]
     assert all(not base(t or "") for t in out.values())
-    assert secrets.redact_secrets(df.limit(0)).count() == 0
+    assert secrets.redact_secrets(df.limit(0)).count() == 0 and secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_secrets_of_repeated_rows_beside_other_columns(spark):
+    df = with_extra(spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, None)], "doc_id int, text string"))
+    got = sorted((str(r.doc_id), len(r.spans)) for r in secrets.find_secrets(df).collect())
+    assert got == [("1", 1), ("1", 1), ("None", 0)]
+    out = secrets.redact_secrets(df)
+    assert out.columns == df.columns and sorted(str(r.text) for r in out.collect()) == ["None", "[SECRET]", "[SECRET]"]
 
 
 def key_surroundings():
