@@ -4,7 +4,7 @@ A document's set are the distinct shingles of two words of its lower-cased text.
 and only one of a class, its representative, goes on, in three steps:
 
 1. Candidates. Independent trees branch the representatives by minwise tokens: the root of each by the token that is least
-   under the tree's own hash, and every node of more than LEAF documents again by one or more tokens that the node chooses,
+   under the tree's own hash, and every node of more than 2 * LEAF documents again by one or more tokens that the node chooses,
    1 / 0.8 of them on average. In small nodes all signatures are compared; only a star of the likely pairs leaves the
    node. What is connected is a candidate cluster, so every pair of similar documents that met in a node is in one cluster.
    A node that is still large at the last level holds alike documents and becomes part of one cluster as it is.
@@ -161,7 +161,7 @@ def _grown(rows: DataFrame, levels: int, scratch: Scratch, leaf: int, of_compone
         is_large = f"docs > {leaf}"
         if of_components:
             counts = scratch.keep(rows.groupBy("node").agg(*sizes, (F.min("component") < F.max("component")).alias("mixed")).filter("mixed"))
-            rows = rows.join(counts.select("node"), "node", "left_semi")
+            rows = scratch.keep(rows.join(counts.select("node"), "node", "left_semi"))
             is_large += f" or docs > 1 and bytes > {LEAF_BYTES}"
         else:
             counts = rows.groupBy("node").agg(*sizes)
@@ -372,7 +372,7 @@ def _grouped(rows: DataFrame, width: int, percent: int, leaf: int) -> DataFrame:
         key = F.when(F.col("shared").isNotNull(), F.xxhash64("k1", "k2", "n")).otherwise(F.col("least"))
         reps = classes.join(shared.withColumn("shared", F.lit(1)), "least", "left").withColumn("id", key).drop("shared")
 
-        leaves, stuck = _grown(_roots(reps, "sig"), LEVELS, scratch, leaf)
+        leaves, stuck = _grown(_roots(reps, "sig"), LEVELS, scratch, 2 * leaf)
         likely = _likely_links(leaves.select("node", "id", "n", "sig"), percent)
         if stuck is not None:  # alike documents: one cluster, whatever their signatures say
             likely = likely.union(stuck.join(stuck.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b"))

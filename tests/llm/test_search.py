@@ -272,7 +272,7 @@ def test_scores_are_probabilities_and_beat_the_base(spark):
 def test_restaurants_match_plain_counts_and_formulas(spark):
     """Counts of every context, and probabilities from the sampled tables, one dish at a time."""
     rng = random.Random(16)
-    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(40)]
     rows = [(i, t, i % 4 > 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id bigint, text string, train boolean")
     merged = pitman_yor._merged(pitman_yor._packed(df, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 2).filter("part >= 0").collect()
@@ -287,20 +287,24 @@ def test_restaurants_match_plain_counts_and_formulas(spark):
         part = pitman_yor.Part(row.asDict())
         counts += part.count.tolist()
         restaurants += len(part.customers)
+        pair, below, count, of_pair, word = (x.tolist() for x in (part.pair, part.below, part.count, part.context, part.word))
         root = np.random.default_rng(1).dirichlet(np.ones(len(part.words)))
-        for tables, upper, d in part.states(root, 3, 5):
-            assert all((0 < t <= c) if c else t == 0 for c, t in zip(part.count, tables))
-            got = part.probability(tables, upper, d, root)
-            served = [sum(tables[j] for j in range(len(tables)) if part.pair[j] == q) for q in range(len(upper))]
-            assert all((0 < t <= c) if c else t == 0 for c, t in zip(served, upper))
-            for i in range(0, len(got), 7):
-                q, v, r = part.pair[i], part.context[part.pair[i]], part.below[i]
-                n = sum(x for x, o in zip(served, part.context) if o == v)
-                t = sum(x for x, o in zip(upper, part.context) if o == v)
-                p = (max(served[q] - d * upper[q], 0) + (1 + d * t) * root[part.word[q]]) / (1 + n)
-                n = sum(x for x, o in zip(part.count, part.below) if o == r)
-                t = sum(x for x, o in zip(tables, part.below) if o == r)
-                assert got[i] == pytest.approx((max(part.count[i] - part.discount * tables[i], 0) + (1 + part.discount * t) * p) / (1 + n))
+        for tables, upper, d in part.states(root, 2, 5):
+            served, n_up, t_up, n_low, t_low = [0] * len(upper), Counter(), Counter(), Counter(), Counter()
+            for q, r, c, t in zip(pair, below, count, tables.tolist()):
+                assert (0 < t <= c) if c else t == 0
+                served[q] += t
+                n_low[r] += c
+                t_low[r] += t
+            for q, t in enumerate(upper.tolist()):
+                assert (0 < t <= served[q]) if served[q] else t == 0
+                n_up[of_pair[q]] += served[q]
+                t_up[of_pair[q]] += t
+            for i, got in enumerate(part.probability(tables, upper, d, root).tolist()):
+                q, r = pair[i], below[i]
+                p = (max(served[q] - d * upper[q], 0) + (1 + d * t_up[of_pair[q]]) * root[word[q]]) / (1 + n_up[of_pair[q]])
+                want = (max(count[i] - part.discount * tables[i], 0) + (1 + part.discount * t_low[r]) * p) / (1 + n_low[r])
+                assert abs(got - want) < 1e-9
     assert sorted(counts) == sorted(plain.values()) and restaurants == len(contexts)
 
 
