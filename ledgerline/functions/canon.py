@@ -1,6 +1,7 @@
 """Canonical text, numbers and dates of columns, as native expressions.
 
-Text: whole doubles have no ".0", other doubles up to six decimals without trailing zeros; all else is Spark's cast.
+Text: whole doubles have no ".0", other doubles up to six decimals without trailing zeros; decimals have all their digits;
+all else is Spark's cast. Whole numbers and decimals never pass through doubles.
 Numbers: commas are no part of a number; text that is no number is null. Dates: see date_of.
 """
 
@@ -34,10 +35,24 @@ def number_text(x: Column) -> Column:
     return F.when(x.isNull(), None).when(whole, F.when(whole, x).cast("bigint").cast("string")).when(F.isnan(x) | (F.abs(x) >= 1e15), x.cast("string")).otherwise(plain)
 
 
-def text_of(df: DataFrame, name: str) -> Column:
-    """The canonical text of a column; null stays null."""
+def is_floating(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def plain_decimal(x: Column) -> Column:
+    """A decimal as text with all its digits but trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def text_of(df: DataFrame, name: str, beside: T.DataType | None = None) -> Column:
+    """The canonical text of a column; null stays null.
+
+    Decimals keep all their digits, unless the type they stand beside is floating: then they are shown as that is.
+    """
     kind = type_of(df, name)
     c = F.col(q(name))
+    if isinstance(kind, T.DecimalType) and not (beside is not None and is_floating(beside)):
+        return plain_decimal(c)
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
         return number_text(c.cast("double"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -61,6 +76,45 @@ def text_number(text: Column) -> Column:
     return F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed).try_cast("double")
 
 
+#: Digits before and behind the point of an exact number.
+EXACT = "decimal(38,12)"
+_PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+
+
+def exact_of(df: DataFrame, name: str) -> Column:
+    """The value as a decimal; null where it is no number, is floating or has more digits."""
+    kind = type_of(df, name)
+    c = F.col(q(name))
+    if is_floating(kind):
+        return F.lit(None).cast(EXACT)
+    if is_number(kind):
+        return c.try_cast(EXACT)
+    text = F.trim(c.cast("string"))
+    return F.when(text_number(text).isNotNull(), text).try_cast(EXACT)
+
+
+def key_text(df: DataFrame, name: str) -> Column:
+    """A text that is equal for equal values: numbers of any length without sign, zeros and points that say nothing
+    ("007", 7 and 7.0 are "7"), all else trimmed. Doubles count as the shortest decimal that gives them."""
+    kind = type_of(df, name)
+    c = F.col(q(name))
+    if isinstance(kind, T.IntegralType):
+        return c.cast("string")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return text_of(df, name)
+    shown = plain_decimal(c) if isinstance(kind, T.DecimalType) else F.trim(c.cast("string"))
+    # exponents: as a decimal where it has room, else as the double says it
+    near = shown.try_cast("double")
+    roomy = [F.when(shown.try_cast(d).cast("double") == near, plain_decimal(shown.try_cast(d))) for d in ("decimal(38,18)", "decimal(38,0)", "decimal(38,37)")]
+    wide = F.when(shown.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"), F.coalesce(*roomy, near.cast("string")))
+    shown = F.coalesce(wide, shown)
+    whole = F.regexp_extract(shown, r"^[+-]?0*(\d*)", 1)
+    part = F.regexp_replace(F.regexp_extract(shown, r"\.(\d*)$", 1), r"0+$", "")
+    sign = F.when(shown.startswith("-") & ((whole != "") | (part != "")), "-").otherwise("")
+    number = F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    return F.when(shown.rlike(_PLAIN), number).otherwise(shown)
+
+
 def day_of(text: Column) -> Column:
     """yyyy-MM-dd of a text that is a date in one of the known shapes, else null.
 

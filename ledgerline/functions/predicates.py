@@ -176,16 +176,24 @@ def extracted(df: DataFrame, extracts: Sequence[Extract]) -> DataFrame:
 
 
 def all_matches(text: Column, pattern: str, most: int = 20) -> Column:
-    """array of struct(match, start, end) of up to `most` matches; starts count from 0."""
+    """array of struct(match, start, end) of up to `most` matches; starts count from 0.
+
+    The pieces between the matches come from a split by the same pattern, so places are those of the matches themselves. An
+    empty match may fall inside a character beyond U+FFFF, which counts as two there.
+    """
     p = java_pattern(pattern)
     found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    first = F.struct(F.array().cast("array<struct<match:string,start:int,end:int>>").alias("found"), F.lit(1).alias("at"))
+    between = F.split(text, p, -1)  # has no piece before an empty match at the very start
+    between = F.when(F.size(between) > F.size(found), between).otherwise(F.concat(F.array(F.lit("")), between))
+    pairs = F.slice(F.zip_with(found, between, lambda m, gap: F.struct(m.alias("match"), F.length(gap).alias("gap"))), 1, F.least(F.size(found), F.lit(most)))
+    first = F.struct(F.array().cast("array<struct<match:string,start:int,end:int>>").alias("found"), F.lit(0).alias("at"))
 
     def take(acc: Column, m: Column) -> Column:
-        start = F.call_function("locate", m, text, acc["at"])
-        return F.struct(F.concat(acc["found"], F.array(F.struct(m.alias("match"), (start - 1).alias("start"), (start - 1 + F.length(m)).alias("end")))).alias("found"), (start + F.greatest(F.length(m), F.lit(1))).alias("at"))
+        start = acc["at"] + m["gap"]
+        end = start + F.length(m["match"])
+        return F.struct(F.concat(acc["found"], F.array(F.struct(m["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("found"), end.alias("at"))
 
-    return F.aggregate(F.slice(found, 1, most), first, take, lambda acc: acc["found"])
+    return F.aggregate(pairs, first, take, lambda acc: acc["found"])
 
 
 # ------------------------------------------------------------ match predicates

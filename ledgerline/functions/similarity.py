@@ -9,6 +9,7 @@ of either side. Case matters.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -54,15 +55,24 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _best_window(short: str, long: str) -> float:
+    """The best ratio of `short` with a window of its length. Windows slide with a count of the characters that both have,
+    whatever their order; only those that this bound lets beat the best so far are compared."""
     n, best = len(short), 0.0
     if short in long:
         return 100.0
-    own = set(short)
+    lacking, common = Counter(short), 0
     for at in range(1 - n, len(long)):
-        window = long[max(0, at) : at + n]
-        # a window that doesn't end (or, cut at the end, begin) in a character of the shorter text is no better than its neighbour
-        if (window[-1] if at + n <= len(long) else window[0]) in own:
-            best = max(best, ratio(short, window))
+        if at + n <= len(long):
+            c = long[at + n - 1]
+            common += lacking[c] > 0
+            lacking[c] -= 1
+        if at > 0:
+            c = long[at - 1]
+            lacking[c] += 1
+            common -= lacking[c] > 0
+        size = min(at + n, len(long)) - max(0, at)
+        if 200 * common > best * (n + size):
+            best = max(best, ratio(short, long[max(0, at) : at + n]))
     return best
 
 
@@ -141,13 +151,18 @@ def score(kind: str, a: Column, b: Column, native: bool = False) -> Column:
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; known: {', '.join(KINDS)}")
     text_a, text_b = F.trim(a["t"]), F.trim(b["t"])
-    plain = F.lit(0.0) if native else text_score(text_a, text_b)
-    if kind == "numeric":
-        rest = F.when(a["n"].isNotNull() & b["n"].isNotNull(), numeric_score(a["n"], b["n"])).otherwise(plain)
-    elif kind == "date":
-        rest = F.when(a["d"].isNotNull() & b["d"].isNotNull(), date_score(a["d"], b["d"])).otherwise(plain)
+
+    def in_python(udf: Callable[[Column, Column], Column], decided: Column) -> Column:
+        """A UDF is computed for every row before the branch is chosen, so rows that are decided give it nulls."""
+        open_ = ~decided & (text_a != text_b)
+        return udf(F.when(open_, text_a), F.when(open_, text_b))
+
+    if kind in ("numeric", "date"):
+        form, by_value = ("n", numeric_score) if kind == "numeric" else ("d", date_score)
+        decided = a[form].isNotNull() & b[form].isNotNull()
+        rest = F.when(decided, by_value(a[form], b[form])).otherwise(F.lit(0.0) if native else in_python(text_score, decided))
     else:
-        rest = identifier_score(text_a, text_b) if kind == "identifier" else text_score(text_a, text_b)
+        rest = in_python(identifier_score if kind == "identifier" else text_score, F.lit(False))
     return F.when(a["t"].isNull() & b["t"].isNull(), 50.0).when(a["t"].isNull() | b["t"].isNull(), 0.0).when(text_a == text_b, 100.0).otherwise(rest)
 
 

@@ -1,8 +1,9 @@
 """Delta: the difference between an older and a newer snapshot of a table, as one full outer join.
 
 Every record is UNCHANGED, AMENDED, DELETED (only in the older one) or NEWLY_ADDED. Keys are compared null-safely and
-typed loosely: text that is a number equals the number ("007" is 7). Of several rows with one key, the first by position
-counts; duplicate_keys tells how many there are.
+typed loosely: text that is a number equals the number ("007" is 7), whatever its length. Whole numbers, decimals and
+numbers in texts are compared exactly; only floating columns are compared as doubles. Of several rows with one key, the
+first by position counts; duplicate_keys tells how many there are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canon import date_of, number_of, text_of, type_of
+from ..functions.canon import date_of, exact_of, key_text, number_of, text_of, type_of
 from ..functions.predicates import every
 from ..session import q, require
 
@@ -47,7 +48,7 @@ def _check(kind: str) -> str:
 
 
 def _key_columns(a: DataFrame, b: DataFrame, keys: Sequence[Key], left: bool) -> list[Column]:
-    """Join keys of one side. Whole-number types on both sides join as they are; else a number, and text for the rest."""
+    """Join keys of one side. Whole-number types on both sides join as they are, all else by key_text, digit by digit."""
     df, out = (a, []) if left else (b, [])
     for i, k in enumerate(keys):
         name = k.left if left else k.right
@@ -55,10 +56,8 @@ def _key_columns(a: DataFrame, b: DataFrame, keys: Sequence[Key], left: bool) ->
         if whole:
             out.append(F.col(q(name)).cast("bigint").alias(f"_k{i}"))
             continue
-        number, text = number_of(df, name), F.trim(text_of(df, name))
-        if _check(k.kind) == "case_insensitive":
-            text = F.lower(text)
-        out += [number.alias(f"_k{i}_n"), F.when(number.isNull(), text).alias(f"_k{i}_t")]
+        text = key_text(df, name)
+        out.append((F.lower(text) if _check(k.kind) == "case_insensitive" else text).alias(f"_k{i}"))
     return out
 
 
@@ -66,7 +65,7 @@ def _first_rows(df: DataFrame, keys: list[Column], values: list[Column], pos: st
     """For each key, the row with the least position: one hash aggregation with partial results before the shuffle."""
     keyed = df.select(*keys, F.struct(F.col(q(pos)).alias("_pos"), *values).alias("_row"))
     own = [c for c in keyed.columns if c != "_row"]
-    return keyed.groupBy(*own).agg(F.min_by("_row", F.col("_row._pos")).alias("_row"), F.count("*").alias("_n"))
+    return keyed.groupBy(*own).agg(F.min_by("_row", F.struct("_row._pos")).alias("_row"), F.count("*").alias("_n"))
 
 
 def auto_rules(a: DataFrame, b: DataFrame, keys: Sequence[Key]) -> list[Compare]:
@@ -79,6 +78,8 @@ def _same(i: int, r: Compare) -> Column:
     """Whether both values, neither null, count as the same."""
     text_a, text_b, num_a, num_b = (F.col(f"_a._{k}{i}") if s == "a" else F.col(f"_b._{k}{i}") for k, s in (("t", "a"), ("t", "b"), ("n", "a"), ("n", "b")))
     numbers = num_a.isNotNull() & num_b.isNotNull()
+    exact_a, exact_b = F.col(f"_a._x{i}"), F.col(f"_b._x{i}")
+    exact = exact_a.isNotNull() & exact_b.isNotNull()
     trimmed = F.trim(text_a) == F.trim(text_b)
     if r.kind == "case_insensitive":
         return F.lower(F.trim(text_a)) == F.lower(F.trim(text_b))
@@ -86,17 +87,18 @@ def _same(i: int, r: Compare) -> Column:
         return F.col(f"_a._d{i}").eqNullSafe(F.col(f"_b._d{i}"))
     if r.kind == "numeric_tolerance":
         if r.tolerance is None:
-            return F.when(numbers, num_a == num_b).otherwise(trimmed)
+            return F.when(exact, exact_a == exact_b).when(numbers, num_a == num_b).otherwise(trimmed)
         near = F.when(num_b != 0, F.abs(num_a - num_b) / F.when(num_b != 0, F.abs(num_b)) * 100 <= float(r.tolerance)).otherwise(num_a == 0)
         return F.when(numbers, near).otherwise(trimmed)
-    return F.when(numbers, F.round(num_a, 2) == F.round(num_b, 2)).otherwise(trimmed)
+    return F.when(exact, F.round(exact_a, 2) == F.round(exact_b, 2)).when(numbers, F.round(num_a, 2) == F.round(num_b, 2)).otherwise(trimmed)
 
 
 def classified(a: DataFrame, b: DataFrame, keys: Sequence[Key], compares: Sequence[Compare] | None = None, a_pos: str | None = None, b_pos: str | None = None, selected_a: Sequence[str] | None = None, selected_b: Sequence[str] | None = None) -> DataFrame:
     """FileA_ and FileB_ columns, Delta_Type, Changes and Total_Changes of every key.
 
     a is the older table. compares: None compares all common columns that are no keys; [] compares nothing. a_pos, b_pos:
-    the order in which the first row of a key is found; by default the keys themselves, so any row of the key.
+    the order in which the first row of a key is found; by default the keys themselves, so any row of the key. A position
+    whose name begins with "_" is no column of the table and isn't returned.
     """
     if not keys:
         raise ValueError("no keys")
@@ -108,11 +110,12 @@ def classified(a: DataFrame, b: DataFrame, keys: Sequence[Key], compares: Sequen
     sides = []
     for left, df, pos, selected in ((True, a, a_pos, selected_a), (False, b, b_pos, selected_b)):
         names = [k.left if left else k.right for k in keys]
-        keep = [c for c in df.columns if not c.startswith("_") and (not selected or c in selected or c in names)]
+        keep = [c for c in df.columns if not (c == pos and c.startswith("_")) and (not selected or c in selected or c in names)]
         values = [F.struct(*[F.col(q(c)).alias(c) for c in keep]).alias("_kept")]
         for i, r in enumerate(compares):
             name = r.left if left else r.right
-            values += [text_of(df, name).alias(f"_t{i}"), number_of(df, name).alias(f"_n{i}")]
+            beside = type_of(b, r.right) if left else type_of(a, r.left)
+            values += [text_of(df, name, beside).alias(f"_t{i}"), number_of(df, name).alias(f"_n{i}"), exact_of(df, name).alias(f"_x{i}")]
             if _check(r.kind) == "date_equals":
                 values.append(date_of(df, name).alias(f"_d{i}"))
         rows = _first_rows(df, _key_columns(a, b, keys, left), values, pos or names[0])

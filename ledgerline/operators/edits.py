@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import text_of
-from ..session import q
+from ..session import free_name, q
 from .recon import ranked
 
 
@@ -62,10 +62,12 @@ def update_cells(df: DataFrame, cells: Sequence[tuple[int, str, Any]], pos: str
     rows: dict[int, dict[str, Any]] = {}
     for (row, c), v in latest.items():
         rows.setdefault(row, {})[c] = v
-    schema = T.StructType([T.StructField("_at", T.LongType())] + [x for i, _ in enumerate(names) for x in (T.StructField(f"_set{i}", T.BooleanType()), T.StructField(f"_v{i}", T.StringType()))])
+    at, new_value = free_name(df, "at"), free_name(df, "new_value")
+    fields = [x for i, _ in enumerate(names) for x in (T.StructField(f"set{i}", T.BooleanType()), T.StructField(f"v{i}", T.StringType()))]
+    schema = T.StructType([T.StructField(at, T.LongType()), T.StructField(new_value, T.StructType(fields))])
     text = lambda v: None if v is None else str(v)
-    changes = df.sparkSession.createDataFrame([(row, *[x for c in names for x in (c in own, text(own.get(c)))]) for row, own in rows.items()], schema)
-    met = df.join(changes, F.col(q(pos)) == F.col("_at"), "left")
+    changes = df.sparkSession.createDataFrame([(row, tuple(x for c in names for x in (c in own, text(own.get(c))))) for row, own in rows.items()], schema)
+    met = df.join(changes, F.col(q(pos)) == F.col(at), "left")
     out = []
     for c in df.columns:
         if c not in names:
@@ -73,16 +75,18 @@ def update_cells(df: DataFrame, cells: Sequence[tuple[int, str, Any]], pos: str
             continue
         i = names.index(c)
         old = text_of(df, c) if c in as_text else F.col(q(c))
-        new = F.col(f"_v{i}") if c in as_text else F.col(f"_v{i}").cast(kinds[c])
-        out.append(F.when(F.col(f"_set{i}"), new).otherwise(old).alias(c))
+        new = F.col(new_value)[f"v{i}"] if c in as_text else F.col(new_value)[f"v{i}"].cast(kinds[c])
+        out.append(F.when(F.col(new_value)[f"set{i}"], new).otherwise(old).alias(c))
     return met.select(*out)
 
 
 def delete_rows(df: DataFrame, rows: Sequence[int], pos: str = "_row_pos") -> DataFrame:
     """Without the rows at these positions; the others are numbered anew in their order."""
-    gone = df.sparkSession.createDataFrame([(int(r),) for r in set(rows)], "_gone bigint")
-    left = df.join(gone, F.col(q(pos)) == F.col("_gone"), "left_anti").withColumn("_all", F.lit(0))
-    return ranked(left, ["_all"], pos).withColumn(pos, F.col("rank").cast("bigint") - 1).select(*[q(c) for c in df.columns])
+    named = free_name(df, "gone")
+    gone = df.sparkSession.createDataFrame([(int(r),) for r in set(rows)], f"{named} bigint")
+    left = df.join(gone, F.col(q(pos)) == F.col(named), "left_anti").withColumn(named, F.lit(0))
+    into = free_name(left, "rank")
+    return ranked(left, [named], pos, into=into).withColumn(pos, F.col(into).cast("bigint") - 1).select(*[q(c) for c in df.columns])
 
 
 def append_rows(df: DataFrame, rows: Sequence[Mapping[str, Any]], pos: str = "_row_pos") -> DataFrame:

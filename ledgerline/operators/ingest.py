@@ -123,8 +123,22 @@ def whole_numbers(df: DataFrame, report: Report | None = None) -> DataFrame:
     return df.select(*[F.col(q(c)).cast("bigint").alias(c) if c in whole else F.col(q(c)) for c in df.columns])
 
 
+#: A double gives back any number of so many significant digits.
+DOUBLE_DIGITS = 15
+
+
+def significant(number: Column) -> Column:
+    """The significant digits of a number in text: neither zeros before nor after them, nor sign, point and exponent."""
+    digits = F.regexp_replace(F.regexp_replace(number, r"[eE].*$", ""), r"[^0-9]", "")
+    return F.regexp_replace(digits, r"^0+|0+$", "")
+
+
 def typed(df: DataFrame, keep_text: Sequence[str] = ()) -> DataFrame:
-    """Text columns whose values are all numbers become whole numbers or doubles; those in keep_text stay text."""
+    """Text columns whose values are all numbers become whole numbers or doubles; those in keep_text stay text.
+
+    A column with a number that has more than 15 significant digits and isn't within 64-bit whole numbers stays text, as a
+    double would not give it back.
+    """
     names = [c for c in _texts(df) if c not in keep_text]
     if not names:
         return df
@@ -132,12 +146,12 @@ def typed(df: DataFrame, keep_text: Sequence[str] = ()) -> DataFrame:
     for i, c in enumerate(names):
         value = F.trim(F.col(q(c)))
         blank = value.isNull() | (value == "")
-        checks += [F.coalesce(F.bool_and(blank | text_number(value).isNotNull()), F.lit(False)).alias(f"n{i}"), F.coalesce(F.bool_and(blank | value.rlike(r"^[+-]?\d{1,18}$")), F.lit(False)).alias(f"w{i}"), F.coalesce(F.bool_or(~blank), F.lit(False)).alias(f"v{i}")]
+        checks += [F.coalesce(F.bool_and(blank | text_number(value).isNotNull()), F.lit(False)).alias(f"n{i}"), F.coalesce(F.bool_and(blank | value.rlike(r"^[+-]?\d{1,18}$")), F.lit(False)).alias(f"w{i}"), F.coalesce(F.bool_or(~blank), F.lit(False)).alias(f"v{i}"), F.coalesce(F.bool_or(F.length(significant(value)) > DOUBLE_DIGITS), F.lit(False)).alias(f"l{i}")]
     row = df.agg(*checks).first()
     out = []
     for c in df.columns:
         i = names.index(c) if c in names else -1
-        if i < 0 or not row[f"v{i}"] or not row[f"n{i}"]:
+        if i < 0 or not row[f"v{i}"] or not row[f"n{i}"] or row[f"l{i}"] and not row[f"w{i}"]:
             out.append(F.col(q(c)))
         else:
             value = F.trim(F.col(q(c)))

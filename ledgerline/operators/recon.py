@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import every, fuzzy, same_text, within_percent
-from ..functions.canon import date_of, number_of, text_of
-from ..session import q, require
+from ..functions.canon import date_of, number_of, text_of, type_of
+from ..session import free_name, q, require
 
 MODES = ("one_to_many", "many_to_many", "many_to_one", "one_to_one")
 KINDS = ("equals", "tolerance", "fuzzy", "date_equals")
 #: Ranks within a key are numbered in slices of so many positions, so no task orders a whole hot key.
 SLICE_ROWS = 1_000_000
+#: Rounds in which one_to_one with further rules takes mutual first choices.
+ROUNDS = 12
 
 
 @dataclass(frozen=True)
@@ -64,14 +66,15 @@ def validate(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> None:
     require(b, [r.right for r in rules], "table B")
 
 
-def _prepared(df: DataFrame, rules: Sequence[Rule], left: bool, pos: str) -> DataFrame:
+def _prepared(df: DataFrame, rules: Sequence[Rule], left: bool, pos: str, other: DataFrame | None = None) -> DataFrame:
     """Position and, for each rule, the canonical values it needs; nothing else goes into the join."""
     out = [F.col(q(pos)).alias("a_pos" if left else "b_pos")]
     tag = "a" if left else "b"
     for i, r in enumerate(rules):
         name = r.left if left else r.right
         if r.kind == "equals":
-            out.append(F.lower(text_of(df, name)).alias(f"{tag}{i}"))
+            beside = type_of(other, r.right if left else r.left) if other is not None else None
+            out.append(F.lower(text_of(df, name, beside)).alias(f"{tag}{i}"))
         elif r.kind == "date_equals":
             out.append(date_of(df, name).alias(f"{tag}{i}"))
         elif r.kind == "fuzzy":
@@ -133,28 +136,57 @@ def first_pairs(pairs: DataFrame, of: str, first: str) -> DataFrame:
     return pairs.groupBy(of).agg(F.min(first).alias(first)).select("a_pos", "b_pos")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], pos: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add `rank`, from 1 by pos within the keys (null is a key). Each (key, slice of positions) is numbered by itself
+def ranked(df: DataFrame, keys: Sequence[str], pos: str, slice_rows: int = SLICE_ROWS, into: str = "rank") -> DataFrame:
+    """Add `into`, from 1 by pos within the keys (null is a key). Each (key, slice of positions) is numbered by itself
     and shifted by the rows of the key's slices before it; the sums are one row for each key and slice."""
-    cut = df.withColumn("slice", F.floor(F.col(pos) / slice_rows))
-    within = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(pos))
-    along = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*keys, "slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    counts = counts.select(*[F.col(k).alias(f"{k}_c") for k in keys], F.col("slice").alias("slice_c"), "before")
-    same = every([F.col(k).eqNullSafe(F.col(f"{k}_c")) for k in keys]) & (F.col("slice") == F.col("slice_c"))
-    out = cut.withColumn("within", within).join(counts, same).withColumn("rank", F.col("within") + F.col("before"))
-    return out.drop("slice", "slice_c", "before", "within", *[f"{k}_c" for k in keys])
-
-
-def _greedy(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-to-one with rules beyond the keys: each key's pairs in the order of A, then B, taken while both rows are free.
-
-    The order makes this sequential within a key. Pairs stream past in order; a task remembers the rows already used of
-    the key it is at, nothing else.
+    named: list[str] = [*df.columns, into]
+
+    def fresh(base: str) -> str:
+        named.append(free_name(named, base))
+        return named[-1]
+
+    part, within, before, n = (fresh(x) for x in ("slice", "within", "before", "n"))
+    others = [fresh(f"key{i}") for i in range(len(keys))]
+    part_of = fresh("slice_of")
+    cut = df.withColumn(part, F.floor(F.col(q(pos)) / slice_rows))
+    own = [q(k) for k in keys]
+    counts = cut.groupBy(*own, part).agg(F.count("*").alias(n))
+    along = Window.partitionBy(*own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(o) for k, o in zip(own, others)], F.col(part).alias(part_of), F.coalesce(F.sum(n).over(along), F.lit(0)).alias(before))
+    same = every([F.col(k).eqNullSafe(F.col(o)) for k, o in zip(own, others)] + [F.col(part) == F.col(part_of)])
+    order = F.row_number().over(Window.partitionBy(*own, part).orderBy(q(pos)))
+    out = cut.withColumn(within, order).join(counts, same).withColumn(into, F.col(within) + F.col(before))
+    return out.drop(part, within, before, part_of, *others)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once: a checkpoint if the session names a folder for them, else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
+    """One-to-one with rules beyond the keys, as if the pairs were taken in the order of A, then B, while both rows are free.
+
+    In rounds: a pair that is the first of its A row and whose A row is the first of its B row comes before all pairs that
+    could bar it, so it is taken, and the pairs of the rows used go. Each round is aggregations and joins, however many rows
+    a key has. Where many rows may all have each other a round takes only one of them; what `rounds` leave is taken in order,
+    key by key, remembering the rows already used of the key at hand.
     """
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    ordered = pairs.select(key.alias("key"), "a_pos", "b_pos")
-    ordered = (ordered.repartition("key") if keys else ordered.coalesce(1)).sortWithinPartitions("key", "a_pos", "b_pos")
+    left, taken = _kept(pairs.select(key.alias("key"), "a_pos", "b_pos")), []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        first_b, first_a = left.groupBy("a_pos").agg(F.min("b_pos").alias("b_pos")), left.groupBy("b_pos").agg(F.min("a_pos").alias("a_pos"))
+        now = _kept(first_b.join(first_a, ["a_pos", "b_pos"]).select("a_pos", "b_pos"))
+        taken.append(now)
+        left = _kept(left.join(now.select("a_pos"), "a_pos", "left_anti").join(now.select("b_pos"), "b_pos", "left_anti").select("key", "a_pos", "b_pos"))
+    return reduce(DataFrame.union, [*taken, _in_order(left)])
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Each key's pairs in the order of A, then B, taken while both rows are free; pairs stream past."""
+    ordered = pairs.repartition("key").sortWithinPartitions("key", "a_pos", "b_pos")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used_a, used_b = None, set(), set()
@@ -185,7 +217,7 @@ def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b
     if not rules:
         raise ValueError("no rules")
     validate(a, b, rules)
-    left, right = _prepared(a, rules, True, a_pos), _prepared(b, rules, False, b_pos)
+    left, right = _prepared(a, rules, True, a_pos, b), _prepared(b, rules, False, b_pos, a)
     if positional and not any(r.kind == "equals" for r in rules):
         same = F.col("a_pos") == F.col("b_pos")
         return left.join(right, every([same, *[_holds(i, r) for i, r in enumerate(rules)]])).select("a_pos", "b_pos")
@@ -209,7 +241,7 @@ def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b
         return first_pairs(pairs, "a_pos", "b_pos")
     if mode == "many_to_one":
         return first_pairs(pairs, "b_pos", "a_pos")
-    return _greedy(pairs, [f"a{i}" for i, r in enumerate(rules) if r.kind in ("equals", "date_equals")])
+    return _one_to_one(pairs, [f"a{i}" for i, r in enumerate(rules) if r.kind in ("equals", "date_equals")])
 
 
 def selection(df: DataFrame, selected: Sequence[str] | None, mandatory: Sequence[str]) -> list[str]:

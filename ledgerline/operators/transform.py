@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import date_of, text_of
 from ..functions.expressions import condition, dynamic, formula, template
-from ..session import q, require
+from ..session import free_name, q, require
 
 # ------------------------------------------------------------------ rule engine
 
@@ -142,29 +142,33 @@ def expand(df: DataFrame, e: Expansion, met: Column | None = None) -> DataFrame:
         return df.withColumn("_expansion_index", F.explode(keep(F.sequence(F.lit(0), n - 1))))
     if e.kind == "from_list":
         pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(e.values)])
-        out = df.withColumn("_e", F.explode(keep(pairs)))
-        return out.withColumn(e.column, F.col("_e.v")).withColumn("_expansion_index", F.col("_e.i")).drop("_e")
+        one = free_name(df, "one")
+        out = df.withColumn(one, F.explode(keep(pairs)))
+        return out.withColumn(e.column, F.col(one)["v"]).withColumn("_expansion_index", F.col(one)["i"]).drop(one)
     if e.kind in ("fixed", "conditional"):
         names = list(dict.fromkeys(k for s in [*e.sets, *e.other] for k in s))
         structs = _set_structs(names, e.sets)
         if e.kind == "conditional":
             structs = F.when(condition(df, e.condition), structs).otherwise(_set_structs(names, e.other))
-        out = df.withColumn("_e", F.explode(keep(structs)))
+        one = free_name(df, "one")
+        out = df.withColumn(one, F.explode(keep(structs)))
         for n in names:
             old = text_of(df, n) if n in df.columns else F.lit(None).cast("string")
-            out = out.withColumn(n, F.when(F.col("_e")[f"_has_{n}"], F.col("_e")[n]).otherwise(old))
-        return out.withColumn("_expansion_index", F.col("_e._expansion_index")).drop("_e")
+            out = out.withColumn(n, F.when(F.col(one)[f"_has_{n}"], F.col(one)[n]).otherwise(old))
+        return out.withColumn("_expansion_index", F.col(one)["_expansion_index"]).drop(one)
     raise ValueError(f"unknown expansion {e.kind!r}; known: duplicate, fixed, from_list, conditional (and expand_from_table)")
 
 
 def expand_from_table(df: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]], take: Sequence[str], other_pos: str) -> DataFrame:
     """One row for each row of `other` with equal keys, numbered by its position; a row without any stays, with nulls."""
     require(other, [k for _, k in keys] + list(take), "the expansion table")
-    right = other.select(*[F.col(q(k)).alias(f"_k{i}") for i, (_, k) in enumerate(keys)], F.struct(F.col(q(other_pos)).alias("_pos"), *[F.col(q(c)).alias(c) for c in take]).alias("_row"))
-    on = reduce(lambda a, b: a & b, [F.col(q(k)) == F.col(f"_k{i}") for i, (k, _) in enumerate(keys)])
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).join(right, on, "left")
-    index = F.row_number().over(Window.partitionBy("_id").orderBy("_row._pos")) - 1
-    return rows.withColumn("_expansion_index", index).select(*[q(c) for c in df.columns if c not in take], *[F.col("_row")[c].alias(c) for c in take], "_expansion_index")
+    own, row = free_name(df, "id"), free_name(df, "row")
+    names = [free_name(df, f"key{i}") for i in range(len(keys))]
+    right = other.select(*[F.col(q(k)).alias(n) for n, (_, k) in zip(names, keys)], F.struct(F.col(q(other_pos)).alias("_pos"), *[F.col(q(c)).alias(f"v{i}") for i, c in enumerate(take)]).alias(row))
+    on = reduce(lambda a, b: a & b, [F.col(q(k)) == F.col(n) for n, (k, _) in zip(names, keys)])
+    rows = df.withColumn(own, F.monotonically_increasing_id()).join(right, on, "left")
+    index = F.row_number().over(Window.partitionBy(own).orderBy(F.col(row)["_pos"])) - 1
+    return rows.withColumn("_expansion_index", index).select(*[q(c) for c in df.columns if c not in take], *[F.col(row)[f"v{i}"].alias(c) for i, c in enumerate(take)], "_expansion_index")
 
 
 @dataclass(frozen=True)
@@ -180,10 +184,11 @@ def expand_by_rule(df: DataFrame, rules: Sequence[ChosenRule]) -> DataFrame:
     ordered = sorted(rules, key=lambda r: r.priority)
     for i, r in reversed(list(enumerate(ordered))):
         chosen = F.when(condition(df, r.condition), F.lit(i)).otherwise(chosen)
-    left = df.withColumn("_rule", chosen)
+    rule = free_name(df, "rule")
+    left = df.withColumn(rule, chosen)
     for i, r in enumerate(ordered):
-        out.append(expand(left.filter(F.col("_rule") == i).drop("_rule"), r.expansion))
-    out.append(left.filter(F.col("_rule") == -1).drop("_rule").withColumn("_expansion_index", F.lit(0)))
+        out.append(expand(left.filter(F.col(rule) == i).drop(rule), r.expansion))
+    out.append(left.filter(F.col(rule) == -1).drop(rule).withColumn("_expansion_index", F.lit(0)))
     return union_of(out)
 
 
@@ -197,11 +202,12 @@ def lookup(df: DataFrame, table: DataFrame, source: str, key: str, take: str, in
     """
     require(df, [source], "the table")
     require(table, [key, take], "the lookup table")
+    met, hit = free_name([*df.columns, into], "met"), free_name([*df.columns, into], "hit")
     order = F.col(q(table_pos)) if table_pos else F.lit(0)
-    first = table.filter(F.col(q(key)).isNotNull()).groupBy(F.col(q(key)).alias("_key")).agg(F.min_by(F.struct(F.col(q(take)).alias("v")), order).alias("_hit"))
-    out = df.join(first, F.col(q(source)) == F.col("_key"), "left")
-    value = F.when(F.col("_hit").isNotNull(), F.col("_hit.v")).otherwise(F.lit(default))
-    return out.withColumn(into, value).drop("_key", "_hit")
+    first = table.filter(F.col(q(key)).isNotNull()).groupBy(F.col(q(key)).alias(met)).agg(F.min_by(F.struct(F.col(q(take)).alias("v")), order).alias(hit))
+    out = df.join(first, F.col(q(source)) == F.col(met), "left")
+    value = F.when(F.col(hit).isNotNull(), F.col(hit)["v"]).otherwise(F.lit(default))
+    return out.withColumn(into, value).drop(met, hit)
 
 
 def sequence(df: DataFrame, order: str, into: str, start: int = 1, increment: int = 1, prefix: str = "", suffix: str = "", padding: int = 0, slice_rows: int = 1_000_000) -> DataFrame:
@@ -211,15 +217,16 @@ def sequence(df: DataFrame, order: str, into: str, start: int = 1, increment: in
     """
     from .recon import ranked
 
-    rank = ranked(df.withColumn("_all", F.lit(0)), ["_all"], order, slice_rows).drop("_all")
-    n = (F.lit(start) + (F.col("rank") - 1) * F.lit(increment)).cast("bigint")
+    every_row, at = free_name([*df.columns, into], "all"), free_name([*df.columns, into], "rank")
+    rank = ranked(df.withColumn(every_row, F.lit(0)), [every_row], order, slice_rows, at).drop(every_row)
+    n = (F.lit(start) + (F.col(at) - 1) * F.lit(increment)).cast("bigint")
     text = n.cast("string")
     if padding > 0:
         sign = F.when(n < 0, "-").otherwise("")
         digits = F.abs(n).cast("string")
         width = F.greatest(F.lit(padding) - F.length(sign), F.length(digits))
         text = F.concat(sign, F.lpad(digits, width, F.lit("0")))
-    return rank.withColumn(into, F.concat(F.lit(prefix), text, F.lit(suffix))).drop("rank")
+    return rank.withColumn(into, F.concat(F.lit(prefix), text, F.lit(suffix))).drop(at)
 
 
 @dataclass(frozen=True)

@@ -173,11 +173,11 @@ def recon_extract_amount(spark, d):
     return extracted(table(spark, d, "orders").select(k, note.alias("note")), [Extract("amount", "note")]).select("o_orderkey", "amount")
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE trim(o_orderpriority) IN ('1-URGENT', '2-HIGH') AND CAST(o_orderdate AS DATE) = DATE '1997-05-28'")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE trim(o_orderpriority) IN ('1-URGENT', '2-HIGH') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-05-01' AND DATE '1997-05-04'")
 def delta_filtered(spark, d):
     """A date given in another format than the column's text finds its rows as a date."""
     orders = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return value_filtered(orders, [("o_orderpriority", ["1-URGENT", " 2-HIGH "]), ("day", ["28/05/1997"]), ("nowhere", ["x"])]).select("o_orderkey", "o_orderpriority")
+    return value_filtered(orders, [("o_orderpriority", ["1-URGENT", " 2-HIGH "]), ("day", [f"{day:02d}/05/1997" for day in range(1, 5)]), ("nowhere", ["x"])]).select("o_orderkey", "o_orderpriority")
 
 
 # --------------------------------------------------------------- closest match

@@ -123,11 +123,10 @@ def types_from_text(spark, d):
     return ingest.typed(o.select(text_of(o, "o_orderkey").alias("o_orderkey"), F.format_string("%.2f", "o_totalprice").alias("o_totalprice"), "o_orderstatus"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def date_texts(spark, d):
     """Two-digit years and the order of day and month."""
-    o = table(spark, d, "orders").filter("o_orderdate >= timestamp_ntz '1998-01-01'")
-    return o.select("o_orderkey", day_of(F.date_format("o_orderdate", "dd/MM/yy")).alias("day"))
+    return table(spark, d, "orders").select("o_orderkey", day_of(F.date_format("o_orderdate", "dd/MM/yy")).alias("day"))
 
 
 # ------------------------------------------------------------------------ edits
@@ -167,12 +166,12 @@ def validate_isin(spark, d):
     return out.select("o_orderkey", "isin", v.valid_isin(F.col("isin"), _KNOWN).alias("valid_as_coded"), v.valid_isin(F.col("isin"), _KNOWN, standard=True).alias("valid_by_standard"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Trade TRD' || o_orderkey || ' of EUR 1.234,50' WHEN 1 THEN 'paid $1,234.56 on 12/31/2023' WHEN 2 THEN '£99,5 to ACC' || o_orderkey WHEN 3 THEN 'ref REF77 at 2024-01-05' ELSE 'nothing here' END AS note FROM orders)
-    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, CASE o_orderkey % 5 WHEN 2 THEN 99.5 WHEN 1 THEN 1234.56 WHEN 0 THEN o_orderkey::DOUBLE WHEN 3 THEN 77.0 END AS amount,
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'EUR 1.234,50 for TRD' || o_orderkey WHEN 1 THEN 'paid $1,234.56 on 12/31/2023' WHEN 2 THEN '£99,5 to ACC' || o_orderkey WHEN 3 THEN 'ref REF77 at 2024-01-05' ELSE 'nothing here' END AS note FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, CASE o_orderkey % 5 WHEN 2 THEN 99.5 WHEN 1 THEN 1234.56 WHEN 0 THEN 1234.5 WHEN 3 THEN 77.0 END AS amount,
     CASE o_orderkey % 5 WHEN 1 THEN '12/31/2023' WHEN 3 THEN '2024-01-05' END AS day, CASE o_orderkey % 5 WHEN 0 THEN 'TRD' || o_orderkey WHEN 3 THEN 'REF77' END AS trade, CASE o_orderkey % 5 WHEN 2 THEN 'ACC' || o_orderkey END AS account FROM t""")
 def extract_currency_amount(spark, d):
     k = F.col("o_orderkey")
-    note = F.when(k % 5 == 0, F.concat(F.lit("Trade TRD"), k, F.lit(" of EUR 1.234,50"))).when(k % 5 == 1, "paid $1,234.56 on 12/31/2023").when(k % 5 == 2, F.concat(F.lit("£99,5 to ACC"), k)).when(k % 5 == 3, "ref REF77 at 2024-01-05").otherwise("nothing here")
+    note = F.when(k % 5 == 0, F.concat(F.lit("EUR 1.234,50 for TRD"), k)).when(k % 5 == 1, "paid $1,234.56 on 12/31/2023").when(k % 5 == 2, F.concat(F.lit("£99,5 to ACC"), k)).when(k % 5 == 3, "ref REF77 at 2024-01-05").otherwise("nothing here")
     t = table(spark, d, "orders").select("o_orderkey", note.alias("note"))
     n = F.col("note")
     return t.select("o_orderkey", v.extract_currency(n).alias("currency"), v.extract_amount(n).alias("amount"), v.extract_date(n).alias("day"), v.extract_trade_id(n).alias("trade"), v.extract_account_id(n).alias("account"))

@@ -26,6 +26,15 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_name(taken: DataFrame | list[str], base: str) -> str:
+    """A name for a helper column that no column of the table has, in any case."""
+    used = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    name = f"_{base}"
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def require(df: DataFrame, names: list[str] | tuple[str, ...], what: str) -> None:
     """Raise unless df has all the columns."""
     missing = [n for n in dict.fromkeys(names) if n not in df.columns]
