@@ -275,7 +275,8 @@ def test_restaurants_match_plain_counts_and_formulas(spark):
     texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(40)]
     rows = [(i, t, i % 4 > 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id bigint, text string, train boolean")
-    merged = pitman_yor._merged(pitman_yor._packed(df, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 2).filter("part >= 0").collect()
+    packed = pitman_yor._packed(df, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64)).filter("part >= 0").collect()
+    merged = [[r.asDict() for r in packed if r.part == p] for p in sorted({r.part for r in packed})]
     plain, contexts = Counter(), set()
     for _, t, trains in rows:
         own = [0, 0, *tokens(t)]
@@ -284,7 +285,7 @@ def test_restaurants_match_plain_counts_and_formulas(spark):
             contexts.add((two, before))
     counts, restaurants = [], 0
     for row in merged:
-        part = pitman_yor.Part(row.asDict())
+        part = pitman_yor.Part(row)
         counts += part.count.tolist()
         restaurants += len(part.customers)
         pair, below, count, of_pair, word = (x.tolist() for x in (part.pair, part.below, part.count, part.context, part.word))
