@@ -11,6 +11,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Writes inside the block remove their shuffle files when they end; what they wrote takes their place."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settled(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and it is computed once.
 
@@ -46,7 +62,8 @@ def settled(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.deleteOnExit(where)
