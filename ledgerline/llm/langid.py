@@ -7,7 +7,8 @@ hash and one AND return all languages containing it. A document's count for a la
 return that bit; the filter's false positives, known from how full the language's bits are, are taken off, and the
 largest count decides. The score is the corrected count over the number of trigrams.
 
-Defined results: a text that is null or has no letter is `und` with score 0; so is any text when no row is labelled; a
+Defined results: a text that is null or has no letter is `und` with score 0; so is any text when no row is labelled; texts of
+any length are read whole; a
 text whose trigrams are all unknown gets the commonest training language with score 0, as ties go to the commoner one.
 Extra columns are ignored, repeated rows are scored each, an empty table gives an empty result.
 """

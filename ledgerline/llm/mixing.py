@@ -9,8 +9,10 @@ A leaf then reads its documents in epochs, each in an order of its own drawn fro
 whole epochs first, then the prefix of one more epoch, whose last document is cut at a token. That prefix is found
 with sums over slices of the order, so no task ever holds a leaf.
 
-Defined results: null levels form the node "?"; null and empty texts have no tokens and are never taken; weights not
-given are 1, a weight of 0 excludes; repeated rows count each; an empty table gives an empty result; further columns
+Defined results: null levels form the node "?"; null and empty texts have no tokens and are never taken; texts of any length
+are taken whole but for the last of a leaf; children whose needs are equal for their weights, and odd tokens, go by name,
+documents whose place in an epoch is equal by id; weights not given are 1, a weight of 0 excludes; repeated rows count each; an
+empty table gives an empty result; further columns
 (whatever their names) are kept out unless `carry` names them.
 """
 

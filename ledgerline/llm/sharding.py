@@ -1,18 +1,22 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-1. Each record gets a key whose high bits come from its text and whose low bits come from its id, so equal texts stand
-   together while a large group of them can still be divided.
+1. Each record gets a key: 32 bits of its text's checksum, 16 of another hash of the text, 15 of its id's hash. So equal texts
+   stand together, apart from others, while a large group of them can still be divided.
 2. A sample in which a record's chance is proportional to its size is drawn; its quantiles are the splitters of many
    small ranges. The sample's expected length is a parameter, whatever the input.
-3. Exact sizes of the ranges are counted; overfull ranges are subdivided until none is left that can be.
+3. Exact sizes of the ranges are counted; overfull ranges are subdivided until none is left that can be (all its keys equal)
+   or there are MAX_SPLITS of them.
 4. Records are ordered inside their range only. With the exact totals of the ranges before it, each record knows the
    bytes and rows ahead of it in the whole order, and so its shard and its slot there.
 
 Law `bytes`: shard s takes the records that begin in the s-th of `shards` equal parts of all bytes, so sizes differ by
 less than the largest record. The sample only decides how the work is split, never the result.
 
-Defined results: null text counts as empty; a null id hashes as the empty string; repeated rows each get a slot; an
-empty table gives an empty result; further columns are ignored.
+Groups: texts that are equal lie next to each other in this order. A group that reaches over the end of a shard's part goes on
+in the next shard, as sizes have to be near equal; all others are in one shard.
+
+Defined results: null text counts as empty; texts of any length are one record; a null id hashes as the empty string; ties of
+the key go by id, then size; repeated rows each get a slot; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import MAX_SPLITS, bucket_of, item_of, settled
 
-LOW_BITS = 31
+LOW_BITS, ID_BITS = 31, 15
 #: Bytes that each record adds to its text's.
 RECORD_BYTES = 16
 
@@ -32,7 +36,8 @@ RECORD_BYTES = 16
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(text)
-    low = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+    bits = lambda c, n: F.xxhash64(c).bitwiseAND(F.lit((1 << n) - 1))
+    low = bits(text, LOW_BITS - ID_BITS) * F.lit(1 << ID_BITS) + bits(F.coalesce(F.col(id_col).cast("string"), F.lit("")), ID_BITS)
     return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"), crc.alias("crc"), (crc * F.lit(1 << LOW_BITS) + low).alias("key"))
 
 
@@ -64,7 +69,7 @@ def subdivided(splits: list[int], totals: list, most: float) -> list[int]:
     return sorted(more) if len(more) <= MAX_SPLITS else splits
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, ranges_per_shard: int = 16, rows_per_range: int = 100_000, sample_per_range: int = 16, rounds: int = 3) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, ranges_per_shard: int = 16, rows_per_range: int = 100_000, sample_per_range: int = 16) -> DataFrame:
     """doc id, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard) of every record."""
     records = settled(keyed(docs, id_col, text_col))
     whole = records.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
@@ -72,7 +77,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     ranges = min(max(shards * ranges_per_shard, math.ceil(whole["rows"] / rows_per_range)), MAX_SPLITS // 4)
     splits = splitters(records, ranges, total, seed, ranges * sample_per_range)
     totals = range_totals(records, splits)
-    for _ in range(rounds):
+    while True:
         finer = subdivided(splits, totals, 4 * total / ranges)
         if finer == splits:
             break

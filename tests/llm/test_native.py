@@ -88,6 +88,14 @@ def test_mixing_repeated_rows_zero_weights_and_empty(spark):
     assert mixing.mix_sources(df.limit(0), levels(), {}).count() == 0
 
 
+def test_mixing_of_awkward_rows(spark):
+    """Null and empty texts are never taken, null levels are a node, a very long text is taken whole."""
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "  ", None, None, 0), (4, "w " * 50_000, None, "a", 0), (None, "one two", None, None, 0), (None, "one two", None, None, 0)]
+    df = with_extra(spark.createDataFrame(rows, DOC_SCHEMA))
+    got = mixing.mix_sources(df, levels(), {}, 1.0, max_epochs=1, seed=3).collect()
+    assert sorted((str(r.doc_id), r.lang, r.source, r.take_tokens) for r in got) == [("4", "?", "a", 50_000), ("None", "?", "?", 2), ("None", "?", "?", 2)]
+
+
 def test_token_prefix(spark):
     df = spark.createDataFrame([("a  b\tc\nd ", n) for n in (1, 3, 4)], "t string, n int")
     assert [r[0] for r in df.select(mixing.token_prefix(F.col("t"), F.col("n"))).collect()] == ["a", "a  b\tc", "a  b\tc\nd"]
@@ -117,6 +125,34 @@ def test_shards(spark):
     assert all(g["size"] == len(text[g["doc_id"]].encode()) + 16 and g["text_crc32"] == zlib.crc32(text[g["doc_id"]].encode()) for g in got)
 
 
+def test_sharding_query_against_plain_python(spark):
+    """The whole order by text and id hashes, cut by bytes."""
+    import xxhash
+
+    from ledgerline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    hashed = lambda b, n: xxhash.xxh64(b, seed=42).intdigest() & ((1 << n) - 1)
+    order = sorted((zlib.crc32(t) << 31 | hashed(t, 16) << 15 | hashed(str(d).encode(), 15), d, len(t) + 16, zlib.crc32(t)) for d, t in rows)
+    total, at, slots, want = sum(o[2] for o in order), 0, Counter(), {}
+    for _, d, size, crc in order:
+        shard = min(at * 40 // total, 39)
+        want[d] = (size, crc, "bytes", shard, slots[shard], None)
+        slots[shard] += 1
+        at += size
+    got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in queries.op5_sampled_splitters(spark, sf).collect()}
+    assert got == want
+
+
+def test_equal_texts_stand_together(spark):
+    rows = [(i, f"text {i % 7}" + "x" * (i % 7), None, None, None) for i in range(400)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, DOC_SCHEMA), 4).collect()
+    texts = {r[0]: r[1] for r in rows}
+    order = [texts[g.doc_id] for g in sorted(got, key=lambda g: (g.shard, g.slot))]
+    assert sum(a != b for a, b in zip(order, order[1:])) == 6
+
+
 def test_one_hot_text_is_divided(spark):
     rows = [(i, "same text" if i % 3 else f"text {i}", None, None, None) for i in range(3000)]
     got = sharding.assign_shards(spark.createDataFrame(rows, DOC_SCHEMA), 40).collect()

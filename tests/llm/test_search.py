@@ -364,3 +364,25 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         mixed[r.doc_id] += size(r.text) + 1
     assert packed == mixed
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, columns with the operators' names, very long and empty texts; and no rows at all."""
+    rng = random.Random(11)
+    prose_of = lambda n: prose(rng, n, "theandofi")
+    long, twin = prose_of(6000), prose_of(80)
+    rows = [(i, prose_of(60), "en", "src1", 1) for i in range(30)] + [(None, prose_of(40), None, None, None), (3, prose_of(50), "en", "src2", 1), (None, long, "en", "src1", 1), (None, None, None, None, None), (50, "", None, None, 0), (None, twin, "en", "src1", 1), (40, twin, "en", "src1", 1), (40, twin, "en", "src1", 1)]
+    with_extra(spark.createDataFrame(rows, DOC_SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left = sorted((str(r.doc_id), len(r.text)) for r in docs.collect())
+        want = sorted((str(d), len(t)) for d, t, *_ in rows if t and not (name != "language_id" and t == twin))
+        assert left == (want if name == "language_id" else sorted([*want, ("40", len(twin))]))
+    packed = corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)), str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in packed) > 0
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -33,6 +33,46 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_query_against_a_plain_version(spark):
+    """All trigrams of the training texts counted in plain Python; the filter's look-ups by sets of its slots."""
+    import zlib
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        low = " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text or "") + " "
+        return [low[i : i + 3] for i in range(len(low) - 2) if low[i + 1] != " "]
+
+    trains = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    counts, docs = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in trains:
+        docs[r.lang] += 1
+        for g in grams(r.text):
+            counts[r.lang][g] += 1
+    share = {x: {g: n / sum(own.values()) for g, n in own.items()} for x, own in counts.items()}
+    most = defaultdict(float)
+    for own in share.values():
+        for g, p in own.items():
+            most[g] = max(most[g], p)
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    slots = lambda gs: list(zip(*(s.tolist() for s in langid.Model.slots(np.array([code(g) for g in gs], np.int64), 18, 2))))
+    langs = sorted(docs, key=lambda x: (-docs[x], x))
+    kept = {x: sorted((g for g, n in counts[x].items() if n >= 2 and share[x][g] >= 0.5 * most[g]), key=lambda g: (-counts[x][g], code(g)))[:8192] for x in langs}
+    filters = {x: {s for pair in slots(kept[x]) for s in pair} for x in langs}
+    got = {r.doc_id: r for r in queries.op2_bitmask_ngrams(spark, SF).collect()}
+    for r in rows:
+        own = grams(r.text)
+        want, top = "und", 0.0
+        if own:
+            want, named = langs[0], slots(own)
+            for x in langs:
+                false = (len(filters[x]) / (1 << 18)) ** 2
+                n = max(0.0, (sum(a in filters[x] and b in filters[x] for a, b in named) - len(own) * false) / (1 - false))
+                if n > top:
+                    want, top = x, n
+        assert got[r.doc_id].lang_pred == want and got[r.doc_id].score == pytest.approx(min(1, top / max(len(own), 1)))
+
+
 def test_held_out_follows_the_id(spark):
     import zlib
 
