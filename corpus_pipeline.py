@@ -3,6 +3,11 @@
 run(spark, sf_dir) applies STAGES to documents, each on what the one before kept, written as Parquet in between. All
 stages but the last return the columns of documents. ORACLE_SQL is None: a trained classifier and a randomised join
 cannot be said in SQL; tests compare the pipeline with a brute-force version.
+
+Defined results, in every stage: null, empty and very long texts as the stage's operator says (those without letters go in
+language_id); ids may be null or repeat, rows keep theirs; rows of equal texts are copies, of which near_dedup keeps the one of
+the least id (null last); an empty table gives an empty result; columns other than those of documents are left out, whatever
+their names.
 """
 
 from __future__ import annotations
