@@ -156,23 +156,28 @@ def suited(rows: DataFrame, type: str | None = None, category: str | None = None
 # --------------------------------------------------------- templates with parameters
 
 # Words that may stand for each other in column names.
-SYNONYMS = [{"amount", "value", "total", "price"}, {"id", "identifier", "key", "number"}, {"date", "time", "day"}, {"name", "title", "label"}, {"customer", "client", "account"}]
+SYNONYMS = {
+    "amount": ("value", "total", "sum", "price", "cost"),
+    "reference": ("ref", "id", "number", "identifier"),
+    "date": ("time", "timestamp", "created", "updated"),
+    "description": ("desc", "name", "title", "details"),
+}
 
 
 def map_columns(wanted: Sequence[str], columns: Sequence[str], least: float = 0.8) -> dict[str, str]:
     """Which column each wanted name means: exact, then part of each other, then by synonyms, then by spelling."""
     low = {c.lower(): c for c in columns}
-    words = lambda s: set(re.split(r"[^a-z0-9]+", s.lower())) - {""}
+
+    def means(name: str, column: str) -> bool:
+        """A synonym of the name is in the column's, or the name is a synonym of a word in it."""
+        return any(s in column for s in SYNONYMS.get(name, ())) or any(word in column and name in own for word, own in SYNONYMS.items())
+
     out = {}
     for w in wanted:
         x = w.lower()
         found = low.get(x) or next((c for k, c in low.items() if x in k or k in x), None)
         if not found:
-            for group in SYNONYMS:
-                if words(x) & group:
-                    found = next((c for k, c in low.items() if words(k) & group), None)
-                    if found:
-                        break
+            found = next((c for k, c in low.items() if means(x, k)), None)
         if not found:
             near = difflib.get_close_matches(x, low, n=1, cutoff=least)
             found = low[near[0]] if near else None

@@ -26,8 +26,8 @@ LEAST, PERFECT = 30.0, 99.5
 MAX_COMPARISONS = 10_000_000
 #: Above so many targets, sampling (if asked for by `sample=None`) takes the lesser of SAMPLE_ROWS and half of them.
 SAMPLE_ABOVE, SAMPLE_ROWS = 50_000, 10_000
-#: Targets are broadcast only up to so many rows; more are joined by blocks.
-BROADCAST_ROWS = 50_000
+#: Targets are broadcast only up to so many rows and bytes; more are joined by blocks.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 BLOCKS = 64
 
 
@@ -48,6 +48,10 @@ def kinds_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {c: similarity.column_kind(c, [r[c] for r in rows]) for c in columns}
 
 
+def _bytes(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+
+
 def sampled(targets: DataFrame, pos: str, n: int, force: bool = False) -> DataFrame:
     """The targets, or a sample that depends on positions only: the least hashes. Smaller tables stay whole unless forced."""
     if not force and n <= SAMPLE_ABOVE:
@@ -78,8 +82,8 @@ def closest(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str,
     right = targets.select(F.col(q(target_pos)).alias("t_pos"), record.alias("record"), *[F.struct(*similarity.forms(targets, t, kinds[s])).alias(f"t{i}") for i, (s, t) in enumerate(columns)], *[key(targets, t).alias(f"tk{i}") for i, (_, t) in enumerate(exact)])
     if exact:
         met = left.join(right, every([F.col(f"sk{i}") == F.col(f"tk{i}") for i in range(len(exact))]))
-    elif n_targets <= BROADCAST_ROWS:
-        met = left.repartition(BLOCKS).crossJoin(F.broadcast(right))  # counted above
+    elif n_targets <= BROADCAST_ROWS and _bytes(right) <= BROADCAST_BYTES:
+        met = left.repartition(BLOCKS).crossJoin(F.broadcast(right))
     else:
         met = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(right.withColumn("block", F.pmod(F.xxhash64("t_pos"), F.lit(BLOCKS)).cast("int")), "block")
     each = [similarity.score(kinds[s], F.col(f"s{i}"), F.col(f"t{i}"), native) for i, (s, _) in enumerate(columns)]

@@ -24,19 +24,21 @@ from .profile import finite
 MOST_TABLES, PREVIEW_ROWS = 10, 100
 #: Numbers over this size count as broken in a result that goes out as JSON.
 LARGEST = 1e15
-# Words that tell a query's class, in the order they are looked for.
-CLASSES = [
-    ("join", ("join",)),
-    ("aggregation", ("group by", "sum(", "count(", "avg(", "min(", "max(")),
-    ("window", ("over (", "over(", "row_number", "rank(")),
-    ("cte", ("with ",)),
-    ("union", ("union",)),
-    ("set_operation", ("except", "intersect")),
-    ("subquery", ("(select",)),
-    ("filter", ("where",)),
-    ("sorting", ("order by",)),
-]
-_COSTS = {"join": 2, "having": 2, "union": 2, "group by": 1, "order by": 1}
+# The classes of queries in the order they are tried; of each group of words one has to occur, in any case.
+CLASSES = {
+    "reconciliation": [("full outer join", "coalesce", "tolerance_mismatch", "matched")],
+    "delta_analysis": [("newly_added", "deleted", "amended", "unchanged", "change_type")],
+    "transformation": [("regexp_extract", "trim", "upper", "lower", "cast", "regexp_replace")],
+    "join_operation": [("full outer join", "left join", "right join")],
+    "aggregation": [("count", "sum", "avg", "min", "max")],
+    "filtering": [("where",), ("not", "!=")],
+    "sorting": [("order by",)],
+    "grouping": [("group by",)],
+    "complex_query": [("with",)],
+}
+OTHER_CLASS = "data_analysis"
+# What each occurrence adds to a query's complexity.
+_COSTS = {"join": 2, "subquery": 3, "group by": 1, "order by": 1, "having": 2, "union": 2}
 
 
 @dataclass
@@ -104,7 +106,7 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> tuple[DataFrame, int]:
 
 def query_class(query: str) -> str:
     low = re.sub(r"\s+", " ", query.lower())
-    return next((name for name, words in CLASSES if any(w in low for w in words)), "simple_select")
+    return next((name for name, groups in CLASSES.items() if all(any(w in low for w in words) for words in groups)), OTHER_CLASS)
 
 
 def complexity(query: str) -> int:

@@ -217,7 +217,8 @@ def test_sql_reads_only(spark):
 
 
 def test_sql_texts(spark):
-    assert [sqlsurface.query_class(q) for q in ("select * from a JOIN b", "select sum(x) from a", "select 1 where x", "select 1")] == ["join", "aggregation", "filter", "simple_select"]
+    assert [sqlsurface.query_class(q) for q in ("select * from a LEFT JOIN b", "select sum(x) from a", "select 1 where not x", "select 1", "select Coalesce(a) from b", "select x from a order by x", "with a as (select 1) select * from a", "select 1 where 'AMENDED' = x")] == ["join_operation", "aggregation", "filtering", "data_analysis", "reconciliation", "sorting", "complex_query", "delta_analysis"]
+    assert sqlsurface.complexity("select 1 from (subquery) union select 2") == 5
     assert sqlsurface.complexity("select 1 from a join b on c group by d having e order by f") == 6
     assert len(sqlsurface.notes("SELECT * FROM a ORDER BY b", 9, 20_000)) == 4 and sqlsurface.result_risks(0, 5) and not sqlsurface.result_risks(3, 5)
     assert sqlsurface.column_references('select "A", "Bee"', ["A", "Bees"])["suggestions"] == {"Bee": ["Bees"]}
@@ -277,7 +278,7 @@ def test_catalog(spark, tmp_path):
 
 def test_templates_run_on_tables(spark):
     tables = sqlsurface.open_tables([spark.createDataFrame([("x", 5.0), ("y", 7.0)], "Client_ID string, Total double")])
-    out = catalog.execute({"body": "SELECT {{customer}} AS c FROM file_1 WHERE {{amount}} > {{least}}", "parameters": [{"name": "least", "default": 6}]}, tables, {}, ["customer", "amount"])
+    out = catalog.execute({"body": "SELECT {{reference}} AS c FROM file_1 WHERE {{amount}} > {{least}}", "parameters": [{"name": "least", "default": 6}]}, tables, {}, ["reference", "amount"])
     assert [r.c for r in out.collect()] == ["y"]
     with pytest.raises(ValueError):
         catalog.resolved([{"name": "a"}], {})
