@@ -15,6 +15,8 @@ from ..functions.predicates import every, some
 from ..session import q, require
 
 SAMPLES = 5
+#: Rows that an exact median puts in order at once, and how far on either side of the middle the range is taken.
+MEDIAN_ROWS, MARGIN = 1_000_000, 2e-4
 MIXED_LOW = 0.8
 
 
@@ -27,18 +29,28 @@ def _unpivoted(row: DataFrame, columns: Sequence[str], fields: Sequence[str]) ->
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """For each column: type, null_count, null_percentage, distinct_count (nulls aside), and min, max and mean of numbers.
 
-    approximate: distinct counts by sketches, which don't grow with the number of values.
+    approximate: distinct counts by sketches, which don't grow with the number of values, and one pass for all columns. Exact
+    counts are one aggregation for each column, which reads that column only: in one aggregation for all, every row would be
+    multiplied by the number of columns.
     """
-    aggs = [F.count("*").alias("rows")]
-    for i, f in enumerate(df.schema):
+    fields = ["data_type", "null_count", "null_percentage", "distinct_count", "min_value", "max_value", "mean_value"]
+
+    def aggs(i: int, f: T.StructField) -> list[Column]:
         c = F.col(q(f.name))
         number = c.cast("double") if is_number(f.dataType) else F.lit(None).cast("double")
         distinct = F.approx_count_distinct(c) if approximate else F.count_distinct(c)
-        aggs += [F.count_if(c.isNull()).alias(f"null_count_{i}"), distinct.alias(f"distinct_count_{i}"), F.min(number).alias(f"min_value_{i}"), F.max(number).alias(f"max_value_{i}"), F.avg(number).alias(f"mean_value_{i}")]
-    row = df.agg(*aggs)
-    for i, f in enumerate(df.schema):
-        row = row.withColumn(f"data_type_{i}", F.lit(f.dataType.simpleString())).withColumn(f"null_percentage_{i}", F.round(F.when(F.col("rows") > 0, F.col(f"null_count_{i}") / F.greatest("rows", F.lit(1)) * 100).otherwise(F.lit(0.0)), 2))
-    return _unpivoted(row, df.columns, ["data_type", "null_count", "null_percentage", "distinct_count", "min_value", "max_value", "mean_value"])
+        return [F.count_if(c.isNull()).alias(f"null_count_{i}"), distinct.alias(f"distinct_count_{i}"), F.min(number).alias(f"min_value_{i}"), F.max(number).alias(f"max_value_{i}"), F.avg(number).alias(f"mean_value_{i}")]
+
+    def told(row: DataFrame, own: list[tuple[int, T.StructField]]) -> DataFrame:
+        for i, f in own:
+            row = row.withColumn(f"data_type_{i}", F.lit(f.dataType.simpleString())).withColumn(f"null_percentage_{i}", F.round(F.when(F.col("rows") > 0, F.col(f"null_count_{i}") / F.greatest("rows", F.lit(1)) * 100).otherwise(F.lit(0.0)), 2))
+        structs = [F.struct(F.lit(f.name).alias("column_name"), *[F.col(f"{x}_{i}").alias(x) for x in fields]) for i, f in own]
+        return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+    columns, rows = list(enumerate(df.schema)), F.count("*").alias("rows")
+    if approximate or not columns:
+        return told(df.agg(rows, *[a for i, f in columns for a in aggs(i, f)]), columns)
+    return reduce(DataFrame.union, [told(df.select(q(f.name)).agg(rows, *aggs(i, f)), [(i, f)]) for i, f in columns])
 
 
 def samples(df: DataFrame, n: int = SAMPLES) -> dict[str, list]:
@@ -47,6 +59,34 @@ def samples(df: DataFrame, n: int = SAMPLES) -> dict[str, list]:
     return {c: [r[i] for r in rows if r[i] is not None][:n] for i, c in enumerate(df.columns)}
 
 
+def median(df: DataFrame, name: str, most: int = MEDIAN_ROWS) -> float | None:
+    """The exact median (interpolated) of a number column whatever its size.
+
+    Approximate quantiles on either side of the middle narrow the range down until at most `most` rows are in it, or it doesn't
+    get narrower; only these are put in order, with the exact number of rows below them.
+    """
+    c = F.col(q(name)).cast("double")
+    known = df.filter(c.isNotNull())
+    n = known.count()
+    if not n:
+        return None
+    ranks, below, size, inside = [(n - 1) // 2, n // 2], 0, n, F.lit(True)
+    ends: tuple[float, float] | None = None
+    while size > most:
+        share = [max((ranks[0] - below) / size - MARGIN, 0.0), min((ranks[1] - below) / size + MARGIN, 1.0)]
+        lo, hi = known.filter(inside).agg(F.percentile_approx(c, share, 10_000).alias("q")).first()["q"]
+        if (lo, hi) == ends:
+            break
+        row = known.agg(F.count_if(c < lo).alias("below"), F.count_if((c >= lo) & (c <= hi)).alias("size")).first()
+        if not row["below"] <= ranks[0] <= ranks[1] < row["below"] + row["size"]:
+            break
+        ends, inside, below, size = (lo, hi), (c >= lo) & (c <= hi), row["below"], row["size"]
+        if lo == hi:
+            return lo
+    at = [(r - below) / max(size - 1, 1) for r in ranks]
+    return sum(known.filter(inside).agg(F.percentile(c, at).alias("q")).first()["q"]) / 2
+
+
 def statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """For each numeric column: count, mean, sample standard deviation, min, median (interpolated), max and null_count."""
     names = [f.name for f in df.schema if is_number(f.dataType)] if columns is None else list(columns)
@@ -54,9 +94,11 @@ def statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, count bigint, mean double, std double, min double, median double, max double, null_count bigint")
     aggs = []
+    large = df.count() > MEDIAN_ROWS
     for i, name in enumerate(names):
         c = F.col(q(name)).cast("double")
-        aggs += [F.count(c).alias(f"count_{i}"), F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"std_{i}"), F.min(c).alias(f"min_{i}"), F.percentile(c, 0.5).alias(f"median_{i}"), F.max(c).alias(f"max_{i}"), F.count_if(c.isNull()).alias(f"null_count_{i}")]
+        middle = F.lit(median(df, name)).cast("double") if large else F.percentile(c, 0.5)
+        aggs += [F.count(c).alias(f"count_{i}"), F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"std_{i}"), F.min(c).alias(f"min_{i}"), middle.alias(f"median_{i}"), F.max(c).alias(f"max_{i}"), F.count_if(c.isNull()).alias(f"null_count_{i}")]
     return _unpivoted(df.agg(*aggs), names, ["count", "mean", "std", "min", "median", "max", "null_count"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.predicates import all_matches
 from ledgerline.functions.validators import extract_amount, validate_field
-from ledgerline.operators import delta, edits, ingest, recon, transform
+from ledgerline.operators import delta, edits, ingest, profile, recon, transform
 from ledgerline.operators.delta import Compare, Key
 from ledgerline.operators.recon import Rule
 from ledgerline.session import free_name
@@ -105,3 +105,23 @@ def test_one_to_one_in_rounds_is_the_ordered_pass(spark, rounds):
             want.append((a, b))
     df = spark.createDataFrame(pairs, "a_pos bigint, b_pos bigint")
     assert sorted(map(tuple, recon._one_to_one(df, [], rounds).collect())) == want
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], list(map(float, range(999))), [0.0] * 500 + [1.0] * 500, [3.0] * 700 + [9.0] * 10, [float((i * 7919) % 1009) for i in range(4000)]])
+def test_median_of_many_rows(spark, values):
+    import statistics
+
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert profile.median(df, "v", most=50) == statistics.median(values)
+    assert profile.median(df.limit(0), "v") is None
+
+
+def test_statistics_and_profile_of_large_tables(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 100).alias("v"), (F.col("id") % 2).cast("string").alias("t"))
+    whole = profile.statistics(df, ["v"]).collect()
+    monkeypatch.setattr(profile, "MEDIAN_ROWS", 100)
+    assert profile.statistics(df, ["v"]).collect() == whole and whole[0].median == 49.5
+    exact = {r.column_name: r for r in profile.column_profile(df).collect()}
+    assert exact["v"].distinct_count == 100 and exact["t"].distinct_count == 2
+    assert "Expand" not in profile.column_profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.column_name for r in profile.column_profile(df, approximate=True).collect()] == ["v", "t"]
