@@ -65,7 +65,8 @@ BEHIND, AROUND = 48, 256
 MOST_LESS, LEAST_BYTES, REFERENCES = 0.8, 9, 4
 
 #: Names of several words, joined or in camel case; and how many of their words are learnt at most.
-IDENTIFIER = r"[A-Za-z][A-Za-z0-9]*(?:[_./-][A-Za-z0-9]+)+|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+"
+#: They begin where letters and digits begin, and never give characters back, so long runs are read once.
+IDENTIFIER = r"(?<![A-Za-z0-9])(?:[A-Za-z][A-Za-z0-9]*+(?:[_./-][A-Za-z0-9]++)++|[A-Za-z]?[a-z]++(?:[A-Z][a-z]++)++)"
 LEARNT = 2000
 
 _primed: dict[tuple[str, ...], zstandard.ZstdCompressor] = {}
