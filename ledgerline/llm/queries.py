@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, knn, langid, mixing, neardup, packing, pitman_yor, secrets, sharding
+from . import chatfmt, fingerprint, knn, langid, licenses, mixing, neardup, packing, pitman_yor, secrets, sharding
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -175,6 +175,39 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+# ----------------------------------------------------------- 11: license scans
+
+
+def op11_set_join_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.sort_array(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+# every block against every template by counting shared words, every place of a phrase by its text
+def _op11_sql() -> str:
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+    tokens = [(t, label, w) for t, (label, words) in enumerate(licenses.TEMPLATES) for w in sorted(set(words.split()))]
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{licenses.WORD}') AS w FROM documents),
+    u AS (SELECT nth, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+    phrase AS (SELECT label, string_split(p, ' ') AS p FROM (VALUES {values(licenses.PHRASES)}) x(label, p)),
+    place AS (SELECT u.nth, pos, label FROM u JOIN phrase ON word = p[1] JOIN d ON d.nth = u.nth WHERE w[pos + 1 : pos + len(p)] = p),
+    base AS (SELECT nth, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY nth),
+    token AS (SELECT * FROM (VALUES {values(tokens)}) x(t, label, word)),
+    share AS (SELECT t, label, count(*) AS n FROM token GROUP BY t, label),
+    held AS (SELECT nth, block, t, count(DISTINCT word) AS held FROM (SELECT nth, word, pos // {licenses.STRIDE} - back AS block, t FROM u JOIN token USING (word), (VALUES (0), (1)) y(back)) WHERE block >= 0 GROUP BY ALL),
+    met AS (SELECT nth, label, held / n AS part FROM held JOIN share USING (t) WHERE 100 * held >= {licenses.PERCENT} * n),
+    best AS (SELECT nth, max(part) AS part FROM met GROUP BY nth),
+    named AS (SELECT nth, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT nth, label FROM place UNION ALL SELECT nth, label FROM met) GROUP BY nth)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0) END::DOUBLE AS score
+    FROM d LEFT JOIN base USING (nth) LEFT JOIN named USING (nth) LEFT JOIN best USING (nth)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_bitmask_ngrams": op2_bitmask_ngrams,
@@ -186,5 +219,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chosen_path": op8_chosen_path,
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
+    "op11_set_join_licenses": op11_set_join_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL, "op11_set_join_licenses": _op11_sql()}
