@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, knn, langid, licenses, mixing, neardup, packing, pitman_yor, secrets, sharding
+from . import chatfmt, fingerprint, knn, langid, licenses, mixing, neardup, packing, pitman_yor, secrets, sharding, spelling
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -208,6 +208,38 @@ def _op11_sql() -> str:
     FROM d LEFT JOIN base USING (nth) LEFT JOIN named USING (nth) LEFT JOIN best USING (nth)"""
 
 
+# -------------------------------------------------- 13: spelling variants
+
+
+def op13_wavelet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.count_words(read_table(spark, sf_dir, "documents")))
+
+
+def _crc32_sql(octets: str) -> str:
+    """Unsigned crc32 of a list of octets; the query has to join _CRC_TABLE."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, crc.t[(xor(c & 255, b) + 1)::BIGINT])), 4294967295::BIGINT)"
+
+
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+# near words by what is left when a letter goes: equal at the same place (replaced), or equal to the other word (inserted)
+def _op13_sql() -> str:
+    octets = "list_transform(range(octet_length(b)), lambda i: ('0x' || hex(array_slice(b, i + 1, i + 1)))::BIGINT)"
+    return f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{ascii_uppercase}', '{ascii_lowercase}') AS run FROM documents),
+    seen AS (SELECT run, times, length(run) AS size, {_crc32_sql(octets)} AS h FROM (SELECT run, count(*) AS times, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM run WHERE length(run) >= 5 GROUP BY doc_id, run), crc),
+    v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM seen) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+    less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS form, max(m) AS form_n FROM near GROUP BY word),
+    f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    way AS (SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word JOIN f g ON g.word = way.root AND g.form IS NULL"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_bitmask_ngrams": op2_bitmask_ngrams,
@@ -220,5 +252,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
     "op11_set_join_licenses": op11_set_join_licenses,
+    "op13_wavelet_variants": op13_wavelet_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL, "op11_set_join_licenses": _op11_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL, "op11_set_join_licenses": _op11_sql(), "op13_wavelet_variants": _op13_sql()}
