@@ -60,7 +60,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
 
 def _framed(words: DataFrame, frames: Column) -> DataFrame:
     """A row for each word and frame: key, m, lo, hi, word, n, is_point (of m letters, not one less)."""
-    rows = words.select("word", "n", F.explode(frames).alias("f")).select("word", "n", "f.m", "f.lo", "f.hi")
+    rows = words.select("word", "n", F.explode(frames).alias("f")).select("word", "n", "f.m", "f.lo", "f.hi").filter("hi > lo")
     kept = F.length("word") - (F.col("m") - F.col("hi"))  # where the letters behind the frame begin
     head, tail = F.substring("word", F.lit(1), F.col("lo")), F.substring("word", kept + 1, F.col("m") - F.col("hi"))
     return rows.select(F.xxhash64("m", "lo", "hi", head, tail).alias("key"), "m", "lo", "hi", "word", "n", (F.length("word") == F.col("m")).alias("is_point"))
