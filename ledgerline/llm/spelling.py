@@ -94,7 +94,7 @@ class WaveletTree:
     """Points (place, value) of a permutation, a level for each bit of the values, as counts of zeros before each place."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.bits = max(int(len(values) - 1).bit_length(), 1) if len(values) else 0
+        self.bits = max(int(len(values) - 1).bit_length(), 1)
         self.zeros: list[np.ndarray] = []
         for bit in range(self.bits - 1, -1, -1):
             zero = (values >> bit) & 1 == 0
