@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, fingerprint, knn, langid, licenses, mixing, neardup, packing, pitman_yor, secrets, sharding, spelling
+from . import chatfmt, fingerprint, knn, langid, licenses, mixing, neardup, packing, pitman_yor, prefix_trie, secrets, sharding, spelling
 from .common import read_table
 
 # ------------------------------------------------------------------ 1: mixing
@@ -208,11 +208,12 @@ def _op11_sql() -> str:
     FROM d LEFT JOIN base USING (nth) LEFT JOIN named USING (nth) LEFT JOIN best USING (nth)"""
 
 
-# -------------------------------------------------- 13: spelling variants
+# ------------------------------------------------ 12: conversation prefix trie
 
 
-def op13_wavelet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.variant_groups(spelling.count_words(read_table(spark, sf_dir, "documents")))
+def op12_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).cast("int")
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"), F.col("conv") - F.col("conv") % 100, heads, most_heads=5)
 
 
 def _crc32_sql(octets: str) -> str:
@@ -223,6 +224,32 @@ def _crc32_sql(octets: str) -> str:
 _CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
 
 
+# every beginning of every conversation, and every node once for each node on its way to the root
+def _op12_sql() -> str:
+    octets = "list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: ascii(substr(conv::VARCHAR, i, 1))::BIGINT)"
+    return f"""
+    WITH {_CRC_TABLE},
+    t AS (SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS said, turn FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv, list({{'r': role, 't': said}} ORDER BY turn NULLS FIRST, unhex(sha256(length(role) || ':' || role || said))) AS turns FROM t GROUP BY conv),
+    h AS (SELECT conv, turns, {_crc32_sql(octets)} % 6 AS h FROM own, crc),
+    c AS (SELECT h.conv, list_concat(coalesce(b.turns[1 : h], []), h.turns[h + 1 :]) AS turns FROM h LEFT JOIN own b ON b.conv = h.conv - h.conv % 100),
+    begun AS (SELECT conv, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM c),
+    node AS MATERIALIZED (SELECT depth, turns[1 : depth] AS way, min(conv) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (size = depth), '') AS ends,
+        CASE WHEN depth > 0 THEN (count(*) - 1) * length(any_value(turns[depth].t)) ELSE 0 END AS saved FROM begun GROUP BY depth, turns[1 : depth]),
+    kids AS (SELECT way[1 : depth - 1] AS way, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+    known AS MATERIALIZED (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, way)),
+    sums AS (SELECT up AS depth, way[1 : up] AS way, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM known) GROUP BY ALL)
+    SELECT known.conv_id, known.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, known.n_convs, known.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(known.ends) AS ends_sha256
+    FROM known JOIN sums USING (depth, way) LEFT JOIN known p ON p.depth = known.depth - 1 AND p.way = known.way[1 : known.depth - 1]"""
+
+
+# -------------------------------------------------- 13: spelling variants
+
+
+def op13_wavelet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.count_words(read_table(spark, sf_dir, "documents")))
+
+
 # near words by what is left when a letter goes: equal at the same place (replaced), or equal to the other word (inserted)
 def _op13_sql() -> str:
     octets = "list_transform(range(octet_length(b)), lambda i: ('0x' || hex(array_slice(b, i + 1, i + 1)))::BIGINT)"
@@ -252,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_variable_best_fit": op10_variable_best_fit,
     "op11_set_join_licenses": op11_set_join_licenses,
+    "op12_radix_trie": op12_radix_trie,
     "op13_wavelet_variants": op13_wavelet_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL, "op11_set_join_licenses": _op11_sql(), "op13_wavelet_variants": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_hierarchical_mix": _op1_sql(), "op4_voronoi_knn": _OP4_SQL, "op7_relational_chat": _op7_sql(), "op8_chosen_path": _OP8_SQL, "op11_set_join_licenses": _op11_sql(), "op12_radix_trie": _op12_sql(), "op13_wavelet_variants": _op13_sql()}
