@@ -1,7 +1,8 @@
 """Catalogues of rules, templates, prompts and runs: tables of metadata, queried with DataFrame operations.
 
-Rows are kept in a `Catalog`, a Parquet folder of versions: a change appends a row, the newest version of an id counts,
-and compact() drops the others. Search, ranking and summaries work on any DataFrame with the columns they name.
+Rows are kept in a `Catalog`, a Parquet folder that is only added to: a change appends a version, of which the newest of an
+id counts; a use or a rating appends an event, and events are summed, so concurrent ones all count. compact() writes what they
+come to into a new folder. Search, ranking and summaries work on any DataFrame with the columns they name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "id string, version bigint, deleted boolean, type string, category string, name string, description string, tags array<string>, columns array<string>, "
-    "body string, template_id string, usage bigint, rating double, rating_count bigint, quality double, created double, updated double"
+    "body string, template_id string, usage bigint, rating double, rating_count bigint, quality double, created double, updated double, event string"
 )
 # How usage and ratings weigh, and how much each likeness of a template counts.
 USAGE_WEIGHT, RATING_WEIGHT = 0.7, 0.3
@@ -36,20 +37,33 @@ class Catalog:
     def _append(self, rows: Sequence[dict[str, Any]]) -> None:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         data = [tuple(r.get(n) for n in names) for r in rows]
-        self.spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self._write(self.spark.createDataFrame(data, SCHEMA).coalesce(1))
+
+    def _write(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{uuid.uuid4().hex}")  # writers of one folder would clear each other's files away
 
     def versions(self) -> DataFrame:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/*/*.parquet")
 
-    def rows(self) -> DataFrame:
-        """The newest version of each entry that isn't deleted."""
-        df = self.versions()
+    def entries(self) -> DataFrame:
+        """The newest version of each entry that isn't deleted, without the events since."""
+        df = self.versions().filter("event IS NULL")
         newest = df.groupBy("id").agg(F.max_by(F.struct(*df.columns), F.col("version")).alias("r"))
         return newest.select("r.*").filter(~F.coalesce("deleted", F.lit(False)))
 
+    def rows(self) -> DataFrame:
+        """Entries with their uses and ratings counted up."""
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        events = self.versions().filter("event IS NOT NULL").groupBy("id").agg(F.sum("usage").alias("_uses"), F.sum("rating").alias("_stars"), F.sum("rating_count").alias("_ratings"))
+        ratings = zero("rating_count") + zero("_ratings")
+        mean = F.when(ratings > 0, (zero("rating") * zero("rating_count") + zero("_stars")) / ratings).otherwise(zero("rating").cast("double"))
+        counted = {"usage": zero("usage") + zero("_uses"), "rating": mean, "rating_count": ratings}
+        base = self.entries()
+        return base.join(events, "id", "left").select(*[counted[c].alias(c) if c in counted else c for c in base.columns])
+
     def save(self, entries: Sequence[Mapping[str, Any]]) -> list[str]:
         """Add or replace entries (with an id); `body` may be any JSON value. The ids."""
         now, out = time.time(), []
@@ -63,35 +77,41 @@ class Catalog:
         row = self.rows().filter(F.col("id") == id).first()
         return row.asDict(True) if row else None
 
+    def _entry(self, id: str) -> dict[str, Any] | None:
+        row = self.entries().filter(F.col("id") == id).first()
+        return row.asDict(True) if row else None
+
     def update(self, id: str, **changes: Any) -> bool:
-        old = self.get(id)
+        old = self._entry(id)
         if old is None:
             return False
         self._append([old | changes | {"version": time.time_ns(), "updated": time.time()}])
         return True
 
     def delete(self, ids: Sequence[str]) -> int:
-        found = [r.asDict(True) for r in self.rows().filter(F.col("id").isin(list(ids))).collect()]
+        found = [r.asDict(True) for r in self.entries().filter(F.col("id").isin(list(ids))).collect()]
         if found:
             self._append([r | {"deleted": True, "version": time.time_ns()} for r in found])
         return len(found)
 
     def used(self, id: str) -> bool:
-        old = self.get(id)
-        return old is not None and self.update(id, usage=(old["usage"] or 0) + 1)
+        if self._entry(id) is None:
+            return False
+        self._append([{"id": id, "event": "used", "usage": 1}])
+        return True
 
     def rate(self, id: str, rating: float) -> bool:
-        """Add a rating; the entry keeps the running mean."""
-        old = self.get(id)
-        if old is None:
+        """Add a rating; the entry shows the mean of all."""
+        if self._entry(id) is None:
             return False
-        n = old["rating_count"] or 0
-        return self.update(id, rating=((old["rating"] or 0.0) * n + rating) / (n + 1), rating_count=n + 1)
+        self._append([{"id": id, "event": "rated", "rating": float(rating), "rating_count": 1}])
+        return True
 
     def compact(self, to: str) -> Catalog:
         """A copy without old versions, in a new folder."""
-        self.rows().write.parquet(to)
-        return Catalog(self.spark, to)
+        copy = Catalog(self.spark, to)
+        copy._write(self.rows())
+        return copy
 
 
 # ------------------------------------------------------------- lists and search

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import validators as v
 from ..functions.canon import day_of, text_of
 from ..operators import catalog, edits, ingest, profile
 from ..operators.edits import Patch
+from ..session import shared_folder
+from ..sources.store import Store
 from .base import query, table
 
 # ------------------------------------------------------------- profile, quality
@@ -231,3 +235,16 @@ def runs_newest_per_type(spark, d):
 @query(f"SELECT run_id, type FROM {_RUNS} ORDER BY started DESC, run_id LIMIT 10")
 def runs_latest(spark, d):
     return catalog.latest(_runs(spark, d), 10).select("run_id", "type")
+
+
+# ---------------------------------------------------------------------- stores
+
+
+@query("""SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal * 2, 2) ELSE c_acctbal END AS c_acctbal FROM customer""")
+def store_replace(spark, d):
+    """A table is saved, read, edited and saved under its own id, twice; what it holds then."""
+    store = Store(spark, f"{shared_folder(spark)}/ledgerline-store-{uuid.uuid4().hex}")
+    id = store.put("uploaded_files", table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "customers")
+    store.put("uploaded_files", store.get("uploaded_files", id).withColumn("c_name", F.upper("c_name")), "customers", id)
+    store.update("uploaded_files", id, lambda t: t.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.round(F.col("c_acctbal") * 2, 2)).otherwise(F.col("c_acctbal"))))
+    return store.get("uploaded_files", id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Read by all operators: names may differ in case only, times are UTC, bad casts are errors unless try_ is used.
@@ -21,6 +23,16 @@ def build_session(name: str = "ledgerline", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines share; where it is unset, a temporary one on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
+    return named.rstrip("/")
+
+
 def q(name: str) -> str:
     """A column name as one identifier, whatever dots, spaces or backticks it holds."""
     return "`" + name.replace("`", "``") + "`"

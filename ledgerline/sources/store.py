@@ -1,7 +1,9 @@
-"""Stored tables and results: a folder of Parquet for each, with a row of metadata beside it.
+"""Stored tables and results: versions of a table, each a folder of Parquet, and a log of commits with their metadata.
 
-Results are partitioned by category, so reading one category reads its files alone, and listings read metadata only.
-Paths are in any store that Spark reaches. Metadata rows are written after the data; a table without one doesn't exist.
+A version is written to a folder of its own and counts once its commit file exists, so a table may be replaced by what is
+still being read from it, and a write that fails leaves the version before. Commits are numbered; a number is taken by
+creating its file, which only one writer can do. Results are partitioned by category, so reading one category reads its
+files alone, and listings read commits only. Paths are in any store that Spark reaches.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,13 @@ from ..session import q
 
 CONTAINERS = ("uploaded_files", "extractions", "comparisons", "reconciliations", "transformations", "queries")
 CATEGORY = "result_category"
-_META = "id string, container string, kind string, name string, created double, rows bigint, columns string, counts string, extra string"
+_META = "id string, container string, kind string, name string, created double, rows bigint, columns string, counts string, extra string, version bigint, folder string"
+#: How often an update that others came before is tried again.
+ATTEMPTS = 20
+
+
+class Conflict(RuntimeError):
+    """Another version was committed since the one that a write builds on."""
 
 
 def safe_name(name: str, fallback: str = "result") -> str:
@@ -43,34 +52,103 @@ class Store:
             raise ValueError(f"no container {container!r}")
         return f"{self.root}/{container}/{kind}/{id}"
 
-    def put(self, container: str, df: DataFrame, name: str = "", id: str | None = None, partition: str | None = None, **extra: Any) -> str:
-        """Store a table; with `partition`, by that column. The id."""
+    def _commits(self, container: str, id: str) -> dict[int, str]:
+        """The commit files of a table by number."""
+        fs, where = self._fs(self._path(container, "meta", id))
+        if not fs.exists(where):
+            return {}
+        found = [(re.fullmatch(r"([0-9]{12})\.json", f.getPath().getName()), f.getPath().toString()) for f in fs.listStatus(where)]
+        return {int(m[1]): path for m, path in found if m}
+
+    def _commit(self, container: str, meta: dict[str, Any]) -> bool:
+        """Take the meta's version number; False if it is taken."""
+        fs, where = self._fs(f"{self._path(container, 'meta', meta['id'])}/{meta['version']:012d}.json")
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(where):
+                return False
+            raise
+        out.write(bytearray(json.dumps(meta).encode()))
+        out.close()
+        return True
+
+    def version(self, container: str, id: str) -> int:
+        """The number of the newest version, 0 if the table doesn't exist."""
+        return max(self._commits(container, id), default=0)
+
+    def put(self, container: str, df: DataFrame, name: str = "", id: str | None = None, partition: str | None = None, expected: int | None = None, **extra: Any) -> str:
+        """Store a table, or a new version of it; with `partition`, by that column. The id.
+
+        expected: the version that this one builds on; Conflict if another has been committed since. Without it, the last
+        one to commit counts. Versions before stay readable until vacuum().
+        """
         id = id or uuid.uuid4().hex
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(self._path(container, "data", id))
-        back = self._read(container, id)
-        counts = {r[0]: r[1] for r in back.groupBy(q(partition)).agg(F.count("*")).collect()} if partition else {}
-        rows = sum(counts.values()) if partition else back.count()  # from Parquet's footers
-        meta = [(id, container, "partitioned" if partition else "table", name or id, time.time(), rows, json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema]), json.dumps(counts), json.dumps(extra))]
-        self.spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(self._path(container, "meta", id))
-        return id
+        folder = f"{self._path(container, 'data', id)}/{uuid.uuid4().hex}"
+        try:
+            writer = df.write
+            (writer.partitionBy(partition) if partition else writer).parquet(folder)
+            back = self.spark.read.schema(df.schema).parquet(folder)
+            counts = {r[0]: r[1] for r in back.groupBy(q(partition)).agg(F.count("*")).collect()} if partition else {}
+            rows = sum(counts.values()) if partition else back.count()  # from Parquet's footers
+            meta = {
+                "id": id, "container": container, "kind": "partitioned" if partition else "table", "name": name or id, "created": time.time(), "rows": rows, "columns": json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema]),
+                "counts": json.dumps(counts), "extra": json.dumps(extra), "folder": folder}
+            while True:
+                newest = self.version(container, id)
+                if expected is not None and newest != expected:
+                    raise Conflict(f"{container}/{id} is at version {newest}, not {expected}")
+                if self._commit(container, meta | {"version": newest + 1}):
+                    return id
+        except BaseException:
+            fs, where = self._fs(folder)
+            fs.delete(where, True)
+            raise
+
+    def update(self, container: str, id: str, change: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS) -> int:
+        """Replace a table by what `change` makes of it; when another version comes between, again from that one. The new version."""
+        for _ in range(attempts):
+            meta = self.describe(container, id)
+            try:
+                self.put(container, change(self.get(container, id, version=meta["version"])), meta["name"], id, CATEGORY if meta["kind"] == "partitioned" else None, meta["version"], **meta["extra"])
+                return meta["version"] + 1
+            except Conflict:
+                continue
+        raise Conflict(f"{container}/{id} changed {attempts} times meanwhile")
+
+    def vacuum(self, container: str, id: str, keep: int = 1) -> int:
+        """Delete the data of all but the newest `keep` versions, and of writes that never ended; how many folders went.
+
+        For a time when nothing reads or writes the table.
+        """
+        metas = [m for _, path in sorted(self._commits(container, id).items()) if (m := self._committed(path))]
+        kept = {m["folder"].rsplit("/", 1)[1] for m in metas[-keep:]}
+        fs, where = self._fs(self._path(container, "data", id))
+        old = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName() not in kept]
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
+
+    def _text(self, path: str) -> str:
+        fs, where = self._fs(path)
+        stream = fs.open(where)
+        try:
+            return bytes(stream.readNBytes(1 << 30)).decode()
+        finally:
+            stream.close()
 
     def put_results(self, container: str, results: Mapping[str, DataFrame], name: str = "", id: str | None = None, **extra: Any) -> str:
         """Store result sets that share columns, or have columns of their own, as categories of one table."""
         return self.put(container, union_all(list(results.values()), CATEGORY, list(results)), name, id, CATEGORY, **extra)
 
-    def _read(self, container: str, id: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(container, "data", id))
-
-    def get(self, container: str, id: str, category: str | None = None) -> DataFrame:
-        if not self.exists(container, id):
-            raise KeyError(f"{container} has no {id}")
-        df = self._read(container, id)
+    def get(self, container: str, id: str, category: str | None = None, version: int | None = None) -> DataFrame:
+        """A table, or a category of it; the newest version unless another is named."""
+        meta = self.describe(container, id, version)
+        df = self.spark.read.parquet(meta["folder"]) if meta["kind"] == "partitioned" else self.spark.read.schema(", ".join(f"{q(c)} {t}" for c, t in meta["columns"])).parquet(meta["folder"])
         return df.filter(F.col(CATEGORY) == category).drop(CATEGORY) if category else df
 
     def exists(self, container: str, id: str) -> bool:
-        fs, where = self._fs(self._path(container, "meta", id))
-        return fs.exists(where)
+        return bool(self._commits(container, id))
 
     def delete(self, container: str, id: str) -> bool:
         found = self.exists(container, id)
@@ -86,13 +164,29 @@ class Store:
         for c in names:
             fs, where = self._fs(f"{self.root}/{c}/meta")
             if fs.exists(where) and len(fs.listStatus(where)):
-                each.append(self.spark.read.schema(_META).parquet(f"{self.root}/{c}/meta/*"))
+                each.append(self.spark.read.schema(_META).json(f"{self.root}/{c}/meta/*/*.json"))
         out = union_all(each) if each else self.spark.createDataFrame([], _META)
-        return out.orderBy(F.desc("created"), "id")
-
-    def describe(self, container: str, id: str) -> dict[str, Any]:
-        row = self.spark.read.schema(_META).parquet(self._path(container, "meta", id)).first()
-        return row.asDict() | {k: json.loads(row[k]) for k in ("columns", "counts", "extra")}
+        newest = out.filter("version IS NOT NULL").groupBy("container", "id").agg(F.max_by(F.struct(*out.columns), F.col("version")).alias("r")).select("r.*")
+        return newest.orderBy(F.desc("created"), "id")
+
+    def describe(self, container: str, id: str, version: int | None = None) -> dict[str, Any]:
+        """What the log says of a version, the newest by default; KeyError if there is none."""
+        commits = self._commits(container, id)
+        if not commits or (version is not None and version not in commits):
+            raise KeyError(f"{container} has no {id}" + (f" of version {version}" if version is not None else ""))
+        for number in [version] if version is not None else sorted(commits, reverse=True):
+            if meta := self._committed(commits[number]):
+                return meta | {k: json.loads(meta[k]) for k in ("columns", "counts", "extra")}
+        raise KeyError(f"{container}/{id} has no whole commit")
+
+    def _committed(self, path: str) -> dict[str, Any] | None:
+        """A commit; one that is just being written is waited for, one whose writer was lost counts for nothing."""
+        for _ in range(20):
+            try:
+                return json.loads(self._text(path))
+            except ValueError:
+                time.sleep(0.1)
+        return None
 
     def find(self, text: str, container: str | None = None) -> DataFrame:
         """Stored tables whose name contains the text, without case."""

@@ -2,6 +2,7 @@
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import pytest
@@ -14,7 +15,7 @@ from ledgerline.operators import catalog, closest, edits, ingest, profile, sqlsu
 from ledgerline.operators.edits import Patch
 from ledgerline.operators.recon import Rule
 from ledgerline.sources import files, sinks
-from ledgerline.sources.store import Store
+from ledgerline.sources.store import Conflict, Store
 
 # ------------------------------------------------------------------- similarity
 
@@ -249,6 +250,41 @@ def test_store(spark, tmp_path):
         store.get("comparisons", id)
 
 
+def test_a_table_is_replaced_by_what_is_read_from_it(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    id = store.put("uploaded_files", spark.range(5).withColumn("x", F.lit("a")), "t")
+    before = store.get("uploaded_files", id)
+    store.put("uploaded_files", edits.change_columns(before, rename={"x": "y"}), id=id)
+    assert store.get("uploaded_files", id).columns == ["id", "y"] and store.get("uploaded_files", id).count() == 5
+    assert before.count() == 5 and store.get("uploaded_files", id, version=1).columns == ["id", "x"] and store.version("uploaded_files", id) == 2
+    assert store.metadata().count() == 1 and store.describe("uploaded_files", id)["version"] == 2
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):  # a write that fails leaves what was there
+        store.put("uploaded_files", spark.range(3).selectExpr("1 div (id - 1) AS id"), id=id)
+    assert store.get("uploaded_files", id).count() == 5 and len(list((tmp_path / "store/uploaded_files/data" / id).iterdir())) == 2
+    assert store.vacuum("uploaded_files", id) == 1 and store.get("uploaded_files", id).count() == 5
+
+
+def test_updates_of_a_table_at_one_time_all_count(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    id = store.put("uploaded_files", spark.range(1).withColumn("n", F.lit(0)), "t")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda _: store.update("uploaded_files", id, lambda t: t.withColumn("n", F.col("n") + 1)), range(6)))
+    assert sorted(versions) == [2, 3, 4, 5, 6, 7] and store.get("uploaded_files", id).first().n == 6
+    with pytest.raises(Conflict):
+        store.put("uploaded_files", spark.range(1), id=id, expected=3)
+
+
+def test_uses_and_ratings_at_one_time_all_count(spark, tmp_path):
+    c = catalog.Catalog(spark, f"file://{tmp_path}/rules")
+    (id,) = c.save([{"type": "recon", "name": "Rates", "usage": 2, "rating": 5.0, "rating_count": 1}])
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: (c.used(id), c.rate(id, i)), range(4)))
+    c.update(id, name="New")
+    got = c.get(id)
+    assert (got["name"], got["usage"], got["rating_count"], got["rating"]) == ("New", 6, 5, pytest.approx(11 / 5))
+    assert c.compact(f"file://{tmp_path}/small").get(id)["usage"] == 6 and not c.used("none")
+
+
 def test_sinks(spark, tmp_path):
     a, b = spark.range(2), spark.range(1).withColumn("y", F.lit(float("nan")))
     both = sinks.combined({"A": a, "B": b})
