@@ -61,10 +61,18 @@ class Store:
         return {int(m[1]): path for m, path in found if m}
 
     def _commit(self, container: str, meta: dict[str, Any]) -> bool:
-        """Take the meta's version number; False if it is taken."""
+        """Take the meta's version number; False if it is taken.
+
+        Stores create a file that is not there in one step; a local disk does so by createNewFile only.
+        """
         fs, where = self._fs(f"{self._path(container, 'meta', meta['id'])}/{meta['version']:012d}.json")
+        local = where.toUri().getScheme() in (None, "file") and fs.getUri().getScheme() == "file"
+        if local:
+            fs.mkdirs(where.getParent())
+            if not self.spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile():
+                return False
         try:
-            out = fs.create(where, False)
+            out = fs.create(where, local)
         except Py4JJavaError as e:
             if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(where):
                 return False
