@@ -217,6 +217,37 @@ def test_sql_reads_only(spark):
         sqlsurface.open_tables([])
 
 
+def test_queries_are_judged_by_their_plan(spark):
+    spark.range(1).createOrReplaceTempView("not_opened")
+    spark.range(1).createOrReplaceGlobalTempView("shared_view")
+    with sqlsurface.open_tables({"t": spark.createDataFrame([(1, "x y"), (2, None)], "id int, s string")}) as tables:
+        for bad in (
+            "SELECT `reflect`('java.util.UUID', 'randomUUID')", "SELECT reflect/**/('java.util.UUID', 'randomUUID')", "SELECT \"java_method\"('java.util.UUID', 'randomUUID')", "SELECT IDENTIFIER('ref' || 'lect')('java.util.UUID', 'randomUUID')",
+            "SELECT id FROM t WHERE EXISTS (SELECT try_reflect('java.util.UUID', 'randomUUID'))", "SELECT system.builtin.reflect('java.util.UUID', 'randomUUID')", "SELECT TRANSFORM(id) USING 'cat' AS (x STRING) FROM t",
+            "FROM t INSERT INTO x SELECT *", "SELECT * FROM global_temp.shared_view", "SELECT * FROM not_opened", "SELECT * FROM IDENTIFIER('not_' || 'opened')", "SELECT nobody(id) FROM t", "SELECT * FROM parquet.`/tmp`",
+            "WITH t AS (SELECT 1) INSERT INTO x SELECT * FROM t", "EXPLAIN SELECT 1", "DESCRIBE t", "/* SELECT */ DROP VIEW t", "BEGIN SELECT 1; END", "SELECT 1; SELECT 2",
+        ):
+            with pytest.raises(ValueError):
+                sqlsurface.run(tables, bad)
+        for good, rows in (
+            ("-- a comment\n/* and another */ SELECT * FROM t -- end", 2), ("WITH a AS (SELECT id FROM t), b(k) AS (SELECT 1) SELECT * FROM a JOIN b ON id = k;", 1), ("SELECT x FROM t LATERAL VIEW explode(split(s, ' ')) e AS x", 2),
+            ("SELECT * FROM t PIVOT (max(s) FOR id IN (1, 2))", 1), ("SELECT id, sum(id) OVER w FROM t WINDOW w AS (ORDER BY id) ORDER BY 1 DESC LIMIT 1 OFFSET 1", 1), ("SELECT * FROM range(3)", 3), ("VALUES (1), (2)", 2), ("TABLE t", 2),
+            ("SELECT days_between(DATE'2024-01-02', DATE'2024-01-01') FROM t WHERE regexp_matches(s, 'x') UNION ALL SELECT 1 EXCEPT SELECT 3", 1), ("SELECT * FROM t |> WHERE id > 1", 1), ("SELECT 'DROP TABLE reflect(' AS x, id FROM t TABLESAMPLE (100 PERCENT)", 2),
+        ):
+            assert sqlsurface.run(tables, good).count() == rows, good
+        for query, kind, name in (("WITH c AS (SELECT id AS number FROM t) SELECT c.numbr FROM c", "cte_column", "c.numbr"), ("SELECT ids FROM t", "column", "ids"), ("SELECT 1 FROM tt", "table", "tt")):
+            with pytest.raises(Exception) as e:
+                sqlsurface.run(tables, query).collect()
+            told = sqlsurface.explain_error(e.value, tables, query)
+            assert (told["kind"], told["name"]) == (kind, name) and told["suggestions"]
+    assert not [v for v in tables.spark.catalog.listTables() if v.name == "t"]
+    assert [r.viewName for r in spark.sql("SHOW VIEWS IN global_temp").collect() if not r.isTemporary or r.namespace] == ["shared_view"]
+    spark.catalog.dropGlobalTempView("shared_view")
+    spark.catalog.dropTempView("not_opened")
+    seen = sqlsurface.parsed(spark, "WITH a AS (SELECT x.k FROM big AS x) SELECT count(*), a.k FROM a, LATERAL explode(array(1)) GROUP BY a.k")
+    assert seen.tables == ["big", "a"] and seen.with_names == ["a"] and "x" in seen.aliases and {"count", "explode", "array"} <= set(seen.functions) and "a.k" in seen.columns
+
+
 def test_sql_texts(spark):
     assert [sqlsurface.query_class(q) for q in ("select * from a LEFT JOIN b", "select sum(x) from a", "select 1 where not x", "select 1", "select Coalesce(a) from b", "select x from a order by x", "with a as (select 1) select * from a", "select 1 where 'AMENDED' = x")] == ["join_operation", "aggregation", "filtering", "data_analysis", "reconciliation", "sorting", "complex_query", "delta_analysis"]
     assert sqlsurface.complexity("select 1 from (subquery) union select 2") == 5
