@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import batchsim
 from .canon import date_of, number_of, text_of
 
 KINDS = ("text", "numeric", "date", "identifier")
@@ -104,20 +105,17 @@ def identifier_similarity(a: str, b: str) -> float:
     return min(100.0, 0.4 * ratio(a, b) + 0.3 * partial_ratio(a, b) + 0.3 * token_sort_ratio(a, b))
 
 
-def _udf(score: Callable[[str, str], float]):
+def _udf(kind: str):
     def scores(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple, float] = {}  # values repeat: each pair of a batch is scored once
-        out = []
-        for pair in zip(a, b):
-            if pair not in known:
-                known[pair] = None if pair[0] is None or pair[1] is None else score(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        both = a.notna() & b.notna()
+        out = pd.Series(float("nan"), index=a.index)
+        out[both] = batchsim.scores(a[both].tolist(), b[both].tolist(), kind)
+        return out.astype(object).where(both, None).astype("Float64")
 
     return F.pandas_udf(scores, T.DoubleType())
 
 
-text_score, identifier_score = _udf(text_similarity), _udf(identifier_similarity)
+text_score, identifier_score = _udf("text"), _udf("identifier")
 
 
 def numeric_score(a: Column, b: Column) -> Column:
@@ -148,8 +146,7 @@ def score(kind: str, a: Column, b: Column, native: bool = False) -> Column:
 
     Values that are no number or date fall back on text, unless `native`: they score 0 then and no Python runs.
     """
-    if kind not in KINDS:
-        raise ValueError(f"unknown kind {kind!r}; known: {', '.join(KINDS)}")
+    check_kind(kind)
     text_a, text_b = F.trim(a["t"]), F.trim(b["t"])
 
     def in_python(udf: Callable[[Column, Column], Column], decided: Column) -> Column:
@@ -166,6 +163,11 @@ def score(kind: str, a: Column, b: Column, native: bool = False) -> Column:
     return F.when(a["t"].isNull() & b["t"].isNull(), 50.0).when(a["t"].isNull() | b["t"].isNull(), 0.0).when(text_a == text_b, 100.0).otherwise(rest)
 
 
+def check_kind(kind: str) -> None:
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; known: {', '.join(KINDS)}")
+
+
 def column_kind(name: str, samples: Sequence = ()) -> str:
     """The kind of a column: by words in its name, else by up to 10 of its values (70 % numbers, 70 % dates), else text."""
     low = name.lower()

@@ -1,9 +1,10 @@
 """Closest match: for each row that reconciliation left unmatched, the most similar row of the whole other table.
 
-Similarity is the mean over the compared columns (functions.similarity). Rows meet in blocks: the scores of a row's
-targets are never kept, only the best so far, in a partial aggregate before the shuffle. Columns that have to match
-exactly make the join an equi-join. Without any, the work is rows times targets by definition; it is refused above
-max_comparisons unless targets are sampled.
+Similarity is the mean over the compared columns (functions.similarity). Columns that have to match exactly make an
+equi-join. Without any, sources and targets are cut into slices and blocks of bounded size, and each cell (slice, block)
+is one group of a cogrouped join: numbers and dates are scored for all its pairs at once, text only where an upper bound
+(functions.bounds) could still win, from the highest bound down, in batches (functions.batchsim). Of a cell at most one
+row for each source leaves it, so the scores of a row's targets are never kept.
 
 The target chosen is the first one (by position) that reaches `perfect`; if none does, the one with the highest score,
 the first of equals. A score has to exceed `least`.
@@ -11,24 +12,29 @@ the first of equals. A score has to exceed `least`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity
+from ..functions import batchsim, bounds, similarity
 from ..functions.canon import text_of
 from ..functions.predicates import every
-from ..session import q, require
+from ..session import free_name, q, require
 from .recon import Rule
 
 LEAST, PERFECT = 30.0, 99.5
-MAX_COMPARISONS = 10_000_000
+MAX_COMPARISONS = 10_000_000_000
 #: Above so many targets, sampling (if asked for by `sample=None`) takes the lesser of SAMPLE_ROWS and half of them.
 SAMPLE_ABOVE, SAMPLE_ROWS = 50_000, 10_000
-#: Targets are broadcast only up to so many rows and bytes; more are joined by blocks.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
-BLOCKS = 64
+#: Rows of a slice of sources, and of a block of targets; so many sources of a slice are looked at together.
+SLICE_ROWS, BLOCK_ROWS, AT_ONCE = 256, 8192, 64
+#: Cells go to so many tasks at most.
+MOST_TASKS = 10_000
+#: So many of a source's targets are scored before its bounds are looked at again.
+ROUND = 4
 
 
 def compared(rules: Sequence[Rule], specific: Sequence[tuple[str, str]] | None, from_a: bool = True) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -48,10 +54,6 @@ def kinds_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {c: similarity.column_kind(c, [r[c] for r in rows]) for c in columns}
 
 
-def _bytes(df: DataFrame) -> int:
-    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
-
-
 def sampled(targets: DataFrame, pos: str, n: int, force: bool = False) -> DataFrame:
     """The targets, or a sample that depends on positions only: the least hashes. Smaller tables stay whole unless forced."""
     if not force and n <= SAMPLE_ABOVE:
@@ -59,20 +61,177 @@ def sampled(targets: DataFrame, pos: str, n: int, force: bool = False) -> DataFr
     return targets.orderBy(F.xxhash64(F.col(q(pos)))).limit(max(1, min(SAMPLE_ROWS, n // 2)))
 
 
+# ------------------------------------------------------- inside a cell
+
+
+class _Column:
+    """The values of one compared column: trimmed texts, which of them are null, numbers or days if the kind has such."""
+
+    def __init__(self, forms: pa.ChunkedArray, kind: str) -> None:
+        rows = forms.to_pylist()
+        raw = [r["t"] for r in rows]
+        self.texts = [None if t is None else t.strip(" ") for t in raw]
+        self.null = np.array([t is None for t in raw], bool)
+        if kind == "numeric":
+            self.value = np.array([np.nan if r["n"] is None else float(r["n"]) for r in rows], float)
+        elif kind == "date":
+            days = np.array([r["d"] or "NaT" for r in rows], "datetime64[D]")
+            self.value = np.where(np.isnat(days), np.nan, days.astype("int64").astype(float))
+        else:
+            self.value = np.full(len(rows), np.nan)
+        self.has = np.array([r.get("n" if kind == "numeric" else "d") is not None for r in rows], bool) if kind in ("numeric", "date") else np.zeros(len(rows), bool)
+
+
+def _by_value(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """similarity.numeric_score or date_score of all pairs."""
+    with np.errstate(all="ignore"):
+        if kind == "numeric":
+            near = np.maximum(0.0, 100.0 - np.abs(a - b) / np.abs(b) * 100)
+            same = (a == b) | (np.isnan(a) & np.isnan(b))
+            return np.where(same, 100.0, np.where(b == 0, 0.0, np.where(np.isnan(near), np.inf, near)))  # as Spark orders NaN
+        d = np.abs(a - b)
+        return np.select([d == 0, d == 1, d <= 7, d <= 30], [100.0, 95.0, 95.0 - (d - 1) * 5.0, np.maximum(0.0, 65.0 - (d - 7) * 2.8)], 0.0)
+
+
+def _cell(kinds: Sequence[str], least: float, perfect: float, native: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best target of a block for each source of a slice that has one above `least`; n_scored: pairs whose texts were compared."""
+
+    def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("t_pos")  # the order of targets is that of their positions
+        a, b = ([_Column(t.column(f"{side}{i}"), k) for i, k in enumerate(kinds)] for t, side in ((left, "s"), (right, "t")))
+        in_text = [k not in ("numeric", "date") or not native for k in kinds]
+        told = [tuple(bounds.Texts(c[i].texts) for c in (a, b)) if in_text[i] and not (a[i].has.all() and b[i].has.all() and len(a[i].has) and len(b[i].has)) else None for i in range(len(kinds))]
+        ids = []
+        for x, y in zip(a, b):
+            number = {t: n for n, t in enumerate(dict.fromkeys([*x.texts, *y.texts]))}
+            ids.append([np.array([number[t] for t in c.texts], np.int64) for c in (x, y)])
+        chosen: list[tuple[int, int, float, list[float]]] = []
+        n_scored = np.zeros(left.num_rows, np.int64)
+        for start in range(0, left.num_rows, AT_ONCE):
+            rows = slice(start, min(start + AT_ONCE, left.num_rows))
+            known, open_, high = [], [], np.zeros((rows.stop - rows.start, right.num_rows))
+            for i, kind in enumerate(kinds):
+                x, y = a[i], b[i]
+                null_x, null_y = x.null[rows][:, None], y.null[None, :]
+                by_value = x.has[rows][:, None] & y.has[None, :]
+                same = ids[i][0][rows][:, None] == ids[i][1][None, :]
+                exact = np.where(null_x & null_y, 50.0, np.where(null_x | null_y, 0.0, np.where(same, 100.0, _by_value(kind, x.value[rows][:, None], y.value[None, :]) if by_value.any() else 0.0)))
+                to_score = ~(null_x | null_y | same | by_value) if told[i] else np.zeros(exact.shape, bool)
+                if told[i]:
+                    high += np.where(to_score, bounds.bound(told[i][0].part(rows), told[i][1], kind == "identifier"), exact)
+                else:
+                    high += exact
+                known.append(exact)
+                open_.append(to_score)
+            high /= len(kinds)
+            settled = ~np.any(open_, axis=0)
+
+            def scored(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                each = []
+                for i, kind in enumerate(kinds):
+                    score, ask = known[i][source, target].copy(), open_[i][source, target]  # noqa: B023
+                    if ask.any():
+                        pairs = [(a[i].texts[rows.start + s], b[i].texts[t]) for s, t in zip(source[ask].tolist(), target[ask].tolist())]  # noqa: B023
+                        score[ask] = batchsim.scores([p[0] for p in pairs], [p[1] for p in pairs], "identifier" if kind == "identifier" else "text")
+                    each.append(score)
+                mean = each[0] * 1.0
+                for more in each[1:]:
+                    mean = mean + more
+                return mean / len(kinds), np.stack(each, 1)
+
+            count = rows.stop - rows.start
+            top, at, parts = np.full(count, float(least)), np.full(count, right.num_rows), np.zeros((count, len(kinds)))
+
+            def take(source: np.ndarray, target: np.ndarray) -> None:
+                score, each = scored(source, target)
+                order = np.lexsort((target, np.where(score >= perfect, 0.0, -score), score < perfect, source))
+                first = order[np.concatenate([[True], source[order][1:] != source[order][:-1]])] if len(order) else order
+                s, t, v = source[first], target[first], score[first]
+                was, is_ = top[s] >= perfect, v >= perfect  # noqa: B023
+                better = np.where(was, is_ & (t < at[s]), is_ | (v > top[s]) | ((v == top[s]) & (v > least) & (t < at[s])))  # noqa: B023
+                s, first = s[better], first[better]
+                top[s], at[s], parts[s] = score[first], target[first], each[first]  # noqa: B023
+
+            # pairs that need no text are decided by one look
+            sure = np.where(settled, high, -1.0)
+            full = sure >= perfect
+            first = np.where(full.any(1), full.argmax(1), sure.argmax(1))
+            some = np.flatnonzero(sure[np.arange(count), first] > least)
+            take(some, first[some])
+            # a first round by bounds alone, then whatever could still win
+            left_over = ~settled
+            if left_over.any():
+                bound = np.where(left_over, high, -1.0)
+                k = min(ROUND, bound.shape[1])
+                seeds = np.argpartition(-bound, k - 1, axis=1)[:, :k] if bound.shape[1] > k else np.tile(np.arange(bound.shape[1]), (count, 1))
+                source, target = np.repeat(np.arange(count), seeds.shape[1]), seeds.ravel()
+                while True:
+                    limit, seat = top[source], at[source]
+                    could = bound[source, target]
+                    worth = np.where(limit >= perfect, (could >= perfect) & (target < seat), (could > limit) | ((could >= limit) & (target < seat)))
+                    source, target = source[worth], target[worth]
+                    if len(source):
+                        order = np.lexsort((target, -bound[source, target], source))
+                        source, target = source[order], target[order]
+                        begin = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
+                        nth = np.arange(len(source)) - np.repeat(begin, np.diff(np.append(begin, len(source))))
+                        now = nth < ROUND
+                        take(source[now], target[now])
+                        np.add.at(n_scored, rows.start + source[now], 1)
+                        bound[source[now], target[now]] = -1.0
+                        source, target = source[~now], target[~now]
+                        if len(source):
+                            continue
+                    source, target = np.nonzero((bound >= 0) & np.where((top >= perfect)[:, None], bound >= perfect, bound >= top[:, None]))
+                    limit, seat, could = top[source], at[source], bound[source, target]
+                    worth = np.where(limit >= perfect, target < seat, (could > limit) | (target < seat))
+                    source, target = source[worth], target[worth]
+                    if not len(source):
+                        break
+            for i in np.flatnonzero(at < right.num_rows).tolist():
+                chosen.append((rows.start + i, int(at[i]), float(top[i]), parts[i].tolist()))
+        source, target = [c[0] for c in chosen], [c[1] for c in chosen]
+        return pa.table({
+            "s_pos": left.column("s_pos").take(pa.array(source, pa.int64())), "t_pos": right.column("t_pos").take(pa.array(target, pa.int64())), "score": pa.array([c[2] for c in chosen], pa.float64()),
+            "scores": pa.array([c[3] for c in chosen], pa.list_(pa.float64())), "n_scored": pa.array(n_scored[source], pa.int64())})
+
+    return best_of
+
+
+def _in_cells(left: DataFrame, right: DataFrame, sources: int, n_targets: int, kinds: Sequence[str], least: float, perfect: float, native: bool) -> DataFrame:
+    """s_pos, t_pos, score, scores, n_scored: of each cell, the best target of each source."""
+    slices, blocks = max(1, -(-sources // SLICE_ROWS)), max(1, -(-n_targets // BLOCK_ROWS))
+    part = lambda pos, n: F.pmod(F.xxhash64(pos), F.lit(n)).cast("int")
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = left.withColumn("slice", part("s_pos", slices)).withColumn("block", every_(blocks))
+    blocked = right.withColumn("block", part("t_pos", blocks)).withColumn("slice", every_(slices))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"s_pos {kind(left, 's_pos')}, t_pos {kind(right, 't_pos')}, score double, scores array<double>, n_scored bigint"
+    tasks = min(slices * blocks, MOST_TASKS)  # named, as cells are much work and few bytes: they would be put together otherwise
+    dealt, blocked = (df.repartition(tasks, "slice", "block") for df in (dealt, blocked))
+    return dealt.groupBy("slice", "block").cogroup(blocked.groupBy("slice", "block")).applyInArrow(_cell(kinds, least, perfect, native), schema)
+
+
+# ------------------------------------------------------------------ results
+
+
 def closest(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str, str]], source_pos: str, target_pos: str, exact: Sequence[tuple[str, str]] = (), kinds: dict[str, str] | None = None, least: float = LEAST, perfect: float = PERFECT, sample: bool | None = False, max_comparisons: int = MAX_COMPARISONS, native: bool = False) -> DataFrame:
     """The source rows with closest_match_record, closest_match_score and closest_match_details.
 
     sample: True samples the targets, None does so above SAMPLE_ABOVE rows, False never. native: text that is no number
-    or date scores 0 in numeric and date columns, so that no Python runs.
+    or date scores 0 in numeric and date columns, so that no text is compared there.
     """
     require(source, [s for s, _ in [*columns, *exact]] + [source_pos], "the source")
     require(targets, [t for _, t in [*columns, *exact]] + [target_pos], "the target")
     kinds = kinds or kinds_of(source, [s for s, _ in columns])
+    for s, _ in columns:
+        similarity.check_kind(kinds[s])
     n_targets = targets.count()
     if sample is not False:
         targets = sampled(targets, target_pos, n_targets, force=sample is True)
         n_targets = min(n_targets, max(1, min(SAMPLE_ROWS, n_targets // 2))) if sample or n_targets > SAMPLE_ABOVE else n_targets
-    if not exact and (asked := source.count() * n_targets) > max_comparisons:
+    sources = 0 if exact else source.count()
+    if not exact and (asked := sources * n_targets) > max_comparisons:
         raise ValueError(f"{asked} comparisons, more than max_comparisons={max_comparisons}; name columns that match exactly, sample, or raise it")
 
     key = lambda df, c: F.lower(F.trim(F.coalesce(text_of(df, c), F.lit(""))))
@@ -80,25 +239,28 @@ def closest(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str,
     record = F.array_join(F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(text_of(targets, c), F.lit("nan"))) for c in shown]), "; ")
     left = source.select(F.col(q(source_pos)).alias("s_pos"), *[F.struct(*similarity.forms(source, s, kinds[s])).alias(f"s{i}") for i, (s, _) in enumerate(columns)], *[key(source, s).alias(f"sk{i}") for i, (s, _) in enumerate(exact)])
     right = targets.select(F.col(q(target_pos)).alias("t_pos"), record.alias("record"), *[F.struct(*similarity.forms(targets, t, kinds[s])).alias(f"t{i}") for i, (s, t) in enumerate(columns)], *[key(targets, t).alias(f"tk{i}") for i, (_, t) in enumerate(exact)])
+    texts = [F.col(f"t{i}")["t"].alias(f"t{i}") for i in range(len(columns))]
+    # the first perfect one, else the highest, the first of equals
+    order = F.struct((F.col("score") < perfect).alias("imperfect"), F.when(F.col("score") >= perfect, F.lit(0.0)).otherwise(-F.col("score")).alias("below"), F.col("t_pos").alias("t_pos"))
     if exact:
         met = left.join(right, every([F.col(f"sk{i}") == F.col(f"tk{i}") for i in range(len(exact))]))
-    elif n_targets <= BROADCAST_ROWS and _bytes(right) <= BROADCAST_BYTES:
-        met = left.repartition(BLOCKS).crossJoin(F.broadcast(right))
+        each = [similarity.score(kinds[s], F.col(f"s{i}"), F.col(f"t{i}"), native) for i, (s, _) in enumerate(columns)]
+        scored = met.select("s_pos", "t_pos", F.array(*each).alias("scores"), "record", *texts)
+        scored = scored.withColumn("score", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / len(columns)).filter(F.col("score") > least)
+        found = scored.groupBy("s_pos").agg(F.min_by(F.struct("score", "scores", "record", *[f"t{i}" for i in range(len(columns))]), order).alias("best"))
     else:
-        met = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(right.withColumn("block", F.pmod(F.xxhash64("t_pos"), F.lit(BLOCKS)).cast("int")), "block")
-    each = [similarity.score(kinds[s], F.col(f"s{i}"), F.col(f"t{i}"), native) for i, (s, _) in enumerate(columns)]
-    scored = met.select("s_pos", "t_pos", F.array(*each).alias("scores"), "record", *[F.col(f"t{i}")["t"].alias(f"t{i}") for i in range(len(columns))])
-    mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / len(columns)
-    scored = scored.withColumn("score", mean).filter(F.col("score") > least)
-    # the first perfect one, else the highest, the first of equals
-    order = F.struct((F.col("score") < perfect).alias("imperfect"), F.when(F.col("score") >= perfect, F.lit(0.0)).otherwise(-F.col("score")).alias("below"), F.col("t_pos").alias("t_pos"))
-    best = scored.groupBy("s_pos").agg(F.min_by(F.struct("score", "scores", "record", *[f"t{i}" for i in range(len(columns))]), order).alias("best"))
+        cells = _in_cells(left, right.drop("record"), sources, n_targets, [kinds[s] for s, _ in columns], least, perfect, native)
+        won = cells.groupBy("s_pos").agg(F.min_by(F.struct("t_pos", "score", "scores"), order).alias("won")).select("s_pos", "won.*")
+        found = won.join(right.select("t_pos", "record", *texts), "t_pos").select("s_pos", F.struct("score", "scores", "record", *[f"t{i}" for i in range(len(columns))]).alias("best"))
 
-    differs = [F.when(F.get("best.scores", F.lit(i)) < 100, F.concat(F.lit(f"{s}: '"), F.coalesce(text_of(source, s), F.lit("nan")), F.lit("' → '"), F.coalesce(F.col(f"best.t{i}"), F.lit("nan")), F.lit("'"))) for i, (s, _) in enumerate(columns)]
+    # source columns stay apart from the rest, whatever their names
+    rows = source.select(F.struct(*[q(c) for c in source.columns]).alias("source"), F.col(q(source_pos)).alias("own_pos"), F.array(*[text_of(source, s) for s, _ in columns]).alias("texts"))
+    say = lambda t: F.coalesce(t, F.lit("nan"))
+    differs = [F.when(F.get("best.scores", F.lit(i)) < 100, F.concat(F.lit(f"{s}: '"), say(F.get("texts", F.lit(i))), F.lit("' → '"), say(F.col(f"best.t{i}")), F.lit("'"))) for i, (s, _) in enumerate(columns)]
     details = F.array_join(F.array_compact(F.array(*differs)), "; ")
-    out = source.join(best, F.col(q(source_pos)) == F.col("s_pos"), "left")
+    out = rows.join(found, F.col("own_pos") == F.col("s_pos"), "left")
     return out.select(
-        *[q(c) for c in source.columns], F.col("best.record").alias("closest_match_record"), F.round(F.coalesce("best.score", F.lit(0.0)), 2).alias("closest_match_score"),
+        *[F.col("source")[c].alias(c) for c in source.columns], F.col("best.record").alias("closest_match_record"), F.round(F.coalesce("best.score", F.lit(0.0)), 2).alias("closest_match_score"),
         F.when(F.col("best").isNotNull(), F.when(details == "", "All columns match exactly").otherwise(details)).alias("closest_match_details"))
 
 
@@ -106,7 +268,8 @@ def closest_with_fallback(source: DataFrame, targets: DataFrame, columns: Sequen
     """As `closest` among the targets that match exactly; rows that have none with a score are compared with all targets."""
     first = closest(source, targets, columns, source_pos, target_pos, exact, **how)
     found = first.filter(F.col("closest_match_record").isNotNull())
-    left = source.join(found.select(F.col(q(source_pos)).alias("_found")), F.col(q(source_pos)) == F.col("_found"), "left_anti")
+    taken = free_name(source, "found")
+    left = source.join(found.select(F.col(q(source_pos)).alias(taken)), F.col(q(source_pos)) == F.col(taken), "left_anti")
     return found.unionByName(closest(left, targets, columns, source_pos, target_pos, **how))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import assist
+from ledgerline.functions import batchsim, bounds
 from ledgerline.functions import similarity as s
 from ledgerline.functions import validators as v
 from ledgerline.operators import catalog, closest, edits, ingest, profile, sqlsurface
@@ -376,3 +377,58 @@ def test_aids(spark):
         assist.query_for(Canned("DROP VIEW file_1"), "x", tables)
     assert [tuple(r) for r in assist.extract_fields(df, "t", ["who"], Canned(""), "id", 1).orderBy("id").collect()] == [(1, "abc", 0.5), (2, "", 0.5)]
     assert 0 <= assist.prompt_quality("sum of t by id", ["id", "t"]) <= 1 and assist.delta_keys(Canned('[{"left": "id", "right": "id"}]'), "x", df, df)[0].left == "id"
+
+
+# ------------------------------------------------- closest match without all pairs
+
+
+def _words(rng, n):
+    return " ".join(rng.choice(["red", "small", "bolt", "ring", "gear", "hot", "x", "ab", "ba"]) + rng.choice(["", "s", "1"]) for _ in range(n))
+
+
+def test_batched_scores_are_those_of_single_pairs():
+    rng = random.Random(8)
+    pairs = [(_words(rng, rng.randint(0, k)), _words(rng, rng.randint(0, k))) for k in (1, 2, 5, 12, 70) for _ in range(80)] + [("é 𝒜", "𝒜 é"), ("a" * 100, "a" * 70), ("ab" * 60, "ba" * 65), (" \t", "a"), ("x", "x" * 300)]
+    for kind, plain in (("text", s.text_similarity), ("identifier", s.identifier_similarity)):
+        assert batchsim.scores(*zip(*pairs), kind).tolist() == [plain(*p) for p in pairs]
+    assert batchsim.scores([], []).tolist() == []
+
+
+def test_bounds_are_never_below_scores():
+    rng = random.Random(9)
+    texts = ["", "\t", "é", *(_words(rng, rng.randint(0, 9)) for _ in range(60)), *("".join(rng.choice("ab c") for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    told = bounds.Texts(texts)
+    for identifier, plain in ((False, s.text_similarity), (True, s.identifier_similarity)):
+        high = bounds.bound(told, told, identifier)
+        assert all(high[i, j] >= plain(x, y) for i, x in enumerate(texts) for j, y in enumerate(texts) if x != y)
+
+
+def test_closest_scores_few_pairs_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(closest, "BLOCK_ROWS", 170)
+    monkeypatch.setattr(closest, "SLICE_ROWS", 30)
+    rng = random.Random(10)
+    values = lambda i: (i, rng.choice([None, _words(rng, rng.randint(0, 5)), _words(rng, 3), _words(rng, 3)]), rng.choice([None, "7", "7.0", "x", f"{rng.randint(1, 900)}", "0"]), rng.choice([None, "2024-01-05", f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", "soon"]))
+    a, b = [values(i) for i in range(70)], [values(i) for i in range(500)]
+    schema, kinds = "best int, name string, n string, day string", {"name": "text", "n": "numeric", "day": "date"}
+    columns = [(c, c) for c in kinds]
+    da, db = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema).repartition(3)
+    # every pair by the plain expressions
+    forms = lambda df, x: df.select("best", *[F.struct(*s.forms(df, c, k)).alias(f"{x}_{c}") for c, k in kinds.items()])
+    pairs = forms(da, "a").crossJoin(forms(db, "b").withColumnRenamed("best", "other"))
+    total = sum((s.score(k, F.col(f"a_{c}"), F.col(f"b_{c}")) for c, k in kinds.items()), F.lit(0.0)) / 3
+    scores = {}
+    for r in pairs.select("best", "other", total.alias("score")).collect():
+        scores.setdefault(r.best, []).append((r.other, r.score))
+    for least, perfect in ((30.0, 99.5), (45.0, 60.0), (0.0, 101.0)):
+        got = {r.best: r for r in closest.closest(da, db, columns, "best", "best", kinds=kinds, least=least, perfect=perfect).collect()}
+        assert len(got) == 70
+        for i, rows in scores.items():
+            over = sorted((p, x) for p, x in rows if x > least)
+            want = next((x for x in over if x[1] >= perfect), None) or (max(over, key=lambda x: (x[1], -x[0])) if over else None)
+            assert got[i].closest_match_score == (pytest.approx(round(want[1], 2), abs=0.006) if want else 0.0)
+            assert (got[i].closest_match_record or "none").startswith(f"best: {want[0]};" if want else "none")
+    left, right = (df.select(F.col("best").alias(f"{x}_pos"), F.struct(*s.forms(df, "name", "text")).alias(f"{x}0")) for df, x in ((da, "s"), (db, "t")))
+    monkeypatch.setattr(closest, "BLOCK_ROWS", 8192)
+    scored = closest._in_cells(left, right, 70, 500, ["text"], 30.0, 99.5, False).agg(F.sum("n_scored")).first()[0]
+    assert scored < 0.05 * 70 * 500
+    assert "CartesianProduct" not in (plan := closest.closest(da, db, columns, "best", "best", kinds=kinds)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
