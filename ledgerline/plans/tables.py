@@ -11,6 +11,7 @@ from ..functions.canon import day_of, text_of
 from ..operators import catalog, edits, ingest, profile
 from ..operators.edits import Patch
 from ..session import shared_folder
+from ..sources import files, sinks
 from ..sources.store import Store
 from .base import query, table
 
@@ -248,3 +249,12 @@ def store_replace(spark, d):
     store.put("uploaded_files", store.get("uploaded_files", id).withColumn("c_name", F.upper("c_name")), "customers", id)
     store.update("uploaded_files", id, lambda t: t.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.round(F.col("c_acctbal") * 2, 2)).otherwise(F.col("c_acctbal"))))
     return store.get("uploaded_files", id)
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+def excel_roundtrip(spark, d):
+    """Two sheets, a summary and metadata are written as a workbook; one of the sheets is read again, all as text."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = f"{shared_folder(spark)}/ledgerline-{uuid.uuid4().hex}.xlsx"
+    sinks.export_excel({"In credit": customers.filter("c_acctbal > 0"), "In debt": customers.filter("c_acctbal <= 0")}, path, metadata={"made by": "excel_roundtrip"})
+    return files.read_excel(spark, path, "In credit").drop("_row_pos")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import Report, clean, with_row_pos
+from . import workbook
 
 MAX_FILE_BYTES = 100 * 1024 * 1024
 EXTENSIONS = (".csv", ".xlsx", ".xls", ".json", ".parquet")
@@ -44,22 +45,19 @@ def read_csv(spark: SparkSession, path: str, positions: bool = False, multiline:
     return df.filter(some)
 
 
-def excel_sheets(path: str) -> list[str]:
-    import pandas as pd
-
-    return list(pd.ExcelFile(path).sheet_names)
+def excel_sheets(spark: SparkSession, path: str) -> list[str]:
+    return [s["sheet"] for s in workbook.sheets(spark, path)]
 
 
-def excel_info(path: str) -> list[dict]:
+def excel_info(spark: SparkSession, path: str) -> list[dict]:
     """Of each sheet its name, columns and number of rows."""
-    import pandas as pd
-
-    sheets = pd.read_excel(path, sheet_name=None, dtype=str)
-    return [{"sheet": name, "columns": list(map(str, t.columns)), "rows": len(t)} for name, t in sheets.items()]
+    return [{k: s[k] for k in ("sheet", "columns", "rows")} for s in workbook.sheets(spark, path)]
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet (the first by default) as text columns. Excel files are small by their format; pandas reads them."""
+    """A sheet (the first by default) as text columns, and _row_pos. The older .xls format needs a library that pandas knows."""
+    if extension(path) == ".xlsx":
+        return workbook.read_sheet(spark, path, sheet)
     import pandas as pd
 
     pdf = pd.read_excel(path, sheet_name=sheet or 0, dtype=str)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.profile import finite, union_all
+from ..session import shared_folder
+from . import workbook
 
 FORMATS = ("csv", "json", "parquet", "excel")
-#: Excel sheets have no more rows.
-EXCEL_ROWS = 1_048_575
 
 
 def combined(results: Mapping[str, DataFrame], label: str = "Result_Type") -> DataFrame:
@@ -43,16 +44,14 @@ def counts(results: Mapping[str, DataFrame]) -> DataFrame:
     return each.crossJoin(total).select("Category", "Count", share.alias("Percentage"))  # one row on the right
 
 
-def export_excel(sheets: Mapping[str, DataFrame], path: str, summary: bool = True) -> None:
-    """A workbook with a sheet for each table and a Summary; needs openpyxl or xlsxwriter. Tables over EXCEL_ROWS are refused."""
-    import pandas as pd
+def export_excel(sheets: Mapping[str, DataFrame], path: str, summary: bool = True, metadata: Mapping[str, Any] | None = None) -> None:
+    """A workbook: a Summary of the tables if there are several, a sheet for each, and a Metadata sheet of given facts.
 
+    Sheets follow the order of their tables' partitions. Tables that no sheet holds are refused.
+    """
     tables = dict(sheets)
     if summary and len(tables) > 1:
         tables = {"Summary": counts(sheets)} | tables
-    for name, df in tables.items():
-        if df.limit(EXCEL_ROWS + 1).count() > EXCEL_ROWS:
-            raise ValueError(f"{name}: more rows than a sheet holds; export CSV")
-    with pd.ExcelWriter(path) as book:
-        for name, df in tables.items():
-            df.toPandas().to_excel(book, sheet_name=name[:31], index=False)
+    if metadata is not None:
+        tables["Metadata"] = workbook.metadata_sheet(next(iter(sheets.values())).sparkSession, metadata)
+    workbook.write_book(tables, path, shared_folder(next(iter(sheets.values())).sparkSession))
