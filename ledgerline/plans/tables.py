@@ -251,7 +251,7 @@ def store_replace(spark, d):
     return store.get("uploaded_files", id)
 
 
-@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def excel_roundtrip(spark, d):
     """Two sheets, a summary and metadata are written as a workbook; one of the sheets is read again, all as text."""
     customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
