@@ -8,8 +8,8 @@ return that bit; the filter's false positives, known from how full the language'
 largest count decides. The score is the corrected count over the number of trigrams.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is any text when no row is labelled; texts of
-any length are read whole; a
-text whose trigrams are all unknown gets the commonest training language with score 0, as ties go to the commoner one.
+any length are read whole; ids are never looked at, so null and repeated ones don't matter, and copies of a text are read
+once in training and count as often as they stand there; a text whose trigrams are all unknown gets the commonest training language with score 0, as ties go to the commoner one.
 Extra columns are ignored, repeated rows are scored each, an empty table gives an empty result.
 """
 
@@ -101,24 +101,29 @@ def remainder(id_col: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % of
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 2000, grams: int = 8192, near: float = 0.5, least: int = 2, slot_bits: int = 18, hashes: int = 2) -> Model:
-    """Learn from about docs_per_lang documents of each language, all if there are fewer."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 2000, grams: int = 8192, near: float = 0.5, least: int = 2, slot_bits: int = 18, hashes: int = 2) -> Model:
+    """Learn from about docs_per_lang different texts of each language, all if there are fewer; told apart by a hash of the text."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("texts")).collect()
+    sizes = {r["lang"]: r["n"] for r in counted}
     if not sizes:
         return Model([], np.zeros((1 << slot_bits, 1), np.uint64), hashes)
     pick = F.lit(0.0)
-    for lang, n in sizes.items():  # as many as languages
-        pick = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_lang / n))).otherwise(pick)
-    chance = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(chance < pick).select("lang", "text")
+    for r in counted:  # as many as languages; few texts are all taken, though their number is an estimate
+        pick = F.when(F.col("lang") == r["lang"], F.lit(1.0 if r["texts"] <= 1.2 * docs_per_lang else docs_per_lang / r["texts"])).otherwise(pick)
+    chance = F.pmod(F.xxhash64("hash", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.filter(chance < pick).groupBy("lang", "hash").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("lang", "text", "copies")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
+            texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_numpy()
             for lang in np.unique(langs):
-                g, n = np.unique(trigrams(letters_of([t for t, x in zip(texts, langs) if x == lang])[0])[0], return_counts=True)
+                letters, begin = letters_of([t for t, x in zip(texts, langs) if x == lang])
+                grams, at = trigrams(letters)
+                g, which = np.unique(grams, return_inverse=True)
+                n = np.zeros(len(g), np.int64)
+                np.add.at(n, which, copies[langs == lang][np.searchsorted(begin, at, "right") - 1])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -11,7 +11,8 @@ with sums over slices of the order, so no task ever holds a leaf.
 
 Defined results: null levels form the node "?"; null and empty texts have no tokens and are never taken; texts of any length
 are taken whole but for the last of a leaf; children whose needs are equal for their weights, and odd tokens, go by name,
-documents whose place in an epoch is equal by id; weights not given are 1, a weight of 0 excludes; repeated rows count each; an
+a document's place in an epoch comes from its id and its text, so neither null or repeated ids nor the order of the input
+matter, and copies of both go by the carried columns; weights not given are 1, a weight of 0 excludes; repeated rows count each; an
 empty table gives an empty result; further columns
 (whatever their names) are kept out unless `carry` names them.
 """
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights:
     total_tokens: the budget of the root; if None, `share` of all tokens. No more is given than the tree can take.
     """
     path = [f"level_{i}" for i in range(len(levels))]
-    measured = docs.select(F.col(id_col).alias("id"), *[F.coalesce(e.cast("string"), F.lit("?")).alias(p) for p, (_, e) in zip(path, levels)], token_count(F.col(text_col)).alias("n_tokens"), *[F.col(c).alias(f"carry_{c}") for c in carry]).filter("n_tokens > 0")
+    measured = docs.select(F.col(id_col).alias("id"), *[F.coalesce(e.cast("string"), F.lit("?")).alias(p) for p, (_, e) in zip(path, levels)], token_count(F.col(text_col)).alias("n_tokens"), F.md5(text_col).alias("digest"), *[F.col(c).alias(f"carry_{c}") for c in carry]).filter("n_tokens > 0")
     small = settled(measured.drop(*[f"carry_{c}" for c in carry]))
     leaves = settled(small.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     whole = leaves.agg(F.sum("tokens").alias("tokens"), F.max("docs").alias("docs"), F.count("*").alias("n")).first()
@@ -117,12 +118,12 @@ def mix_sources(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights:
 
     few = (lambda d: F.broadcast(d)) if whole["n"] <= FEW_LEAVES else (lambda d: d)
     digits = max(1, math.ceil(math.log((whole["docs"] or 1) / SLICE + 1, 16)))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.col("id").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.col("id").cast("string"), "digest"))
     ordered = lambda d: d.join(few(budgets), path).withColumn("order", order).withColumn("slice", F.substring("order", 1, digits))
     sums = ordered(small).groupBy(*path, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
     along = Window.partitionBy(*path).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("before", F.sum("slice_tokens").over(along) - F.col("slice_tokens")).drop("slice_tokens")
-    inside = Window.partitionBy(*path, "slice").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*path, "slice").orderBy("order", *[f"carry_{c}" for c in carry if c != text_col]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = ordered(measured if carry else small).join(sums, [*path, "slice"])
     taken = taken.withColumn("ahead", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     last = F.greatest(F.least(F.col("rest") - F.col("ahead"), F.col("n_tokens")), F.lit(0))

@@ -48,7 +48,7 @@ def _op1_sql() -> str:
     case = lambda of, d: "CASE " + " ".join(f"WHEN {of} = '{k[d]}' THEN {v}" for k, v in WEIGHTS.items() if len(k) == d + 1) + " ELSE 1 END"
     domain = "coalesce(CASE WHEN regexp_matches(source, '^src[0-9]{1,6}$') THEN CASE cast(substr(source, 4) AS INT) % 4 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DOMAINS)) + " END END, 'other')"
     return f"""
-    WITH measured AS (SELECT * FROM (SELECT doc_id, {domain} AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
+    WITH measured AS (SELECT * FROM (SELECT doc_id, md5(text) AS digest, {domain} AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents) WHERE n_tokens > 0),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {MAX_EPOCHS} AS capacity FROM measured GROUP BY ALL),
     total AS (SELECT least(floor(sum(tokens) * {SHARE}), sum(capacity))::HUGEINT AS budget FROM leaves),
@@ -56,7 +56,7 @@ def _op1_sql() -> str:
     b AS ({_share_out_sql(['domain'], 'lang', f"SELECT l.domain, l.lang, sum(l.capacity)::HUGEINT AS capacity, ({case('l.lang', 1)})::HUGEINT AS weight, any_value(a.granted)::HUGEINT AS budget FROM leaves l JOIN a USING (domain) GROUP BY l.domain, l.lang")}),
     c AS ({_share_out_sql(['domain', 'lang'], 'source', "SELECT l.domain, l.lang, l.source, l.tokens, l.capacity, 1::HUGEINT AS weight, b.granted::HUGEINT AS budget FROM leaves l JOIN b USING (domain, lang)")}),
     leaf AS (SELECT domain, lang, source, granted::HUGEINT AS budget, granted::HUGEINT // tokens AS whole, granted::HUGEINT % tokens AS rest FROM c),
-    ordered AS (SELECT m.*, budget, whole, rest, sum(n_tokens) OVER (PARTITION BY m.domain, m.lang, m.source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS ahead
+    ordered AS (SELECT m.*, budget, whole, rest, sum(n_tokens) OVER (PARTITION BY m.domain, m.lang, m.source ORDER BY md5(concat_ws(':', '{MIX_SEED}', whole, doc_id, digest)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS ahead
         FROM measured m JOIN leaf USING (domain, lang, source)),
     taken AS (SELECT *, unnest(range(0, {MAX_EPOCHS + 1})) AS epoch FROM ordered)
     SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens::BIGINT AS n_tokens, take_tokens::BIGINT AS take_tokens, budget::BIGINT AS budget FROM (

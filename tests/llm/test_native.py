@@ -45,10 +45,10 @@ def waterfill(budget, children):
 
 
 def mixed_by_hand(rows, weights, share, epochs, seed):
-    docs = [(d, "?" if x is None else x, "?" if s is None else s, len((t or "").split())) for d, t, x, s, _ in rows]
+    docs = [(d, "?" if x is None else x, "?" if s is None else s, len((t or "").split()), t or "") for d, t, x, s, _ in rows]
     docs = [d for d in docs if d[3]]
     leaf = Counter()
-    for _, x, s, n in docs:
+    for _, x, s, n, _ in docs:
         leaf[x, s] += n
     cap = Counter()
     for (x, s), n in leaf.items():
@@ -61,14 +61,15 @@ def mixed_by_hand(rows, weights, share, epochs, seed):
         for s, budget in got.items():
             whole, rest = divmod(budget, leaf[x, s])
             own = [d for d in docs if d[1:3] == (x, s)]
-            for d, _, _, n in own:
+            for d, _, _, n, _ in own:
                 out += [(d, e, n) for e in range(whole)]
-            for d, _, _, n in sorted(own, key=lambda d: (hashlib.md5(f"{seed}:{whole}:{d[0]}".encode()).hexdigest(), d[0])):
+            place = lambda d: hashlib.md5(":".join([str(seed), str(whole), *([] if d[0] is None else [str(d[0])]), hashlib.md5(d[4].encode()).hexdigest()]).encode()).hexdigest()  # noqa: B023, E731
+            for d, _, _, n, _ in sorted(own, key=place):
                 if rest > 0:
                     out.append((d, whole, min(n, rest)))
                     rest -= n
     assert sum(o[2] for o in out) == total
-    return sorted(out)
+    return sorted(out, key=lambda o: (o[0] is None, o[0] or 0, o[1], o[2]))
 
 
 @pytest.mark.parametrize("weights,share", [({("en",): 3, ("fr",): 9, ("en", "src1"): 5}, 0.6), ({}, 1.4), ({("de",): 50}, 0.9)])
@@ -96,6 +97,18 @@ def test_mixing_of_awkward_rows(spark):
     assert sorted((str(r.doc_id), r.lang, r.source, r.take_tokens) for r in got) == [("4", "?", "a", 50_000), ("None", "?", "?", 2), ("None", "?", "?", 2)]
 
 
+def test_mixing_does_not_depend_on_ids_or_the_order_of_rows(spark):
+    """A third of the rows has no id, and one id has many texts."""
+    rng = random.Random(6)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 40))), "en", "s", i) for i in range(600)]
+    taken = []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        got = mixing.mix_sources(spark.createDataFrame(order, DOC_SCHEMA).repartition(len(taken) + 1), levels(), {}, 0.5, max_epochs=1, seed=3, carry=["text"]).collect()
+        taken.append(sorted((str(r.doc_id), r.carry_text, r.take_tokens) for r in got))
+    assert taken[0] == taken[1] == taken[2]
+    assert sorted((str(d), n) for d, _, n in mixed_by_hand(rows, {}, 0.5, 1, 3)) == sorted((d, n) for d, _, n in taken[0])
+
+
 def test_token_prefix(spark):
     df = spark.createDataFrame([("a  b\tc\nd ", n) for n in (1, 3, 4)], "t string, n int")
     assert [r[0] for r in df.select(mixing.token_prefix(F.col("t"), F.col("n"))).collect()] == ["a", "a  b\tc", "a  b\tc\nd"]

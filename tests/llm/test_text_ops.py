@@ -94,6 +94,18 @@ def test_language_defined_results(spark, docs):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_is_learnt_without_ids_and_from_copies(spark):
+    """No ids, one id for all, and a third of the rows one text: over 2000 texts a language, a few of a third one."""
+    rng = random.Random(12)
+    words = {"en": ["the", "and", "house", "river", "which"], "de": ["der", "und", "haus", "strasse", "welche"], "fr": ["les", "et", "maison", "quelle", "oiseau"]}
+    say = lambda x: " ".join(rng.choice(words[x]) + str(rng.randint(0, 9)) for _ in range(12))
+    texts = [(say("en"), "en") for _ in range(3000)] + [(say("de"), "de") for _ in range(3000)] + [("the same " * 5, "en")] * 3000 + [(say("fr"), "fr") for _ in range(5)]
+    for id in (None, 7):
+        docs = spark.createDataFrame([(id, t, x) for t, x in texts], "doc_id bigint, text string, lang string").repartition(4)
+        got = langid.identify(docs, langid.train(docs), keep=("lang",)).filter("lang_pred <> lang").count()
+        assert got <= 0.01 * len(texts)
+
+
 def test_bit_sliced_filter_returns_every_language_of_a_gram():
     rng = np.random.default_rng(1)
     grams = {f"l{i}": rng.integers(0, 1 << 62, 300).astype(np.int64) for i in range(70)}
