@@ -5,13 +5,16 @@ Filters never give null, so they can be negated and combined. Regular expression
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import q, require
 from .canon import date_of, is_number, normalized_date, number_of, text_number, text_of, type_of
@@ -72,18 +75,45 @@ def filter_column(df: DataFrame, f: Filter) -> Column:
         if isinstance(f.value, str):
             same = low == f.value.lower()
         else:
-            same = number_of(df, f.column) == float(f.value) if is_number(type_of(df, f.column)) else c == F.lit(f.value)
+            same = _number(df, f.column, f.value, "eq") if is_number(type_of(df, f.column)) else c == F.lit(f.value)
         return F.coalesce(same, F.lit(False)) if f.kind == "equals" else F.coalesce(~same, F.lit(True))
     if f.kind == "greater_than":
-        return F.coalesce(number_of(df, f.column) > float(f.value), F.lit(False))
+        return F.coalesce(_number(df, f.column, f.value, "gt"), F.lit(False))
     if f.kind == "less_than":
-        return F.coalesce(number_of(df, f.column) < float(f.value), F.lit(False))
+        return F.coalesce(_number(df, f.column, f.value, "lt"), F.lit(False))
     if f.kind == "contains":
         return F.coalesce(text_of(df, f.column).rlike(java_pattern(str(f.value))), F.lit(False))
     values = [v.strip() for v in f.value.split(",")] if isinstance(f.value, str) else [str(v) for v in f.value]
     return F.coalesce(low.isin([v.lower() for v in values]), F.lit(False))
 
 
+def _number(df: DataFrame, name: str, value: Any, how: str) -> Column:
+    """A column against a number: whole numbers and decimals digit by digit, others and numbers in texts as doubles."""
+    test = getattr(operator, how)
+    kind = type_of(df, name)
+    try:
+        exact = Decimal(str(value).strip())
+    except InvalidOperation:
+        exact = None
+    if isinstance(kind, T.IntegralType) and exact is not None and exact.is_finite():
+        if abs(exact) >= 10**19:  # beyond any whole number of 64 bits
+            return F.when(F.col(q(name)).isNotNull(), F.lit(test(0, exact)))
+        floor = int(exact.to_integral_value(ROUND_FLOOR))
+        if how == "eq":
+            return F.when(F.col(q(name)).isNotNull(), F.lit(False)) if floor != exact else F.col(q(name)).cast("decimal(20,0)") == F.lit(floor).cast("decimal(20,0)")
+        limit = F.lit(str(floor if how == "gt" or floor == exact else floor + 1)).cast("decimal(20,0)")
+        return test(F.col(q(name)).cast("decimal(20,0)"), limit)
+    if isinstance(kind, T.DecimalType) and exact is not None and exact.is_finite() and len(exact.as_tuple().digits) <= 18 and exact.as_tuple().exponent >= -18:
+        return test(F.col(q(name)), F.lit(exact))
+    return test(number_of(df, name), float(value))
+
+
+def value_kind(df: DataFrame, name: str) -> str:
+    """number, or the name of the column's type: values of different kinds are never equal as they are typed."""
+    kind = type_of(df, name)
+    return "number" if is_number(kind) else "text" if isinstance(kind, T.StringType) else kind.simpleString()
+
+
 def filtered(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     """The rows for which all filters hold."""
     return df.filter(every([filter_column(df, f) for f in filters])) if filters else df
@@ -122,8 +152,15 @@ def _asks_null(v: Any) -> bool:
 
 
 def exact_filtered(df: DataFrame, filters: Sequence[tuple[str, Sequence[Any]]]) -> DataFrame:
-    """Rows whose columns hold one of the given values, compared as they are typed."""
-    return df.filter(every([F.coalesce(F.col(q(c)).isin(list(values)), F.lit(False)) for c, values in filters])) if filters else df
+    """Rows whose columns hold one of the given values, compared as they are typed: a text is no number, a number no text."""
+
+    def one_of(name: str, values: Sequence[Any]) -> Column:
+        kind = value_kind(df, name)
+        fits = {"number": lambda v: isinstance(v, (int, float, Decimal)) and not isinstance(v, bool), "text": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool)}.get(kind, lambda v: v is not None)
+        same = [_number(df, name, v, "eq") if kind == "number" else F.col(q(name)) == F.lit(v) for v in values if fits(v)]
+        return F.coalesce(some(same), F.lit(False))
+
+    return df.filter(every([one_of(c, values) for c, values in filters])) if filters else df
 
 
 # ------------------------------------------------- pattern conditions, extraction

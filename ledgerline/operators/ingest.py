@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canon import day_of, text_number
-from ..session import q
+from ..session import free_name, q
 
 #: Values looked at to tell a column's type; a fixed number, as in the rule that it implements.
 SAMPLE = 20
@@ -51,11 +51,12 @@ def with_row_pos(df: DataFrame, name: str = "_row_pos") -> DataFrame:
     Rows are numbered within the blocks that tasks read and shifted by the blocks before; nothing is collected. Take it
     on a table that is read the same way each time, and write the result before using it as an identity.
     """
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))  # one row for each block
-    counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    out = rows.join(counts, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_first"))
+    file, block, at, first, ahead = (free_name(df, c) for c in ("file", "block", "id", "first", "before"))
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at))
+    before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(file, block).agg(F.count("*").alias("n"), F.min(at).alias(first))  # one row for each block
+    counts = counts.withColumn(ahead, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    out = rows.join(counts, [file, block]).withColumn(name, F.col(ahead) + F.col(at) - F.col(first))
     return out.select(*[q(c) for c in df.columns], name)
 
 

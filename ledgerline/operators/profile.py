@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.canon import day_of, is_number, text_number, text_of, type_of
 from ..functions.predicates import every, some
-from ..session import q, require
+from ..session import free_name, q, require
 
 SAMPLES = 5
 #: Rows that an exact median puts in order at once, and how far on either side of the middle the range is taken.
@@ -104,8 +104,9 @@ def statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: duplicate_rows, how many rows repeat an earlier one in all columns (null equals null)."""
-    groups = df.groupBy(*[q(c) for c in df.columns]).agg(F.count("*").alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    times = free_name(df, "times")
+    groups = df.groupBy(*[q(c) for c in df.columns]).agg(F.count("*").alias(times))
+    return groups.agg(F.coalesce(F.sum(F.col(times) - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def quality(df: DataFrame) -> DataFrame:

@@ -266,7 +266,11 @@ def reconcile(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_p
     left = a.select(F.col(q(a_pos)).alias("_a"), *[F.col(q(c)).alias(f"FileA_{c}") for c in keep_a])
     right = b.select(F.col(q(b_pos)).alias("_b"), *[F.col(q(c)).alias(f"FileB_{c}") for c in keep_b])
     matched = pairs.join(left, F.col("a_pos") == F.col("_a")).join(right, F.col("b_pos") == F.col("_b")).drop("a_pos", "b_pos", "_a", "_b")
-    rest = lambda df, pos, own, keep: df.join(pairs.select(F.col(own).alias("_taken")), F.col(q(pos)) == F.col("_taken"), "left_anti").select(*[q(c) for c in keep])
+
+    def rest(df: DataFrame, pos: str, own: str, keep: Sequence[str]) -> DataFrame:
+        taken = free_name(df, "taken")
+        return df.join(pairs.select(F.col(own).alias(taken)), F.col(q(pos)) == F.col(taken), "left_anti").select(*[q(c) for c in keep])
+
     return Reconciled(matched, rest(a, a_pos, "a_pos", keep_a), rest(b, b_pos, "b_pos", keep_b), pairs)
 
 

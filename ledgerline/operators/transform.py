@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import date_of, text_of
+from ..functions.predicates import value_kind
 from ..functions.expressions import condition, dynamic, formula, template
 from ..session import free_name, q, require
 
@@ -84,10 +85,12 @@ def apply_rule(df: DataFrame, rule: Rule, honor_condition: bool = False) -> Data
     if honor_condition:
         df = df.filter(condition(df, rule.condition))
     earlier: dict[str, str] = {}
+    made: list[str] = []
     for i, o in enumerate(rule.outputs):
-        df = df.withColumn(f"_out{i}", _output(df, _seeing(o, earlier)))
-        earlier[o.name] = f"_out{i}"
-    return df.select(*[F.col(f"_out{i}").alias(o.name) for i, o in enumerate(rule.outputs)])
+        made.append(free_name(df, f"out{i}"))
+        df = df.withColumn(made[i], _output(df, _seeing(o, earlier)))
+        earlier[o.name] = made[i]
+    return df.select(*[F.col(m).alias(o.name) for m, o in zip(made, rule.outputs)])
 
 
 def union_of(sources: Sequence[DataFrame]) -> DataFrame:
@@ -198,10 +201,13 @@ def expand_by_rule(df: DataFrame, rules: Sequence[ChosenRule]) -> DataFrame:
 def lookup(df: DataFrame, table: DataFrame, source: str, key: str, take: str, into: str, default: Any = None, table_pos: str | None = None) -> DataFrame:
     """Add `into`: `take` of the table's first row (by position) whose key equals the source value; else the default.
 
-    A matched null stays null. The table has one row for a key before the join; Spark broadcasts it if it is small.
+    A matched null stays null. The table has one row for a key before the join; Spark broadcasts it if it is small. Values
+    of different kinds (a number and a text) are never equal.
     """
     require(df, [source], "the table")
     require(table, [key, take], "the lookup table")
+    if value_kind(df, source) != value_kind(table, key):
+        return df.withColumn(into, F.lit(default).cast(table.schema[take].dataType) if default is None else F.lit(default))
     met, hit = free_name([*df.columns, into], "met"), free_name([*df.columns, into], "hit")
     order = F.col(q(table_pos)) if table_pos else F.lit(0)
     first = table.filter(F.col(q(key)).isNotNull()).groupBy(F.col(q(key)).alias(met)).agg(F.min_by(F.struct(F.col(q(take)).alias("v")), order).alias(hit))

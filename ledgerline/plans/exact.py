@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import validators as v
-from ..functions.predicates import all_matches
+from ..functions.predicates import Filter, all_matches, filtered
 from ..operators import closest, delta, ingest, recon, transform
 from ..operators.delta import Compare, Key
 from ..operators.recon import Rule
@@ -98,3 +98,21 @@ def sequence_beside_clashing_names(spark, d):
     """Columns named like the operator's own helpers stay what they are."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("rank"), F.col("o_custkey").alias("slice"), (F.col("o_orderkey") % 3).alias("within"))
     return transform.sequence(o, "rank", "number").withColumn("number", F.col("number").cast("bigint"))
+
+
+_LONG = "SELECT o_orderkey, o_orderkey * 1000000007 + 12345678901234567 AS long_key, o_totalprice FROM orders"
+
+
+@query(f"SELECT * FROM ({_LONG}) WHERE long_key > 12345678901234567 + 40 * 1000000007::BIGINT AND long_key < 12345678901234568 + 90 * 1000000007::BIGINT AND long_key <> 12345678901234567 + 50 * 1000000007::BIGINT")
+def filter_long_numbers(spark, d):
+    """Numbers over 2**53, told apart in their last digit."""
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 1000000007 + 12345678901234567).alias("long_key"), "o_totalprice")
+    at = lambda k: 12345678901234567 + k * 1000000007
+    return filtered(orders, [Filter("long_key", "greater_than", at(40)), Filter("long_key", "less_than", at(90) + 1), Filter("long_key", "not_equals", at(50))])
+
+
+@query("SELECT c_custkey, 'none' AS looked_up FROM customer")
+def lookup_mixed_types(spark, d):
+    """A number is no text: keys of another type find nothing."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), "n_name")
+    return transform.lookup(table(spark, d, "customer"), nations, "c_nationkey", "code", "n_name", "looked_up", "none").select("c_custkey", "looked_up")

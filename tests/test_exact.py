@@ -2,16 +2,19 @@
 
 import random
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import predicates
 from ledgerline.functions.predicates import all_matches
 from ledgerline.functions.validators import extract_amount, validate_field
 from ledgerline.operators import delta, edits, ingest, profile, recon, transform
 from ledgerline.operators.delta import Compare, Key
 from ledgerline.operators.recon import Rule
 from ledgerline.session import free_name
+from ledgerline.sources import files
 
 #: Names that operators use for columns of their own.
 CLASHING = ["rank", "slice", "within", "before", "_slice", "_within", "_before", "_n", "_all", "_key", "_hit", "_e", "_id", "_row", "_rule", "_at", "_one", "_gone", "_met", "_changes", "_a", "_b"]
@@ -125,3 +128,28 @@ def test_statistics_and_profile_of_large_tables(spark, monkeypatch):
     assert exact["v"].distinct_count == 100 and exact["t"].distinct_count == 2
     assert "Expand" not in profile.column_profile(df)._jdf.queryExecution().optimizedPlan().toString()
     assert [r.column_name for r in profile.column_profile(df, approximate=True).collect()] == ["v", "t"]
+
+
+def test_filters_and_lookups_tell_types_and_last_digits_apart(spark):
+    df = spark.createDataFrame([(12345678901234567, Decimal("0.10"), "5", True), (12345678901234568, Decimal("0.11"), "x", None), (-3, None, None, False)], "n bigint, d decimal(10,2), s string, b boolean")
+    kept = lambda *f: [r.n for r in predicates.filtered(df, [predicates.Filter(*f)]).orderBy("n").collect()]
+    assert kept("n", "equals", 12345678901234567) == [12345678901234567] and kept("n", "greater_than", "12345678901234567") == [12345678901234568] and kept("n", "less_than", 12345678901234568) == [-3, 12345678901234567]
+    assert kept("n", "equals", -2.5) == [] and kept("n", "greater_than", -3.5) == [-3, 12345678901234567, 12345678901234568] and kept("n", "less_than", -2.5) == [-3] and kept("n", "less_than", 10**30) == kept("n", "greater_than", -(10**30)) == [-3, 12345678901234567, 12345678901234568]
+    assert kept("d", "greater_than", "0.1") == [12345678901234568] and kept("d", "equals", 0.1) == [12345678901234567] and kept("s", "greater_than", 4) == [12345678901234567]
+    typed = lambda c, *v: predicates.exact_filtered(df, [(c, v)]).count()
+    assert (typed("n", "x", "-3"), typed("n", -3, None), typed("s", 5), typed("s", "5"), typed("b", True, 1), typed("b", "True")) == (0, 1, 0, 1, 1, 0)
+    table = spark.createDataFrame([("-3", "text"), ("7", "other")], "k string, v string")
+    assert {r.got for r in transform.lookup(df, table, "n", "k", "v", "got", "none").collect()} == {"none"} and {r.got for r in transform.lookup(df, table, "n", "k", "v", "got").collect()} == {None}
+
+
+def test_columns_may_be_named_like_helpers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, 3), (1, 2, 3)], "_n int, _times int, x int")
+    assert profile.duplicate_rows(df).first()[0] == 1
+    rule = transform.Rule("r", [transform.Output("a", "direct", "_out0"), transform.Output("b", "direct", "_out1")])
+    source = spark.createDataFrame([("zero", "one")], "_out0 string, _out1 string")
+    assert tuple(transform.apply_rule(source, rule).first()) == ("zero", "one")
+    a = spark.createDataFrame([(0, "x", 5), (1, "y", 6)], "pos int, k string, _taken int")
+    out = recon.reconcile(a, a.filter("pos = 0"), [recon.Rule("k", "k")], "pos", "pos", selected_a=["_taken"])
+    assert [r["_taken"] for r in out.unmatched_a.collect()] == [6]
+    (tmp_path / "t.csv").write_text("_id,_file,_first\n1,2,3\n4,5,6\n")
+    assert [r["_row_pos"] for r in files.read_csv(spark, f"file://{tmp_path}/t.csv", positions=True).orderBy("_row_pos").collect()] == [0, 1]
