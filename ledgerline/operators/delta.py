@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canon import date_of, exact_of, key_text, number_of, text_of, type_of
+from ..functions.canon import date_of, exact_of, is_floating, key_text, number_of, text_of, type_of
 from ..functions.predicates import every
 from ..session import q, require
 
@@ -80,6 +80,8 @@ def _same(i: int, r: Compare) -> Column:
     numbers = num_a.isNotNull() & num_b.isNotNull()
     exact_a, exact_b = F.col(f"_a._x{i}"), F.col(f"_b._x{i}")
     exact = exact_a.isNotNull() & exact_b.isNotNull()
+    digits_a, digits_b = F.col(f"_a._k{i}"), F.col(f"_b._k{i}")
+    by_digits = numbers & digits_a.isNotNull() & digits_b.isNotNull()
     trimmed = F.trim(text_a) == F.trim(text_b)
     if r.kind == "case_insensitive":
         return F.lower(F.trim(text_a)) == F.lower(F.trim(text_b))
@@ -87,10 +89,10 @@ def _same(i: int, r: Compare) -> Column:
         return F.col(f"_a._d{i}").eqNullSafe(F.col(f"_b._d{i}"))
     if r.kind == "numeric_tolerance":
         if r.tolerance is None:
-            return F.when(exact, exact_a == exact_b).when(numbers, num_a == num_b).otherwise(trimmed)
+            return F.when(by_digits, digits_a == digits_b).when(numbers, num_a == num_b).otherwise(trimmed)
         near = F.when(num_b != 0, F.abs(num_a - num_b) / F.when(num_b != 0, F.abs(num_b)) * 100 <= float(r.tolerance)).otherwise(num_a == 0)
         return F.when(numbers, near).otherwise(trimmed)
-    return F.when(exact, F.round(exact_a, 2) == F.round(exact_b, 2)).when(numbers, F.round(num_a, 2) == F.round(num_b, 2)).otherwise(trimmed)
+    return F.when(exact, F.round(exact_a, 2) == F.round(exact_b, 2)).when(by_digits, digits_a == digits_b).when(numbers, F.round(num_a, 2) == F.round(num_b, 2)).otherwise(trimmed)
 
 
 def classified(a: DataFrame, b: DataFrame, keys: Sequence[Key], compares: Sequence[Compare] | None = None, a_pos: str | None = None, b_pos: str | None = None, selected_a: Sequence[str] | None = None, selected_b: Sequence[str] | None = None) -> DataFrame:
@@ -116,6 +118,10 @@ def classified(a: DataFrame, b: DataFrame, keys: Sequence[Key], compares: Sequen
             name = r.left if left else r.right
             beside = type_of(b, r.right) if left else type_of(a, r.left)
             values += [text_of(df, name, beside).alias(f"_t{i}"), number_of(df, name).alias(f"_n{i}"), exact_of(df, name).alias(f"_x{i}")]
+            if r.kind == "equals":  # up to 36 digits before the point
+                values.append((F.lit(None).cast("decimal(38,2)") if is_floating(type_of(df, name)) else F.when(number_of(df, name).isNotNull(), F.trim(text_of(df, name))).try_cast("decimal(38,2)")).alias(f"_k{i}"))
+            if r.kind == "numeric_tolerance" and r.tolerance is None:  # of any length
+                values.append((F.lit(None).cast("string") if is_floating(type_of(df, name)) else key_text(df, name)).alias(f"_k{i}"))
             if _check(r.kind) == "date_equals":
                 values.append(date_of(df, name).alias(f"_d{i}"))
         rows = _first_rows(df, _key_columns(a, b, keys, left), values, pos or names[0])

@@ -116,3 +116,13 @@ def lookup_mixed_types(spark, d):
     """A number is no text: keys of another type find nothing."""
     nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), "n_name")
     return transform.lookup(table(spark, d, "customer"), nations, "c_nationkey", "code", "n_name", "looked_up", "none").select("c_custkey", "looked_up")
+
+
+@query("""SELECT o_orderkey AS "FileA_o_orderkey", CASE WHEN o_orderkey % 5 IN (1, 2) THEN 'AMENDED' ELSE 'UNCHANGED' END AS "Delta_Type" FROM orders""")
+def delta_wide_digits(spark, d):
+    """Texts of 30 digits that differ in the last one, and decimals that differ behind the twelfth place."""
+    o, k = table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey")
+    end = lambda at: F.when(k % 5 == at, "8").otherwise("7")
+    side = lambda one, two: o.select("o_orderkey", F.concat(F.lit("123456789012345678901"), F.lpad(k.cast("string"), 8, "0"), end(one)).alias("wide"), F.concat(F.lit("0.123456789012345"), end(two)).alias("fine"))
+    changes = delta.classified(side(9, 9), side(1, 2), [Key("o_orderkey", "o_orderkey")], [Compare("wide", "wide"), Compare("fine", "fine", "numeric_tolerance")])
+    return changes.select("FileA_o_orderkey", "Delta_Type")

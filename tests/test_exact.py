@@ -153,3 +153,12 @@ def test_columns_may_be_named_like_helpers(spark, tmp_path):
     assert [r["_taken"] for r in out.unmatched_a.collect()] == [6]
     (tmp_path / "t.csv").write_text("_id,_file,_first\n1,2,3\n4,5,6\n")
     assert [r["_row_pos"] for r in files.read_csv(spark, f"file://{tmp_path}/t.csv", positions=True).orderBy("_row_pos").collect()] == [0, 1]
+
+
+def test_deltas_see_every_digit(spark):
+    wide = "123456789012345678901234567890"
+    cases = [("equals", wide, wide[:-1] + "1", False), ("equals", wide, "+0" + wide + ".00", True), ("equals", wide + ".004", wide + ".001", True), ("equals", "x" * 40, "x" * 40 + " ", True)]
+    cases += [("numeric_tolerance", "0.1234567890123456", "0.1234567890123999", False), ("numeric_tolerance", "0.10", ".1000000000000000000", True), ("numeric_tolerance", "1e3", "1000", True), ("numeric_tolerance", "5", "x", False)]
+    for kind, x, y, same in cases:
+        a, b = (spark.createDataFrame([(1, v)], "k int, v string") for v in (x, y))
+        assert (delta.classified(a, b, [Key("k", "k")], [Compare("v", "v", kind)]).first()["Delta_Type"] == "UNCHANGED") == same, (kind, x, y)
