@@ -6,12 +6,15 @@ Filters never give null, so they can be negated and combined. Regular expression
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
+from itertools import islice
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,6 +236,29 @@ def all_matches(text: Column, pattern: str, most: int = 20) -> Column:
     return F.aggregate(pairs, first, take, lambda acc: acc["found"])
 
 
+def group_matches(text: Column, pattern: str, most: int | None = 20, ignore_case: bool = True) -> Column:
+    """array of struct(match, index, length, groups) of a Python pattern's matches, the first `most` or all (None).
+
+    Places are code points from 0, a group that took no part is null. Null text has no matches. Spark has no function for the
+    places of groups, so Python reads the one column, in Arrow batches; the others never leave the JVM.
+    """
+    try:
+        known = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+    except re.error as e:
+        raise ValueError(f"Invalid regex pattern: {e}") from e
+    made = pa.list_(pa.struct([("match", pa.string()), ("index", pa.int32()), ("length", pa.int32()), ("groups", pa.list_(pa.string()))]))
+
+    @F.arrow_udf("array<struct<match:string,index:int,length:int,groups:array<string>>>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            each = islice(known.finditer(t), most) if t is not None else ()
+            rows.append([{"match": m[0], "index": m.start(), "length": m.end() - m.start(), "groups": list(m.groups())} for m in each])
+        return pa.array(rows, made)
+
+    return found(text)
+
+
 # ------------------------------------------------------------ match predicates
 
 

@@ -53,6 +53,36 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return reduce(DataFrame.union, [told(df.select(q(f.name)).agg(rows, *aggs(i, f)), [(i, f)]) for i, f in columns])
 
 
+#: Bytes of a value of fixed size.
+_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
+
+
+def storage(df: DataFrame) -> DataFrame:
+    """For each column: data_type, non_null_count, null_count and memory_bytes, what its values take.
+
+    Numbers and dates count by their type (decimals 8 bytes up to 18 digits, else 16), texts and binaries by their bytes,
+    nested values by their bytes as JSON; nulls take nothing. One aggregate over the table.
+    """
+
+    def size(f: T.StructField) -> Column:
+        c, kind = F.col(q(f.name)), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.sum(F.octet_length(c))
+        if isinstance(kind, T.DecimalType):
+            return F.count(c) * (8 if kind.precision <= 18 else 16)
+        if type(kind) in _BYTES:
+            return F.count(c) * _BYTES[type(kind)]
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.sum(F.when(c.isNotNull(), F.octet_length(F.to_json(F.struct(c.alias("v")))) - len('{"v":}')))
+        return F.sum(F.octet_length(c.cast("string")))
+
+    aggs = []
+    for i, f in enumerate(df.schema):
+        known = F.count(F.col(q(f.name)))
+        aggs += [F.lit(f.dataType.simpleString()).alias(f"data_type_{i}"), known.alias(f"non_null_count_{i}"), F.count_if(F.col(q(f.name)).isNull()).alias(f"null_count_{i}"), F.coalesce(size(f), F.lit(0)).cast("bigint").alias(f"memory_bytes_{i}")]
+    return _unpivoted(df.agg(*aggs), df.columns, ["data_type", "non_null_count", "null_count", "memory_bytes"])
+
+
 def samples(df: DataFrame, n: int = SAMPLES) -> dict[str, list]:
     """Some values of each column that aren't null, from the first rows."""
     rows = df.limit(20 * n).collect()

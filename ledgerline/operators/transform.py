@@ -15,10 +15,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canon import date_of, text_of
-from ..functions.predicates import value_kind
+from ..functions.canon import date_of, is_number, text_number, text_of, type_of
+from ..functions.predicates import every, value_kind
 from ..functions.expressions import condition, dynamic, formula, template
 from ..session import free_name, q, require
+from .percentiles import percentiles
 
 # ------------------------------------------------------------------ rule engine
 
@@ -179,12 +180,13 @@ class ChosenRule:
     condition: str
     expansion: Expansion
     priority: int = 0
+    enabled: bool = True
 
 
 def expand_by_rule(df: DataFrame, rules: Sequence[ChosenRule]) -> DataFrame:
     """Each row is expanded by the first rule, by priority, whose condition holds; a row that meets none stays as it is."""
     out, chosen = [], F.lit(-1)
-    ordered = sorted(rules, key=lambda r: r.priority)
+    ordered = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
     for i, r in reversed(list(enumerate(ordered))):
         chosen = F.when(condition(df, r.condition), F.lit(i)).otherwise(chosen)
     rule = free_name(df, "rule")
@@ -237,8 +239,11 @@ def sequence(df: DataFrame, order: str, into: str, start: int = 1, increment: in
 
 @dataclass(frozen=True)
 class ColumnMap:
-    """A mapping of the older engine: direct, static, expression, conditional or function. Lookups and sequences add
-    columns before (lookup, sequence)."""
+    """A mapping of the older engine: direct, static, expression, conditional, function or aggregate. Lookups and sequences
+    add columns before (lookup, sequence).
+
+    aggregate: `value` names one of AGGREGATES, `source` the column (of the rows of a group; any for count_rows).
+    """
 
     target: str
     kind: str = "direct"
@@ -259,11 +264,57 @@ def register(name: str, function: Callable[..., Column]) -> None:
     FUNCTIONS[name] = function
 
 
+#: What an `aggregate` mapping may do with the values of a group; nulls don't count. median is added by an own plan.
+AGGREGATES: dict[str, Callable[[Column], Column]] = {
+    "sum": F.sum, "average": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count, "count_distinct": F.count_distinct, "count_rows": lambda c: F.count("*"),
+}
+_OF_NUMBERS = ("sum", "average", "std", "median")
+
+
+def _aggregated(df: DataFrame, mappings: Sequence[ColumnMap]) -> DataFrame:
+    """One row for each combination of the plain columns (one in all without any), with aggregates of its rows."""
+    plain, folded = [m for m in mappings if m.kind != "aggregate"], [m for m in mappings if m.kind == "aggregate"]
+    keys = [m.target for m in plain]
+    taken, values = [*df.columns, *(m.target for m in mappings)], []
+    for m in folded:
+        if m.value not in AGGREGATES and m.value != "median":
+            raise ValueError(f"unknown aggregate {m.value!r}; known: {', '.join(AGGREGATES)}, median")
+        path = _path(df, m.source)
+        if path not in df.columns and m.value != "count_rows":
+            raise ValueError(f"the aggregate {m.target} needs a column of the table, not {m.source!r}")
+        c = F.lit(None) if m.value == "count_rows" else F.col(q(path))
+        if m.value in _OF_NUMBERS and not is_number(type_of(df, path)):
+            c = text_number(text_of(df, path))
+        taken.append(free_name(taken, "value"))
+        values.append(c.alias(taken[-1]))
+    own = taken[len(taken) - len(folded):]
+    rows = df.select(*[c.alias(m.target) for m, c in zip(plain, _mapped(df, plain))], *values)
+    out = rows.groupBy(*[q(k) for k in keys]).agg(F.count("*").alias(n := free_name(taken, "rows")), *[AGGREGATES[m.value](F.col(q(v))).alias(m.target) for m, v in zip(folded, own) if m.value != "median"])
+    for m, v in zip(folded, own):
+        if m.value == "median":
+            middle = percentiles(rows, keys, v, {m.target: 0.5})
+            others = [free_name([*taken, n, *out.columns], f"key{i}") for i in range(len(keys))]
+            middle = middle.select(*[F.col(q(k)).alias(o) for k, o in zip(keys, others)], F.col(q(m.target)))
+            out = out.join(middle, every([F.col(q(k)).eqNullSafe(F.col(o)) for k, o in zip(keys, others)]), "left") if keys else out.crossJoin(middle)  # without keys one row each
+    return out.select(*[q(m.target) for m in mappings])
+
+
+def _path(df: DataFrame, source: str) -> str:
+    return source if source in df.columns else source.rpartition(".")[2]
+
+
 def map_columns(df: DataFrame, mappings: Sequence[ColumnMap]) -> DataFrame:
-    """The mapped columns, in order; a path alias.column means its column."""
+    """The mapped columns, in order; a path alias.column means its column. If there are aggregates, the other columns say
+    which rows belong together."""
+    if any(m.kind == "aggregate" for m in mappings):
+        return _aggregated(df, mappings)
+    return df.select(*[c.alias(m.target) for m, c in zip(mappings, _mapped(df, mappings))])
+
+
+def _mapped(df: DataFrame, mappings: Sequence[ColumnMap]) -> list[Column]:
     out = []
     for m in mappings:
-        path = m.source if m.source in df.columns else m.source.rpartition(".")[2]
+        path = _path(df, m.source)
         if m.kind == "direct":
             c = F.col(q(path)) if path in df.columns else F.lit(None)
         elif m.kind == "static":
@@ -281,8 +332,8 @@ def map_columns(df: DataFrame, mappings: Sequence[ColumnMap]) -> DataFrame:
             c = FUNCTIONS[m.value](*[F.col(q(s.strip())) for s in m.source.split(",")])
         else:
             raise ValueError(f"unknown mapping {m.kind!r}")
-        out.append(c.alias(m.target))
-    return df.select(*out)
+        out.append(c)
+    return out
 
 
 # --------------------------------------------------------- validation and output
