@@ -18,6 +18,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import free_name
+
 SCHEMA = (
     "id string, version bigint, deleted boolean, type string, category string, name string, description string, tags array<string>, columns array<string>, "
     "body string, template_id string, usage bigint, rating double, rating_count bigint, quality double, created double, updated double, event string"
@@ -280,4 +282,5 @@ def newest_per_type(runs: DataFrame, keep: int, time_col: str = "started", id_co
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("type").orderBy(F.desc(time_col), id_col))
-    return runs.withColumn("_nth", nth).filter(F.col("_nth") <= keep).drop("_nth")
+    place = free_name(runs, "nth")
+    return runs.withColumn(place, nth).filter(F.col(place) <= keep).drop(place)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, deltas, exact, reconciliation, sql, tables, transforms  # noqa: F401  they register their queries
+from . import chains, deltas, exact, reconciliation, records, sql, tables, transforms  # noqa: F401  they register their queries
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
