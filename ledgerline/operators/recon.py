@@ -95,17 +95,20 @@ def _holds(i: int, r: Rule) -> Column:
     return within_percent(a, b, F.col(f"a{i}_null"), F.col(f"b{i}_null"), r.tolerance)
 
 
+#: Zero, null and text that is no number have single buckets far away from the others.
+NULL_BUCKET, NO_NUMBER_BUCKET, ZERO_BUCKET = 1 << 60, (1 << 60) + 4, (1 << 60) + 8
+
+
 def log_bucket(x: Column, is_null: Column, percent: float) -> Column:
     """A bucket number: values within `percent` of each other differ by one at most. Odd values have buckets of their own."""
     width = -math.log1p(-percent / 100) * (1 + 1e-9) + 1e-12
     size = F.floor(F.log(F.when(x != 0, F.abs(x))) / width).cast("bigint")
-    # signs apart by one bit; zero, null and text that is no number have single buckets far away from the others
-    far = 1 << 60
-    return F.when(is_null, F.lit(far)).when(x.isNull() | F.isnan(x), F.lit(far + 4)).when(x == 0, F.lit(far + 8)).otherwise(size * 2 + (x < 0).cast("bigint"))
+    # signs are one bit apart
+    return F.when(is_null, F.lit(NULL_BUCKET)).when(x.isNull() | F.isnan(x), F.lit(NO_NUMBER_BUCKET)).when(x == 0, F.lit(ZERO_BUCKET)).otherwise(size * 2 + (x < 0).cast("bigint"))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_loop: bool = False, hot_keys: bool = False) -> DataFrame:
-    """All pairs (a_pos, b_pos and the values compared) for which every rule holds. a, b: from _prepared.
+def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_loop: bool = False, hot_keys: bool = False, also: Sequence[Column] = ()) -> DataFrame:
+    """All pairs (a_pos, b_pos and the values compared) for which every rule holds. a, b: from _prepared. also: further conditions.
 
     hot_keys: join on a tolerance rule's buckets besides the keys, so that the rows of a frequent key only meet rows of
     about the same amount; each row of B then moves three times.
@@ -127,10 +130,43 @@ def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_lo
         b = b.withColumn("bucket_b", F.explode(F.transform(F.array(F.lit(-2), F.lit(0), F.lit(2)), lambda d: own + d)))
         on = [*on, F.col("bucket") == F.col("bucket_b")]
     held = [_holds(i, rules[i]) for i in rest]
+    on += also
     joined = a.join(b, every(on + held), "inner") if on else a.crossJoin(b).filter(every(held))
     return joined.drop("bucket", "bucket_b")
 
 
+def in_pieces(a: DataFrame, b: DataFrame, rules: Sequence[Rule], i: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a_piece or b_piece and a_whole or b_whole; rows that can have no partner go. a, b: from _prepared.
+
+    Rows of a key fall into pieces where no amount of tolerance rule i has one near it: an empty bucket lies between, so no
+    pair joins two pieces. A piece is whole if each of its amounts of A is near each of B; nulls and zeros are such. The
+    pieces come from one row for each key and bucket that occurs, which pass in order, not from the rows.
+    """
+    keys, percent = [k for k, r in enumerate(rules) if r.kind in ("equals", "date_equals")], rules[i].tolerance
+    ks = [f"k{k}" for k in keys]
+    bucket = lambda side: log_bucket(F.col(f"{side}{i}"), F.col(f"{side}{i}_null"), percent)
+    sides, ends = {"a": a.withColumn("bucket", bucket("a")), "b": b.withColumn("bucket", bucket("b"))}, []
+    for side, df in sides.items():
+        ends.append(df.groupBy(*[F.col(f"{side}{k}").alias(f"k{k}") for k in keys], "bucket").agg(F.min(f"{side}{i}").alias(f"{side}_low"), F.max(f"{side}{i}").alias(f"{side}_high"), F.lit(True).alias(side)))
+    buckets = ends[0].unionByName(ends[1], allowMissingColumns=True).groupBy(*ks, "bucket").agg(*[F.max(c).alias(c) for c in ("a", "b", "a_high", "b_high")], *[F.min(c).alias(c) for c in ("a_low", "b_low")])
+    line = Window.partitionBy(*ks, F.pmod("bucket", F.lit(2))).orderBy("bucket")  # amounts above zero, and those below
+    begins = F.when(F.coalesce(F.col("bucket") - F.lag("bucket").over(line) > 2, F.lit(True)), F.col("bucket"))
+    named = buckets.withColumn("begins", begins).withColumn("piece", F.last("begins", ignorenulls=True).over(line))
+    piece = Window.partitionBy(*ks, "piece")
+    low, high = {s: F.min(f"{s}_low").over(piece) for s in "ab"}, {s: F.max(f"{s}_high").over(piece) for s in "ab"}
+    least = percent * (1 - 1e-9)  # rounding leaves pieces at the very edge to the pairs
+    near = [F.abs(x - y) / F.when(y != 0, F.abs(y)) * 100 <= least for x in (low["a"], high["a"]) for y in (low["b"], high["b"])]
+    whole = F.when(F.col("piece").isin(NULL_BUCKET, ZERO_BUCKET), True).otherwise(F.coalesce(every(near), F.lit(False)))
+    both = F.coalesce(F.max("a").over(piece) & F.max("b").over(piece), F.lit(False)) & (F.col("piece") != NO_NUMBER_BUCKET)
+    told = named.select(*ks, F.col("bucket").alias("of"), "piece", whole.alias("whole"), both.alias("both")).filter("both")
+
+    def tagged(side: str) -> DataFrame:
+        same = every([F.col(f"{side}{k}").eqNullSafe(F.col(f"k{k}")) for k in keys] + [F.col("bucket") == F.col("of")])
+        return sides[side].join(told, same).drop(*ks, "of", "both", "bucket").withColumnsRenamed({"piece": f"{side}_piece", "whole": f"{side}_whole"})
+
+    return tagged("a"), tagged("b")
+
+
 def first_pairs(pairs: DataFrame, of: str, first: str) -> DataFrame:
     """For each `of`, its pair with the least `first`; partial minima are taken before the shuffle."""
     return pairs.groupBy(of).agg(F.min(first).alias(first)).select("a_pos", "b_pos")
@@ -206,6 +242,14 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(take, f"a_pos {kind('a_pos')}, b_pos {kind('b_pos')}")
 
 
+def _by_rank(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The nth row of A with the nth of B, by position, among those with equal keys (names without their a or b)."""
+    left = ranked(left, [f"a{k}" for k in keys], "a_pos").withColumnRenamed("rank", "a_rank")
+    right = ranked(right, [f"b{k}" for k in keys], "b_pos").withColumnRenamed("rank", "b_rank")
+    on = every([F.col(f"a{k}").eqNullSafe(F.col(f"b{k}")) for k in keys] + [F.col("a_rank") == F.col("b_rank")])
+    return left.join(right, on).select("a_pos", "b_pos")
+
+
 def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b_pos: str, mode: str = "one_to_many", positional: bool = False, nested_loop: bool = False, hot_keys: bool = False) -> DataFrame:
     """The chosen pairs as a_pos, b_pos. Positions have to be unique.
 
@@ -230,10 +274,16 @@ def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b
         left = left.groupBy(*[f"a{i}" for i in n]).agg(F.min("a_pos").alias("a_pos"))
         return candidate_pairs(left, right, rules).select("a_pos", "b_pos")
     if keyed and mode == "one_to_one":
-        left = ranked(left, [f"a{i}" for i in n], "a_pos").withColumnRenamed("rank", "a_rank")
-        right = ranked(right, [f"b{i}" for i in n], "b_pos").withColumnRenamed("rank", "b_rank")
-        on = every([F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in n] + [F.col("a_rank") == F.col("b_rank")])
-        return left.join(right, on).select("a_pos", "b_pos")
+        return _by_rank(left, right, [str(i) for i in n])
+    near = next((i for i in n if rules[i].kind == "tolerance" and 0 < rules[i].tolerance < 50), None)
+    if mode == "one_to_one" and near is not None:
+        keys = [i for i in n if rules[i].kind in ("equals", "date_equals")]
+        left, right = in_pieces(left, right, rules, near)
+        alone = len(keys) == len(rules) - 1  # another rule may part the rows of a whole piece
+        open_ = lambda df, side: df.filter(~F.col(f"{side}_whole")) if alone else df
+        pairs = candidate_pairs(open_(left, "a"), open_(right, "b"), rules, nested_loop, hot_keys, [F.col("a_piece") == F.col("b_piece")])
+        chosen = _one_to_one(pairs, [*[f"a{i}" for i in keys], "a_piece"])
+        return chosen.union(_by_rank(left.filter("a_whole"), right.filter("b_whole"), [*map(str, keys), "_piece"])) if alone else chosen
     pairs = candidate_pairs(left, right, rules, nested_loop, hot_keys)
     if mode == "many_to_many":
         return pairs.select("a_pos", "b_pos")

@@ -104,6 +104,17 @@ def recon_one_to_one_tolerance(spark, d):
     return _line_pairs(spark, d, "one_to_one", [Rule("l_partkey", "l_partkey"), Rule("l_extendedprice", "l_extendedprice", "tolerance", 20.0)])
 
 
+_STEPS = "(SELECT o_orderkey, o_orderstatus, step, row_number() OVER (PARTITION BY o_orderstatus, step ORDER BY o_orderkey) AS n FROM (SELECT *, floor(o_totalprice / 10000) AS step FROM orders) WHERE o_orderkey % 2 = {side})"
+
+
+@query(f"SELECT a.o_orderkey AS a_pos, b.o_orderkey AS b_pos FROM {_STEPS.format(side=0)} a JOIN {_STEPS.format(side=1)} b ON a.o_orderstatus = b.o_orderstatus AND a.step = b.step AND a.n = b.n")
+def recon_one_to_one_hot_key(spark, d):
+    """Three keys of very many rows each, which amounts part into pieces."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.floor(F.col("o_totalprice") / 10000) * 10000 + 5000 + k % 3).alias("amount"))
+    return recon.match_pairs(o.filter(k % 2 == 0), o.filter(k % 2 == 1), [Rule("o_orderstatus", "o_orderstatus"), Rule("amount", "amount", "tolerance", 0.5)], "o_orderkey", "o_orderkey", "one_to_one")
+
+
 @query(f"""SELECT a.c_custkey AS a_pos, b.s_suppkey AS b_pos FROM customer a JOIN supplier b ON {within("a.c_acctbal", "b.s_acctbal", 0.5)}""")
 def recon_tolerance_only(spark, d):
     """No key at all: a join on logarithmic buckets instead of all pairs."""

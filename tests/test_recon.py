@@ -76,6 +76,40 @@ def test_hot_keys_meet_by_amount(spark, mode):
     assert sorted(map(tuple, got.collect())) == by_hand(a, b, RULES["key and amount"], mode)
 
 
+def spread(seed, n, amounts):
+    """Rows of which most have one key."""
+    rng = random.Random(seed)
+    return [(i, "hot" if rng.random() < 0.8 else rng.choice(["x", None]), rng.choice(amounts), None, rng.choice(NAMES)) for i in range(n)]
+
+
+AMOUNTS = {
+    "equal": [9.99, 9.99, 120.0, -4.0, 0.0, None],
+    "steps": [10.0 * 1.004**i for i in range(12)] + [500.0, 501.0, 503.0, 505.0, -500.0, -503.0, 1e9],
+    "edges": [100.0, 101.0, 102.01, 99.0, 98.01, 0.001, 0.00101],
+}
+
+
+@pytest.mark.parametrize("amounts", AMOUNTS.values(), ids=AMOUNTS)
+@pytest.mark.parametrize("rules", [RULES["key and amount"], RULES["amount alone"], [*RULES["key and amount"], Rule("name", "name", "fuzzy", 0.7)], [Rule("ref", "ref"), Rule("amount", "amount", "tolerance", 1.0), Rule("amount", "amount", "tolerance", 0.3)]], ids=["key", "alone", "fuzzy too", "twice"])
+def test_one_to_one_in_pieces(spark, rules, amounts):
+    a, b = spread(5, 90, amounts), spread(6, 80, amounts)
+    got = recon.match_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), rules, "pos", "pos", "one_to_one")
+    assert sorted(map(tuple, got.collect())) == by_hand(a, b, rules, "one_to_one")
+
+
+def test_pieces_part_a_hot_key(spark):
+    """Rows of one key fall into pieces by gaps between amounts; pieces of near amounts make no pairs."""
+    a, b = (spark.range(400).selectExpr("id AS pos", "'k' AS ref", f"IF(id % 2 = 0, 100.0, pow(1.1, id % 40 + 2) * {f}) AS amount") for f in (1.0, 1.004))
+    rules = RULES["key and amount"]
+    left, right = recon.in_pieces(recon._prepared(a, rules, True, "pos", b), recon._prepared(b, rules, False, "pos", a), rules, 1)
+    pieces = left.groupBy("a_piece").agg(F.first("a_whole").alias("whole"), F.count("*").alias("n")).collect()
+    assert len(pieces) == 21 and all(p["whole"] for p in pieces) and left.count() == right.count() == 400
+    assert recon.match_pairs(a, b, rules, "pos", "pos", "one_to_one").filter("a_pos = b_pos").count() == 400
+    alone = recon.in_pieces(recon._prepared(a, rules, True, "pos", b), recon._prepared(b.filter("amount <> 100"), rules, False, "pos", a), rules, 1)[0]
+    assert alone.count() == 200  # a piece of one side only goes
+    assert recon.match_pairs(a.limit(0), b, rules, "pos", "pos", "one_to_one").collect() == []
+
+
 def test_reconciled_sides_add_up(spark):
     a, b = rows(3, 80), rows(4, 70)
     left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
