@@ -27,6 +27,8 @@ from .recon import Rule
 
 LEAST, PERFECT = 30.0, 99.5
 MAX_COMPARISONS = 10_000_000_000
+# Fixed value: what is said of a closest row without differences.
+ALL_SAME = "All columns match exactly"
 #: Above so many targets, sampling (if asked for by `sample=None`) takes the lesser of SAMPLE_ROWS and half of them.
 SAMPLE_ABOVE, SAMPLE_ROWS = 50_000, 10_000
 #: Rows of a slice of sources, and of a block of targets; so many sources of a slice are looked at together.
@@ -261,7 +263,7 @@ def closest(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str,
     out = rows.join(found, F.col("own_pos") == F.col("s_pos"), "left")
     return out.select(
         *[F.col("source")[c].alias(c) for c in source.columns], F.col("best.record").alias("closest_match_record"), F.round(F.coalesce("best.score", F.lit(0.0)), 2).alias("closest_match_score"),
-        F.when(F.col("best").isNotNull(), F.when(details == "", "All columns match exactly").otherwise(details)).alias("closest_match_details"))
+        F.when(F.col("best").isNotNull(), F.when(details == "", ALL_SAME).otherwise(details)).alias("closest_match_details"))
 
 
 def closest_with_fallback(source: DataFrame, targets: DataFrame, columns: Sequence[tuple[str, str]], source_pos: str, target_pos: str, exact: Sequence[tuple[str, str]], **how) -> DataFrame:

@@ -21,6 +21,7 @@ from ..session import q, require
 
 KINDS = ("equals", "case_insensitive", "numeric_tolerance", "date_equals")
 CATEGORIES = ("UNCHANGED", "AMENDED", "DELETED", "NEWLY_ADDED")
+# What is said of rows that only one table has.
 DELETED_TEXT, ADDED_TEXT = "Record deleted from newer file", "New record added in newer file"
 #: So many changes are spelled out; Total_Changes counts all.
 CHANGES_SHOWN = 5

@@ -17,17 +17,18 @@ and to null. Tolerances are per cent of B's value.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import every, fuzzy, same_text, within_percent
 from ..functions.canon import date_of, number_of, text_of, type_of
-from ..session import free_name, q, require
+from ..session import free_name, q, require, shared_folder
 
 MODES = ("one_to_many", "many_to_many", "many_to_one", "one_to_one")
 KINDS = ("equals", "tolerance", "fuzzy", "date_equals")
@@ -195,9 +196,19 @@ def ranked(df: DataFrame, keys: Sequence[str], pos: str, slice_rows: int = SLICE
     return out.drop(part, within, before, part_of, *others)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: a checkpoint if the session names a folder for them, else persisted."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+class _Written:
+    """Tables written below one folder of the shared ones, so that a lost executor costs a read and lineage stays short."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/ledgerline-pairs-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
@@ -206,18 +217,23 @@ def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) ->
     In rounds: a pair that is the first of its A row and whose A row is the first of its B row comes before all pairs that
     could bar it, so it is taken, and the pairs of the rows used go. Each round is aggregations and joins, however many rows
     a key has. Where many rows may all have each other a round takes only one of them; what `rounds` leave is taken in order,
-    key by key, remembering the rows already used of the key at hand.
+    key by key, remembering the rows already used of the key at hand. Of the tables written on the way only the result stays.
     """
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    left, taken = _kept(pairs.select(key.alias("key"), "a_pos", "b_pos")), []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        first_b, first_a = left.groupBy("a_pos").agg(F.min("b_pos").alias("b_pos")), left.groupBy("b_pos").agg(F.min("a_pos").alias("a_pos"))
-        now = _kept(first_b.join(first_a, ["a_pos", "b_pos"]).select("a_pos", "b_pos"))
-        taken.append(now)
-        left = _kept(left.join(now.select("a_pos"), "a_pos", "left_anti").join(now.select("b_pos"), "b_pos", "left_anti").select("key", "a_pos", "b_pos"))
-    return reduce(DataFrame.union, [*taken, _in_order(left)])
+    tables, made = _Written(pairs.sparkSession), 0
+    try:
+        left, taken = tables.keep(pairs.select(key.alias("key"), "a_pos", "b_pos"), "left0"), []
+        while made < rounds and not left.isEmpty():
+            first_b, first_a = left.groupBy("a_pos").agg(F.min("b_pos").alias("b_pos")), left.groupBy("b_pos").agg(F.min("a_pos").alias("a_pos"))
+            now = tables.keep(first_b.join(first_a, ["a_pos", "b_pos"]).select("a_pos", "b_pos"), f"taken{made}")
+            taken.append(now)
+            left = tables.keep(left.join(now.select("a_pos"), "a_pos", "left_anti").join(now.select("b_pos"), "b_pos", "left_anti").select("key", "a_pos", "b_pos"), f"left{made + 1}")
+            tables.drop(f"left{made}")
+            made += 1
+        return tables.keep(reduce(DataFrame.union, [*taken, _in_order(left)]), "chosen")
+    finally:
+        for name in [f"left{made}", *[f"taken{n}" for n in range(made + 1)]]:
+            tables.drop(name)
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
