@@ -196,7 +196,7 @@ def ranked(df: DataFrame, keys: Sequence[str], pos: str, slice_rows: int = SLICE
     return out.drop(part, within, before, part_of, *others)
 
 
-class _Written:
+class Written:
     """Tables written below one folder of the shared ones, so that a lost executor costs a read and lineage stays short."""
 
     def __init__(self, spark: SparkSession) -> None:
@@ -220,7 +220,7 @@ def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) ->
     key by key, remembering the rows already used of the key at hand. Of the tables written on the way only the result stays.
     """
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    tables, made = _Written(pairs.sparkSession), 0
+    tables, made = Written(pairs.sparkSession), 0
     try:
         left, taken = tables.keep(pairs.select(key.alias("key"), "a_pos", "b_pos"), "left0"), []
         while made < rounds and not left.isEmpty():
