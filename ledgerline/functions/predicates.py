@@ -292,6 +292,17 @@ def shared_characters(a: Column, b: Column) -> Column:
     return hits / F.greatest(F.length(a), F.length(b))
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def fuzzy_of(a: Column, a_characters: Column, b: Column, least: float) -> Column:
+    """fuzzy of texts that are trimmed and in lower case already; texts too short for `least` are told by their lengths."""
+    longer, least_ = F.greatest(F.length(a), F.length(b)), F.lit(float(least))
+    share = F.size(F.filter(a_characters, lambda c: F.contains(b, c))) / longer
+    return F.when((a == "") | (b == ""), (a == "") & (b == "")).when(F.length(a) / longer < least_, False).otherwise(share >= least_)
+
+
 def fuzzy(a: Column, b: Column, least: float) -> Column:
     """shared_characters of the trimmed lower-case texts is at least `least`; empty and null only fit each other."""
     x, y = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import every, fuzzy, same_text, within_percent
+from ..functions.predicates import characters, every, fuzzy_of, same_text, within_percent
 from ..functions.canon import date_of, number_of, text_of, type_of
 from ..session import free_name, q, require, shared_folder
 
@@ -34,8 +34,14 @@ MODES = ("one_to_many", "many_to_many", "many_to_one", "one_to_one")
 KINDS = ("equals", "tolerance", "fuzzy", "date_equals")
 #: Ranks within a key are numbered in slices of so many positions, so no task orders a whole hot key.
 SLICE_ROWS = 1_000_000
-#: Rounds in which one_to_one with further rules takes mutual first choices.
-ROUNDS = 12
+#: Rounds in which one_to_one with further rules takes mutual first choices, and how many pairs a key has at most without them.
+ROUNDS, FEW_PAIRS = 12, 1 << 18
+#: Above so many pairs with equal keys, rows of equal values meet together and the pairs of a key are dealt to several tasks:
+#: CELL of them to one at most, CELL_ROWS rows of a side, LIST positions of a row; of positions so far apart (SPAN) lists differ.
+#: A pair of texts weighs as much as TEXT_WEIGHT others.
+DENSE, TEXT_WEIGHT, CELL, CELL_ROWS, LIST, SPAN = 20_000_000, 50, 1 << 24, 4096, 4096, 1 << 20
+#: Pairs for each task, about, and the most tasks.
+TASK_PAIRS, MOST_TASKS = 4_000_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -79,7 +85,8 @@ def _prepared(df: DataFrame, rules: Sequence[Rule], left: bool, pos: str, other:
         elif r.kind == "date_equals":
             out.append(date_of(df, name).alias(f"{tag}{i}"))
         elif r.kind == "fuzzy":
-            out.append(text_of(df, name).alias(f"{tag}{i}"))
+            text = F.lower(F.trim(F.coalesce(text_of(df, name), F.lit(""))))
+            out += [text.alias(f"{tag}{i}"), *([characters(text).alias(f"a{i}_chars")] if left else [])]
         else:
             out += [number_of(df, name).alias(f"{tag}{i}"), F.col(q(name)).isNull().alias(f"{tag}{i}_null")]
     return df.select(*out)
@@ -92,7 +99,7 @@ def _holds(i: int, r: Rule) -> Column:
     if r.kind == "date_equals":
         return a.eqNullSafe(b)
     if r.kind == "fuzzy":
-        return fuzzy(a, b, r.tolerance)
+        return fuzzy_of(a, F.col(f"a{i}_chars"), b, r.tolerance)
     return within_percent(a, b, F.col(f"a{i}_null"), F.col(f"b{i}_null"), r.tolerance)
 
 
@@ -130,12 +137,58 @@ def candidate_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], nested_lo
         own = log_bucket(F.col(f"b{i}"), F.col(f"b{i}_null"), rules[i].tolerance)
         b = b.withColumn("bucket_b", F.explode(F.transform(F.array(F.lit(-2), F.lit(0), F.lit(2)), lambda d: own + d)))
         on = [*on, F.col("bucket") == F.col("bucket_b")]
-    held = [_holds(i, rules[i]) for i in rest]
-    on += also
+    held = [_holds(i, rules[i]) for i in rest] + list(also)
+    if on and held:
+        alike = keys or [i for i in rest if "bucket" not in a.columns]
+        met_a = [F.col(f"a{i}").alias(f"k{i}") for i in alike] + [F.col(c) for c in a.columns if c == "bucket"]
+        met_b = [F.col(f"b{i}").alias(f"k{i}") for i in alike] + [F.col(c).alias("bucket") for c in b.columns if c == "bucket_b"]
+        kept_a, kept_b = a.withColumn("cell", F.struct(*met_a)), b.withColumn("cell", F.struct(*met_b))
+        sizes = kept_a.groupBy("cell").agg(F.count("*").alias("na")).join(kept_b.groupBy("cell").agg(F.count("*").alias("nb")), "cell")
+        pairs = sizes.agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0))).first()[0]
+        if pairs * (TEXT_WEIGHT if any(rules[i].kind == "fuzzy" for i in rest) else 1) > DENSE:
+            return dense_pairs(kept_a, kept_b, pairs, held).drop("bucket", "bucket_b")
     joined = a.join(b, every(on + held), "inner") if on else a.crossJoin(b).filter(every(held))
     return joined.drop("bucket", "bucket_b")
 
 
+def _lists(df: DataFrame, side: str) -> DataFrame:
+    """Rows of equal values as one, with their positions in lists of LIST at most."""
+    pos = f"{side}_pos"
+    whole = df.schema[pos].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    span = F.floor(F.col(pos) / SPAN) if whole else F.pmod(F.xxhash64(pos), F.lit(1024))
+    values = [c for c in df.columns if c != pos]
+    listed = df.groupBy(*values, span.alias("span")).agg(F.collect_list(pos).alias("all"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / LIST).cast("int")), lambda i: F.slice("all", i * LIST + 1, LIST))
+    return listed.withColumn(f"{side}_list", F.explode(parts)).drop("all", "span")
+
+
+def dense_pairs(a: DataFrame, b: DataFrame, pairs: float, held: Sequence[Column]) -> DataFrame:
+    """The pairs of equal `cell` for which all of `held` hold; pairs: about how many are to be judged.
+
+    Rows of equal values are judged once, and their pairs are only written out. The rows of a cell are dealt to a grid of
+    slices, so that no task has much more than CELL pairs to judge however many rows share a key.
+    """
+    a, b = _lists(a, "a"), _lists(b, "b")
+    sizes = a.groupBy("cell").agg(F.count("*").alias("na")).join(b.groupBy("cell").agg(F.count("*").alias("nb")), "cell")
+    fewer = F.least("na", "nb", F.lit(CELL_ROWS))  # rows that a slice has of the smaller side
+    more = F.greatest(F.floor(F.lit(CELL) / fewer), F.lit(1))
+    parts = lambda n, other: F.ceil(F.col(n) / F.when(F.col(n) <= F.col(other), fewer).otherwise(more))
+    grid = sizes.select("cell", parts("na", "nb").cast("int").alias("sa"), parts("nb", "na").cast("int").alias("sb"))
+    tasks = int(min(max(pairs / TASK_PAIRS, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        own, other = ("sa", "sb") if side == "a" else ("sb", "sa")
+        mine = F.pmod(F.xxhash64(*[c for c in df.columns if c != "cell"]), F.col(own)).cast("int")
+        all_ = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        cut = df.join(grid, "cell").withColumn("mine", mine).withColumn("theirs", all_)
+        slices = ("mine", "theirs") if side == "a" else ("theirs", "mine")
+        cut = cut.withColumn(f"{side}_met", F.struct("cell", F.col(slices[0]).alias("of_a"), F.col(slices[1]).alias("of_b")))
+        return cut.drop("cell", "sa", "sb", "mine", "theirs").repartition(tasks, f"{side}_met")
+
+    judged = dealt(a, "a").join(dealt(b, "b"), every([F.col("a_met") == F.col("b_met"), *held])).drop("a_met", "b_met")
+    return judged.withColumn("a_pos", F.explode("a_list")).drop("a_list").withColumn("b_pos", F.explode("b_list")).drop("b_list")
+
+
 def in_pieces(a: DataFrame, b: DataFrame, rules: Sequence[Rule], i: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with a_piece or b_piece and a_whole or b_whole; rows that can have no partner go. a, b: from _prepared.
 
@@ -217,12 +270,17 @@ def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) ->
     In rounds: a pair that is the first of its A row and whose A row is the first of its B row comes before all pairs that
     could bar it, so it is taken, and the pairs of the rows used go. Each round is aggregations and joins, however many rows
     a key has. Where many rows may all have each other a round takes only one of them; what `rounds` leave is taken in order,
-    key by key, remembering the rows already used of the key at hand. Of the tables written on the way only the result stays.
+    key by key, remembering the rows already used of the key at hand. Keys of FEW_PAIRS pairs at most are taken so at once,
+    as all their pairs go to one task anyway. Of the tables written on the way only the result stays.
     """
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
     tables, made = Written(pairs.sparkSession), 0
     try:
-        left, taken = tables.keep(pairs.select(key.alias("key"), "a_pos", "b_pos"), "left0"), []
+        all_ = tables.keep(pairs.select(key.alias("key"), "a_pos", "b_pos"), "pairs")
+        large = tables.keep(all_.groupBy("key").count().filter(F.col("count") > FEW_PAIRS).select("key"), "large")
+        if large.isEmpty():
+            return tables.keep(_in_order(all_), "chosen")
+        few, left, taken = all_.join(large, "key", "left_anti"), tables.keep(all_.join(large, "key", "left_semi"), "left0"), []
         while made < rounds and not left.isEmpty():
             first_b, first_a = left.groupBy("a_pos").agg(F.min("b_pos").alias("b_pos")), left.groupBy("b_pos").agg(F.min("a_pos").alias("a_pos"))
             now = tables.keep(first_b.join(first_a, ["a_pos", "b_pos"]).select("a_pos", "b_pos"), f"taken{made}")
@@ -230,9 +288,9 @@ def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) ->
             left = tables.keep(left.join(now.select("a_pos"), "a_pos", "left_anti").join(now.select("b_pos"), "b_pos", "left_anti").select("key", "a_pos", "b_pos"), f"left{made + 1}")
             tables.drop(f"left{made}")
             made += 1
-        return tables.keep(reduce(DataFrame.union, [*taken, _in_order(left)]), "chosen")
+        return tables.keep(reduce(DataFrame.union, [*taken, _in_order(left), _in_order(few)]), "chosen")
     finally:
-        for name in [f"left{made}", *[f"taken{n}" for n in range(made + 1)]]:
+        for name in ["pairs", "large", f"left{made}", *[f"taken{n}" for n in range(made + 1)]]:
             tables.drop(name)
 
 

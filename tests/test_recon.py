@@ -76,6 +76,33 @@ def test_hot_keys_meet_by_amount(spark, mode):
     assert sorted(map(tuple, got.collect())) == by_hand(a, b, RULES["key and amount"], mode)
 
 
+@pytest.mark.parametrize("mode", ["many_to_many", "one_to_one"])
+@pytest.mark.parametrize("rules", ["key and amount", "amount alone", "fuzzy"])
+def test_dense_keys_are_dealt_out(spark, monkeypatch, mode, rules):
+    """Equal rows in lists, cells cut into slices, keys with few pairs in order and others in rounds."""
+    for name, value in {"DENSE": 0, "CELL": 8, "CELL_ROWS": 2, "LIST": 3, "SPAN": 16, "FEW_PAIRS": 6}.items():
+        monkeypatch.setattr(recon, name, value)
+    a, b = rows_of_few_values(1, 70), rows_of_few_values(2, 60)
+    got = recon.match_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), RULES[rules], "pos", "pos", mode)
+    assert sorted(map(tuple, got.collect())) == by_hand(a, b, RULES[rules], mode)
+
+
+def rows_of_few_values(seed, n):
+    return [(i, r[1], r[2] and float(round(r[2])), r[3], r[4]) for i, r in enumerate(rows(seed, n))]
+
+
+def test_tasks_of_a_hot_key_stay_small(spark, monkeypatch):
+    """No task writes out a large part of a hot key's pairs."""
+    monkeypatch.setattr(recon, "DENSE", 1000)
+    monkeypatch.setattr(recon, "CELL", 1000)
+    monkeypatch.setattr(recon, "CELL_ROWS", 16)
+    monkeypatch.setattr(recon, "TASK_PAIRS", 1000)
+    df = spark.range(400).selectExpr("id AS pos", "'k' AS ref", "100 + id / 1000D AS amount")
+    got = recon.match_pairs(df, df, RULES["key and amount"], "pos", "pos", "many_to_many")
+    each = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 160_000 and max(each) < 16_000
+
+
 def spread(seed, n, amounts):
     """Rows of which most have one key."""
     rng = random.Random(seed)
