@@ -224,9 +224,11 @@ def _likely_links(leaves: DataFrame, percent: int) -> DataFrame:
         for table, ends in whole_groups(batches, "node"):
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
             a, b = _likely(sig, table.column("n").to_numpy(), ends, max(least, 1), percent)
-            yield _star(table.column("id").to_numpy(), a, b)
+            ids = table.column("id").to_numpy()
+            known, at = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
+            yield _star(known, at[: len(a)], at[len(a) :])
 
-    return leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint")
 
 
 def _numbers(raw: bytes) -> np.ndarray:
@@ -316,50 +318,54 @@ def _blocks(stuck: DataFrame) -> DataFrame:
     return asks.union(meets).distinct().select(F.xxhash64("node", "r", "c").alias("node"), "id")
 
 
-def _links_of_large(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) inside clusters that no task can compare whole. members: cluster, id, n, path; sets: id, set."""
-    links = scratch.keep(_linked(_salted(members.select("cluster", "id", "n"), sets), percent))
+def _parts_of_large(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """id and component inside clusters that no task can compare whole, of ids with links. members: cluster, id, n, path; sets: id, set."""
+
+    def linked(blocks: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """The components when the links of further blocks are added."""
+        links = _linked(blocks, percent)
+        return components(links.union(parts.select("id", "component")) if parts is not None else links, scratch)
 
-    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-        return rows.drop("component").join(components(links, scratch), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        return scratch.keep(rows.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
 
-    rows = scratch.keep(placed(members, links))
+    parts = linked(_salted(members.select("cluster", "id", "n"), sets))
+    rows = placed(members, parts)
     leaves, stuck = _grown(_roots(rows, "cluster", "component"), DEEP, scratch, LEAF, of_components=True)
-    links = links.union(scratch.keep(_linked(leaves.select("node", "id").join(sets, "id"), percent)))
+    parts = linked(leaves.select("node", "id").join(sets, "id"), parts)
     if stuck is not None:
-        rows = scratch.keep(placed(stuck.select("node", "id", "n"), links))
-        links = links.union(scratch.keep(_linked(_blocks(rows).join(sets, "id"), percent)))
-    return links
+        parts = linked(_blocks(placed(stuck.select("node", "id", "n"), parts)).join(sets, "id"), parts)
+    return parts
 
 
 # --------------------------------------------------------------------- components
 
 
-def components(links: DataFrame, scratch: Scratch | None = None, most: int = 40) -> DataFrame:
-    """id and component (the least id reachable) of every id in links (a, b): alternating large-star and small-star."""
+def _hooked(around: DataFrame, large: bool) -> DataFrame:
+    """A star step, as links (a, b) with b < a: the neighbours v of u, the larger ones or u and the smaller ones, are linked
+    with the least of u and v. Neighbours pass in order, and what repeats is left out."""
+    along = Window.partitionBy("u").orderBy("v")
+    least, before = F.first("v").over(along), F.lag("v").over(along)
+    met = around.select("u", "v", F.least("u", least).alias("m"), before.alias("before")).filter("before IS NULL OR before < v")
+    moved = met.filter("v > u").select(F.col("v").alias("a"), "m") if large else met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), "m")
+    return moved.withColumnRenamed("m", "b")
 
-    def star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
-        around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if large:
-            around = around.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        else:
-            around = around.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = around.join(least, "u")
-        moved = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return scratch.keep(moved.filter("a <> b").distinct())
 
-    edges, before = links.filter("a <> b").select("a", "b"), None
+def components(links: DataFrame, scratch: Scratch | None = None, most: int = 40) -> DataFrame:
+    """id and component (the least id reachable) of every id in links (a, b): alternating large-star and small-star, each one
+    shuffle, until every id has one least id and that has none itself."""
     with Scratch() as rounds:
+        edges = links.filter("a <> b")
         for _ in range(most):
-            edges = star(star(edges, True, rounds), False, rounds)
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if now == before:
-                break
-            before = now
-        else:
-            raise RuntimeError("components did not settle")
-        return settled(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), scratch)
+            ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+            edges = rounds.keep(_hooked(_hooked(edges.select(ways).select("e.*"), True).toDF("u", "v"), False))
+            none = F.lit(None).cast("bigint")
+            ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("up")), F.struct(F.col("b").alias("id"), none.alias("up")))).alias("e")).select("e.*")
+            is_open = (F.count("up") > 0) & ((F.count("up") < F.count("*")) | (F.min("up") < F.max("up")))
+            told = settled(ends.groupBy("id").agg(F.coalesce(F.min("up"), "id").alias("component"), is_open.alias("open")), scratch)
+            if not told.agg(F.max("open")).first()[0]:
+                return told.select("id", "component")
+        raise RuntimeError("components did not settle")
 
 
 def _grouped(rows: DataFrame, width: int, percent: int, leaf: int) -> DataFrame:
@@ -376,7 +382,7 @@ def _grouped(rows: DataFrame, width: int, percent: int, leaf: int) -> DataFrame:
         likely = _likely_links(leaves.select("node", "id", "n", "sig"), percent)
         if stuck is not None:  # alike documents: one cluster, whatever their signatures say
             likely = likely.union(stuck.join(stuck.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b"))
-        clusters = components(scratch.keep(likely), scratch).withColumnRenamed("component", "cluster")
+        clusters = components(likely, scratch).withColumnRenamed("component", "cluster")
         members = scratch.keep(reps.join(clusters, "id").select("id", "cluster", "n", "least", "k1", "k2", "path"))
         size = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.col("n") * SET_BYTES).alias("bytes"))
         large = scratch.keep(size.filter(f"docs > {leaf} or bytes > {LEAF_BYTES}").select("cluster"))
@@ -386,12 +392,12 @@ def _grouped(rows: DataFrame, width: int, percent: int, leaf: int) -> DataFrame:
         sets = _full_sets(texts, width).join(members.select("id", "least", "k1", "k2", "n"), ["least", "k1", "k2", "n"]).select("id", "least", "set")
         sets = scratch.keep(sets.withColumn("nth", once).filter("nth = 1").select("id", "set"))
         small = members.join(large, "cluster", "left_anti").select(F.col("cluster").alias("node"), "id")
-        links = scratch.keep(_linked(small.join(sets, "id"), percent))
+        parts = _linked(small.join(sets, "id"), percent).select(F.col("a").alias("id"), F.col("b").alias("component"))  # a cluster in one task
         if not large.isEmpty():
             inside = scratch.keep(members.join(large, "cluster", "left_semi").select("cluster", "id", "n", "path"))
-            links = links.union(_links_of_large(inside, sets, percent, scratch))
+            parts = parts.union(_parts_of_large(inside, sets, percent, scratch))
 
-        parts = components(links, scratch)
+        parts = scratch.keep(parts)
         named = reps.select("k1", "k2", "n", "id", "least").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # a component is named by the least id in it, not by a made key
         top = named.groupBy("component").agg(F.min("least").alias("top")).filter("component <> top")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import knn, langid, neardup, packing, pitman_yor, queries, secrets
+from ledgerline.llm import common, knn, langid, neardup, packing, pitman_yor, queries, secrets
 
 from .corpus import DOC_SCHEMA, documents, prose, with_extra
 
@@ -153,6 +153,21 @@ def test_deduplicated_with_null_and_repeated_ids(spark):
     assert [t for d, t in got if d == 7] == ["", ""]
 
 
+def test_stars_settle_at_once(spark, monkeypatch):
+    """Round 3: a forest of stars with repeated links took two rounds, four tables and a copy; its ids are told by one round."""
+    tables, write = [], neardup.settled
+    for module in (neardup, common):
+        monkeypatch.setattr(module, "settled", lambda df, scratch=None: tables.append(df.columns) or write(df, scratch))
+    links = spark.range(3000).selectExpr("id % 1000 + 1000 AS a", "id % 10 AS b")
+    got = {r.id: r.component for r in neardup.components(links).collect()}
+    assert got == {**{i: i for i in range(10)}, **{i: i % 10 for i in range(1000, 2000)}}
+    assert len(tables) == 2
+    rows = [(i, " ".join(f"w{i % 5}x{k}" for k in range(40)) + f" end{i}") for i in range(60)]
+    tables.clear()
+    assert found(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == duplicates_by_hand(rows, 2)
+    assert sum(t == ["a", "b"] for t in tables) == 1
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 11), (7, 7), *[(20 + i, 21 + i) for i in range(50)]]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
