@@ -166,10 +166,11 @@ def dense_pairs(a: DataFrame, b: DataFrame, pairs: float, held: Sequence[Column]
     """The pairs of equal `cell` for which all of `held` hold; pairs: about how many are to be judged.
 
     Rows of equal values are judged once, and their pairs are only written out. The rows of a cell are dealt to a grid of
-    slices, so that no task has much more than CELL pairs to judge however many rows share a key.
+    slices, so that no slice has much more than CELL pairs to judge and write, however many rows share a key or a value.
     """
     a, b = _lists(a, "a"), _lists(b, "b")
-    sizes = a.groupBy("cell").agg(F.count("*").alias("na")).join(b.groupBy("cell").agg(F.count("*").alias("nb")), "cell")
+    rows = lambda df, side: df.groupBy("cell").agg(F.sum(F.size(f"{side}_list")).alias(f"n{side}"))
+    sizes = rows(a, "a").join(rows(b, "b"), "cell")
     fewer = F.least("na", "nb", F.lit(CELL_ROWS))  # rows that a slice has of the smaller side
     more = F.greatest(F.floor(F.lit(CELL) / fewer), F.lit(1))
     parts = lambda n, other: F.ceil(F.col(n) / F.when(F.col(n) <= F.col(other), fewer).otherwise(more))

@@ -194,6 +194,17 @@ def test_equals_only_joins_are_equi_joins(spark):
 # ------------------------------------------------------ filters and extraction
 
 
+def test_copies_of_few_values_are_dealt_out(spark, monkeypatch):
+    """Round 3: slices were sized by distinct values, so all pairs of a value that many rows share were written by one task."""
+    for name, value in {"DENSE": 0, "CELL": 10_000, "CELL_ROWS": 100, "LIST": 50}.items():
+        monkeypatch.setattr(recon, name, value)
+    a = spark.range(1000).selectExpr("id", "'k' AS k", "100.0D AS x")
+    out = recon.match_pairs(a, a, [Rule("k", "k"), Rule("x", "x", "tolerance", 1.0)], "id", "id", "many_to_many")
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1_000_000 and len(tasks) > 1 and max(tasks) < 500_000
+    assert out.distinct().count() == 1_000_000
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "Ab", 5.0), (2, None, None), (3, "ab", 7.0), (4, "x.y", 5.0)], "id int, t string, n double")
     ids = lambda *f: [r.id for r in filtered(df, [Filter(*x) for x in f]).orderBy("id").collect()]
