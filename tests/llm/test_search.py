@@ -335,6 +335,38 @@ def test_scores_tell_what_occurs_twice(spark):
     assert mean(lambda r: r.times == 2) > mean(lambda r: r.times == 1) + 0.2
 
 
+def test_scores_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    """However many parts there are, and however many share a frequent token, a corpus gives the same scores."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join("the" if rng.random() < 0.3 else vocabulary[int(300 * rng.random() ** 3)] for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, shared = [], []
+    asks = pitman_yor._asks
+    monkeypatch.setattr(pitman_yor, "_asks", lambda merged, parts, hot: shared.append(len(hot)) or asks(merged, parts, hot))
+    for parts in (1, 5, 40):
+        monkeypatch.setattr(pitman_yor, "LEAST_PARTS", parts)
+        seen.append({r.doc_id: r.score for r in pitman_yor.score_texts(df, F.col("doc_id") % 5 > 0).collect()})
+        assert seen[-1] == pytest.approx(seen[0], rel=1e-9)
+    assert shared[0] == 0 < shared[-1]
+
+
+def test_scores_are_near_those_of_one_plain_sampler(spark):
+    """Parents seated in every sweep together with what stands below, in one part that holds the corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    train = langid.remainder("doc_id", 7) != 2
+    got = pitman_yor.score_texts(docs, train).filter("held_out").agg(F.sum("score")).first()[0]
+    rows = docs.select(F.col("doc_id").alias("id"), "text", train.alias("train")).coalesce(1)
+    part = pitman_yor.Part([r.asDict() for r in pitman_yor._packed(rows, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64)).filter("part >= 0").collect()])
+    known = part.count_of_word > 0
+    once = np.bincount(part.word[np.bincount(part.pair, weights=part.count) > 0], minlength=len(part.words))  # contexts of each word
+    root = (np.maximum(once - 0.5, 0) + 0.5 * known.sum() / (known.sum() + 1)) / once.sum()
+    states = list(part.states(root, 6, 5))[2:]
+    p = sum(part.probability(*s, root) for s in states) / len(states)
+    want = np.log10(p[part.type])[(part.doc & 1) == 0].sum()
+    assert got == pytest.approx(want, rel=0.03)
+
+
 def test_scores_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, None), (None, "")], "doc_id bigint, text string")
     got = pitman_yor.score_texts(df, F.lit(False)).collect()
