@@ -47,7 +47,7 @@ def counts(results: Mapping[str, DataFrame]) -> DataFrame:
 def export_excel(sheets: Mapping[str, DataFrame], path: str, summary: bool = True, metadata: Mapping[str, Any] | None = None) -> None:
     """A workbook: a Summary of the tables if there are several, a sheet for each, and a Metadata sheet of given facts.
 
-    Sheets follow the order of their tables' partitions. Tables that no sheet holds are refused.
+    Sheets follow the order of their tables' partitions. A table that one sheet doesn't hold goes on in further ones.
     """
     tables = dict(sheets)
     if summary and len(tables) > 1:

@@ -1,6 +1,7 @@
 """Workbooks: hand-made ones are read, written ones are read again."""
 
 import datetime as dt
+import io
 import zipfile
 from decimal import Decimal
 
@@ -67,3 +68,34 @@ def test_many_rows_keep_their_order(spark, tmp_path):
     sinks.export(spark.range(0, 9000, 1, 5).selectExpr("id", "concat('row ', id) AS t"), path, "excel")
     back = files.read_excel(spark, path)
     assert back.count() == 9000 and back.filter("_row_pos <> id OR t <> concat('row ', id)").count() == 0
+
+
+def test_more_rows_than_a_sheet_holds_go_on_in_the_next(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "MOST_ROWS", 1001)
+    path = f"file://{tmp_path}/long.xlsx"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        long = spark.range(0, 2500, 1, 3).selectExpr("id", "concat('row ', id) AS t")
+        sinks.export_excel({"It's <long>": long, "It's <long>_2": spark.range(3)}, path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    info = [(s["sheet"], s["rows"]) for s in files.excel_info(spark, path)]
+    assert info[0] == ("Summary", 2) and info[-1] == ("It's <long>_2", 3) and sum(n for _, n in info[1:-1]) == 2500 and len(info) >= 5 and all(n <= 1000 for _, n in info)
+    back = files.read_excel(spark, path, "It's <long>")
+    assert back.count() == 2500 and back.filter("_row_pos <> id OR t <> concat('row ', id)").count() == 0
+    assert files.read_excel(spark, path, "It's <long>_2").count() == 3
+    with zipfile.ZipFile(tmp_path / "long.xlsx") as book:
+        assert book.testzip() is None  # sizes and check sums
+
+
+def test_a_sheet_is_cut_between_rows_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "PIECE", 64)
+    cell = lambda i: f"<c><v>{i}</v></c>" if i % 3 else f"<c t='inlineStr'><is><t><![CDATA[</row><row> {i}]]></t></is></c>"
+    rows = "".join(f"<row{f' r=' + chr(34) + str(2 * i) + chr(34) if i in (5, 9) else ''}>{cell(i)}</row>{'<row/>' if i % 4 == 0 else ''}" for i in range(40))
+    path = handmade(tmp_path / "cut.xlsx", "<row><c t='inlineStr'><is><t>n</t></is></c></row>" + rows)
+    content = (tmp_path / "cut.xlsx").read_bytes()
+    book = workbook.Book(content)
+    whole = list(book.rows("Main & more"))
+    pieces = list(book.cut("Main & more"))
+    assert len(pieces) > 10 and [r for at, _, xml in pieces for r in book.cells.rows(io.BytesIO(xml), at)] == whole
+    assert [r.n for r in files.read_excel(spark, path).orderBy("_row_pos").collect()] == [v[0] for _, v in whole[1:]]
