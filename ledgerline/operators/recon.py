@@ -22,12 +22,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import characters, every, fuzzy_of, same_text, within_percent
 from ..functions.canon import date_of, number_of, text_of, type_of
+from ..functions.nearfree import Free
 from ..session import free_name, q, require, shared_folder
 
 MODES = ("one_to_many", "many_to_many", "many_to_one", "one_to_one")
@@ -36,6 +39,9 @@ KINDS = ("equals", "tolerance", "fuzzy", "date_equals")
 SLICE_ROWS = 1_000_000
 #: Rounds in which one_to_one with further rules takes mutual first choices, and how many pairs a key has at most without them.
 ROUNDS, FEW_PAIRS = 12, 1 << 18
+#: One-to-one by keys and one tolerance: a key of more rows than HOT_ROWS is dealt out by pieces and blocks of BLOCK_ROWS of a side;
+#: keys are first counted in so many counters. A task has about SWEPT_ROWS rows.
+HOT_ROWS, BLOCK_ROWS, COUNTERS, SWEPT_ROWS = 1 << 19, 1 << 19, 1 << 16, 1 << 18
 #: Above so many pairs with equal keys, rows of equal values meet together and the pairs of a key are dealt to several tasks:
 #: CELL of them to one at most, CELL_ROWS rows of a side, LIST positions of a row; of positions so far apart (SPAN) lists differ.
 #: A pair of texts weighs as much as TEXT_WEIGHT others.
@@ -254,15 +260,21 @@ class Written:
     """Tables written below one folder of the shared ones, so that a lost executor costs a read and lineage stays short."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/ledgerline-pairs-{uuid.uuid4().hex}"
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/ledgerline-pairs-{uuid.uuid4().hex}", set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.names.discard(name)
+
+    def drop_but(self, name: str) -> None:
+        for each in self.names - {name}:
+            self.drop(each)
 
 
 def _one_to_one(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
@@ -317,6 +329,124 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(take, f"a_pos {kind('a_pos')}, b_pos {kind('b_pos')}")
 
 
+def _swept(rows: DataFrame, keys: Sequence[str], percent: float, n_rows: int) -> DataFrame:
+    """Rows of either side (see _near_rows), about n_rows: the pairs of one-to-one within equal keys. One key's amounts of B are held, no pairs."""
+    tasks = min(max(n_rows // SWEPT_ROWS + 1, rows.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    rows = rows.select(*keys, "of_a", "a_pos", "b_pos", "amount")
+    ordered = rows.repartition(tasks, *keys) if keys else rows.coalesce(1)
+    ordered = ordered.sortWithinPartitions(*keys, "of_a", "a_pos", "b_pos")
+    n_keys = len(keys)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, free, amounts, held = None, None, [], None  # of the key at hand; held: its positions of B from batches before
+        for batch in batches:
+            n, marks = batch.num_rows, batch.columns[:n_keys]
+            if not n:
+                continue
+            new = np.zeros(n - 1, bool)
+            for c in marks:
+                here, before = c.slice(1), c.slice(0, n - 1)
+                differ = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before)))
+                new |= differ.to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
+            of_a, a_pos, b_pos, amount = batch.columns[n_keys:]
+            of_a_before = np.concatenate([[0], np.cumsum(of_a.to_numpy(zero_copy_only=False))])
+            a_from = cuts[1:] - np.diff(of_a_before[cuts])  # rows of B come before those of A
+            amount = amount.to_numpy().tolist()
+            first = [c[0].as_py() for c in marks]
+            if held is None or at != first:
+                free, amounts, held = None, [], b_pos.slice(0, 0)
+            before, begin = len(held), 0
+            b_pos, took_a, took_b = pa.concat_arrays([held, b_pos]), [], []
+            for s, m, e in zip(cuts.tolist(), a_from.tolist(), cuts[1:].tolist()):
+                if s:
+                    free, amounts, begin = None, [], before + s
+                amounts += amount[s:m]
+                if not amounts or m == e:
+                    continue
+                free = free or Free(amounts, percent)
+                for i in range(m, e):
+                    place = free.take(amount[i])
+                    if place is not None:
+                        took_a.append(i)
+                        took_b.append(begin + place)
+            at, held = [c[n - 1].as_py() for c in marks], b_pos.slice(begin, len(amounts))
+            yield pa.RecordBatch.from_arrays([a_pos.take(pa.array(took_a, pa.int64())), b_pos.take(pa.array(took_b, pa.int64()))], ["a_pos", "b_pos"])
+
+    kind = lambda c: ordered.schema[c].dataType.simpleString()
+    return ordered.mapInArrow(sweep, f"a_pos {kind('a_pos')}, b_pos {kind('b_pos')}")
+
+
+def _near_rows(df: DataFrame, side: str, keys: Sequence[int], i: int, also: Sequence[str] = ()) -> DataFrame:
+    """Rows with of_a, keys k0, k1 ..., the position of their side and the amount of rule i, infinite for null; those that can fit nothing go."""
+    x, null = F.col(f"{side}{i}"), F.col(f"{side}{i}_null")
+    able = null | (x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf))
+    amount = F.when(null, F.lit(math.inf)).otherwise(x).alias("amount")
+    return df.filter(able).select(F.lit(side == "a").alias("of_a"), *[F.col(f"{side}{k}").alias(f"k{k}") for k in keys], *also, f"{side}_pos", amount)
+
+
+def _one_to_one_near(a: DataFrame, b: DataFrame, rules: Sequence[Rule], i: int) -> DataFrame:
+    """One-to-one by keys and tolerance rule i alone, in the order of A, then B. a, b: from _prepared.
+
+    No pairs are made: each row of A takes the first free row of B with a near amount, key by key in tasks (_swept). The rows
+    are written once, so that they are made once; a key of more than HOT_ROWS rows goes on by pieces. Only the result stays.
+    """
+    keys = [k for k, r in enumerate(rules) if r.kind in ("equals", "date_equals")]
+    ks = [f"k{k}" for k in keys]
+    tables = Written(a.sparkSession)
+    try:
+        rows = tables.keep(_near_rows(a, "a", keys, i).unionByName(_near_rows(b, "b", keys, i), allowMissingColumns=True), "rows")
+        counter = F.pmod(F.xxhash64(*ks), F.lit(COUNTERS)) if ks else F.lit(0)
+        counted = rows.groupBy(counter.alias("counter")).count().agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > HOT_ROWS, F.col("counter"))).alias("full")).first()
+        n, full = counted.n or 0, counted.full
+        hot = tables.keep(rows.filter(counter.isin(full)).groupBy(*ks).count().filter(F.col("count") > HOT_ROWS).drop("count"), "hot") if full and ks else None
+        if not full or (hot is not None and hot.isEmpty()):
+            return tables.keep(_swept(rows, ks, rules[i].tolerance, n), "chosen")
+        if hot is None:
+            return tables.keep(_hot_pairs(rows, rules, keys, i, tables), "chosen")
+        named = hot.select(*[F.col(k).alias(f"hot_{k}") for k in ks])
+        same = every([F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in ks])
+        few = _swept(rows.join(F.broadcast(named), same, "left_anti"), ks, rules[i].tolerance, n)
+        return tables.keep(few.union(_hot_pairs(rows.join(F.broadcast(named), same, "left_semi"), rules, keys, i, tables)), "chosen")
+    finally:
+        tables.drop_but("chosen")
+
+
+def _hot_pairs(rows: DataFrame, rules: Sequence[Rule], keys: Sequence[int], i: int, tables: Written) -> DataFrame:
+    """The pairs of keys with very many rows, which fall into pieces; whole pieces are matched by rank.
+
+    Both sides of the others are cut into blocks in the order of positions. Block m of A may meet block n of B once the blocks of
+    A before it have met n, and it the blocks of B before n, so all blocks whose numbers have the same sum meet at once, each
+    two in a task, and what they leave goes on to the next sum.
+    """
+    ks, back = [f"k{k}" for k in keys], F.nullif(F.col("amount"), F.lit(math.inf))
+    side = lambda s: rows.filter(F.col("of_a") == (s == "a")).select(
+        f"{s}_pos", *[F.col(f"k{k}").alias(f"{s}{k}") for k in keys], back.alias(f"{s}{i}"), back.isNull().alias(f"{s}{i}_null"))
+    a, b = (tables.keep(df, f"pieces_{s}") for s, df in zip("ab", in_pieces(side("a"), side("b"), rules, i)))
+    done = [_by_rank(a.filter("a_whole"), b.filter("b_whole"), [*map(str, keys), "_piece"])]
+
+    def blocks(df: DataFrame, s: str) -> DataFrame:
+        numbered = ranked(df.filter(~F.col(f"{s}_whole")), [*[f"{s}{k}" for k in keys], f"{s}_piece"], f"{s}_pos")
+        block = F.floor((F.col("rank") - 1) / BLOCK_ROWS).cast("int").alias("block")
+        return _near_rows(numbered, s, keys, i, [F.col(f"{s}_piece").alias("piece"), block])
+
+    left = tables.keep(blocks(a, "a").unionByName(blocks(b, "b"), allowMissingColumns=True), "blocks0")
+    sides = left.groupBy("of_a").agg(F.max("block").alias("last"), F.count("*").alias("n")).collect()
+    last, n_rows = {r.of_a: r.last for r in sides}, sum(r.n for r in sides)
+    rounds = sum(last.values()) + 1 if len(last) == 2 else 0
+    for n in range(rounds):
+        other = F.lit(n) - F.col("block")
+        meet = left.filter(other.between(F.lit(0), F.when(F.col("of_a"), last[False]).otherwise(last[True])))
+        met = meet.withColumn("of_block", F.when(F.col("of_a"), F.col("block")).otherwise(other))
+        done.append(tables.keep(_swept(met, [*ks, "piece", "of_block"], rules[i].tolerance, n_rows), f"met{n}"))
+        if n + 1 < rounds:
+            now = done[-1]
+            free = left.filter("of_a").join(now.select("a_pos"), "a_pos", "left_anti").unionByName(left.filter("NOT of_a").join(now.select("b_pos"), "b_pos", "left_anti"))
+            left = tables.keep(free, f"blocks{n + 1}")
+            tables.drop(f"blocks{n}")
+    return reduce(DataFrame.union, done)
+
+
 def _by_rank(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The nth row of A with the nth of B, by position, among those with equal keys (names without their a or b)."""
     left = ranked(left, [f"a{k}" for k in keys], "a_pos").withColumnRenamed("rank", "a_rank")
@@ -353,12 +483,11 @@ def match_pairs(a: DataFrame, b: DataFrame, rules: Sequence[Rule], a_pos: str, b
     near = next((i for i in n if rules[i].kind == "tolerance" and 0 < rules[i].tolerance < 50), None)
     if mode == "one_to_one" and near is not None:
         keys = [i for i in n if rules[i].kind in ("equals", "date_equals")]
-        left, right = in_pieces(left, right, rules, near)
-        alone = len(keys) == len(rules) - 1  # another rule may part the rows of a whole piece
-        open_ = lambda df, side: df.filter(~F.col(f"{side}_whole")) if alone else df
-        pairs = candidate_pairs(open_(left, "a"), open_(right, "b"), rules, nested_loop, hot_keys, [F.col("a_piece") == F.col("b_piece")])
-        chosen = _one_to_one(pairs, [*[f"a{i}" for i in keys], "a_piece"])
-        return chosen.union(_by_rank(left.filter("a_whole"), right.filter("b_whole"), [*map(str, keys), "_piece"])) if alone else chosen
+        if len(keys) == len(rules) - 1:
+            return _one_to_one_near(left, right, rules, near)
+        left, right = in_pieces(left, right, rules, near)  # another rule may part the rows of a whole piece
+        pairs = candidate_pairs(left, right, rules, nested_loop, hot_keys, [F.col("a_piece") == F.col("b_piece")])
+        return _one_to_one(pairs, [*[f"a{i}" for i in keys], "a_piece"])
     pairs = candidate_pairs(left, right, rules, nested_loop, hot_keys)
     if mode == "many_to_many":
         return pairs.select("a_pos", "b_pos")

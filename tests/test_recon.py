@@ -1,11 +1,13 @@
 """Reconciliation against plain Python, on rows with nulls, ties, repeated keys and odd text."""
 
+import math
 import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.nearfree import Free
 from ledgerline.functions.predicates import Extract, Filter, Pattern, all_matches, exact_filtered, extracted, filtered, pattern_column, value_filtered
 from ledgerline.operators import recon
 from ledgerline.operators.recon import Rule
@@ -137,6 +139,55 @@ def test_pieces_part_a_hot_key(spark):
     assert recon.match_pairs(a.limit(0), b, rules, "pos", "pos", "one_to_one").collect() == []
 
 
+def test_one_to_one_by_amount_makes_no_pairs(spark, monkeypatch):
+    """Round 4: all pairs of near amounts were written, so a key of n rows a side took n * n rows of disk."""
+    written, keep = [], recon.Written.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(recon.Written, "keep", counted)
+    n = 400
+    a = spark.range(n).selectExpr("id AS pos", "'k' AS ref", "100 + pmod(id * 37, 400) / 20D AS amount")
+    b = a.withColumn("amount", F.col("amount") * 0.99)
+    rules = [Rule("ref", "ref"), Rule("amount", "amount", "tolerance", 15.0)]
+    got = recon.match_pairs(a, b, rules, "pos", "pos", "one_to_one")
+    rows = [[(r.pos, "k", r.amount, None, None) for r in df.collect()] for df in (a, b)]
+    assert sorted(map(tuple, got.collect())) == by_hand(*rows, rules, "one_to_one")
+    assert max(written) <= 2 * n
+
+
+@pytest.mark.parametrize("amounts", AMOUNTS.values(), ids=AMOUNTS)
+@pytest.mark.parametrize("rules", ["key and amount", "amount alone", "wide amount"])
+def test_one_to_one_of_hot_keys_meets_block_by_block(spark, monkeypatch, rules, amounts):
+    """Keys of many rows fall into pieces, and pieces into blocks of either side that meet in turn."""
+    for name, value in {"HOT_ROWS": 20, "BLOCK_ROWS": 9, "COUNTERS": 2}.items():
+        monkeypatch.setattr(recon, name, value)
+    a, b = spread(7, 70, amounts), spread(8, 60, amounts)
+    got = recon.match_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), RULES[rules], "pos", "pos", "one_to_one")
+    assert sorted(map(tuple, got.collect())) == by_hand(a, b, RULES[rules], "one_to_one")
+
+
+@pytest.mark.parametrize("percent", [0.3, 1.0, 20.0, 49.9])
+def test_first_free_row_of_a_near_amount(percent):
+    """Against a list of all rows: amounts at the very edge of the tolerance, either sign, zero, null (infinite), the least and largest doubles."""
+    rng = random.Random(9)
+    amounts = [0.0, -0.0, math.inf, 5e-324, 1e-323, 1.7e308, -1.7e308]
+    for x in [100.0, -3.7, 900.68, 1e-310, 1e16]:
+        for y in (x, x / (1 + percent / 100), x / (1 - percent / 100), x * (1 - percent / 100), x * (1 + percent / 100)):
+            amounts += [y, y, math.nextafter(y, math.inf), math.nextafter(y, -math.inf)]
+    near = lambda x, y: x == y if not x or math.isinf(x) or not y or math.isinf(y) else abs(x - y) / abs(y) * 100 <= percent
+    for _ in range(20):
+        b = rng.sample(amounts, len(amounts) - 3)
+        left, free = dict(enumerate(b)), Free(b, percent)
+        for x in rng.choices(amounts, k=90):
+            want = next((i for i, y in left.items() if near(x, y)), None)
+            assert free.take(x) == want
+            left.pop(want, None)
+
+
 def test_reconciled_sides_add_up(spark):
     a, b = rows(3, 80), rows(4, 70)
     left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
